@@ -75,7 +75,7 @@ def with_arc(df: DataFrame, key: str, points: list[tuple[int, int]]) -> DataFram
         before += len(inside)
     schema = T.StructType([T.StructField("_cell", T.LongType()), T.StructField("_before", T.LongType()), T.StructField("_inside", T.ArrayType(T.LongType()))])
     lookup = small_table(df.sparkSession, rows, schema)  # CELLS rows, n_shards * vnodes points: a fixed bound
-    df = df.withColumn("_at", position("key", F.col(key))).withColumn("_cell", F.floor(F.col("_at") / F.lit(float(width))).cast("long"))
+    df = df.withColumn("_at", position("key", F.col(key))).withColumn("_cell", F.shiftright("_at", BITS - CELLS.bit_length() + 1))
     arc = (F.col("_before") + F.size(F.filter("_inside", lambda p: p < F.col("_at")))) % F.lit(len(points))
     return df.join(F.broadcast(lookup), "_cell").withColumn("_arc", arc.cast("long")).drop("_cell", "_before", "_inside")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op7_mixing, op8_line_dedup, op9_sharding
+from tidemark.llm import op2_substring_dedup, op7_mixing, op8_line_dedup, op9_sharding
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup.op2_substring_dedup,
     "op7_mixing": op7_mixing.op7_mixing,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_sharding": op9_sharding.op9_sharding,
 }
 
 ORACLES = {
+    "op2_substring_dedup": op2_substring_dedup.SQL,
     "op8_line_dedup": op8_line_dedup.SQL,
 }
