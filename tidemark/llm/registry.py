@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op2_substring_dedup, op7_mixing, op8_line_dedup, op9_sharding
+from tidemark.llm import op1_jaccard_join, op2_substring_dedup, op7_mixing, op8_line_dedup, op9_sharding
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup.op2_substring_dedup,
     "op7_mixing": op7_mixing.op7_mixing,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": op1_jaccard_join.SQL,
     "op2_substring_dedup": op2_substring_dedup.SQL,
     "op8_line_dedup": op8_line_dedup.SQL,
 }
