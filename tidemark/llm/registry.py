@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_jaccard_join, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op6_topk, op7_mixing, op8_line_dedup, op9_sharding
+from tidemark.llm import op1_jaccard_join, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_quality_classifier, op6_topk, op7_mixing, op8_line_dedup, op9_sharding
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup.op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules.op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece.op4_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier.op5_quality_classifier,
     "op6_topk": op6_topk.op6_topk,
     "op7_mixing": op7_mixing.op7_mixing,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
