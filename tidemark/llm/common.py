@@ -37,7 +37,7 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    return spark.read.schema(T.StructType(sorted(df.schema, key=lambda f: f.name == partition_by))).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

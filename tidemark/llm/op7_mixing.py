@@ -136,13 +136,13 @@ def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame,
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> DataFrame:
     """The mix as documents, one row for each block; a cut block keeps its first words, joined by one space."""
     _, blocks = mix(docs, seed, n_shards)
-    tagged = docs.withColumns({"_r1": F.xxhash64("doc_id", "source", "text"), "_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text"), "_size": n_words(F.col("text"))})
-    tagged = tagged.withColumn("_dup", F.row_number().over(Window.partitionBy("_r1", "_r2").orderBy("_size")))
-    drawn = blocks.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("dup").alias("_dup"), F.col("words").alias("_words"))
+    tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "source", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text"), "__tm_size": n_words(F.col("text"))})
+    tagged = tagged.withColumn("__tm_dup", F.row_number().over(Window.partitionBy("__tm_r1", "__tm_r2").orderBy("__tm_size")))
+    drawn = blocks.select(F.col("r1").alias("__tm_r1"), F.col("r2").alias("__tm_r2"), F.col("dup").alias("__tm_dup"), F.col("words").alias("__tm_words"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    out = tagged.join(drawn, ["_r1", "_r2", "_dup"]).withColumn("_text", text)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("__tm_words") < F.col("__tm_size"), F.array_join(F.slice(words, 1, F.col("__tm_words").cast("int")), " ")).otherwise(F.col("text"))
+    out = tagged.join(drawn, ["__tm_r1", "__tm_r2", "__tm_dup"]).withColumn("__tm_text", text)
+    return out.select(*[F.col("__tm_text").alias("text") if c == "text" else F.length("__tm_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,21 +89,21 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (columns of these names are replaced)."""
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    row = [F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("_r2")]
+    row = [F.xxhash64("doc_id", "text").alias("__tm_r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("__tm_r2")]
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
     hashed = docs.select(*row, F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("k"))
-    staged = materialise(hashed.select("_r1", "_r2", "k.h1", "k.h2", F.pmod("_r2", F.lit(batches)).cast("int").alias("batch")), "lines", partition_by="batch")
+    staged = materialise(hashed.select("__tm_r1", "__tm_r2", "k.h1", "k.h2", F.pmod("__tm_r2", F.lit(batches)).cast("int").alias("batch")), "lines", partition_by="batch")
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
         runs.ingest(staged.where(F.col("batch") == b).select("h1", "h2"))
     frequent = runs.close()
-    verdicts = staged.join(frequent, ["h1", "h2"]).groupBy("_r1", "_r2").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
-    tagged = docs.select("*", *row).join(verdicts, ["_r1", "_r2"], "left")
+    verdicts = staged.join(frequent, ["h1", "h2"]).groupBy("__tm_r1", "__tm_r2").agg(F.collect_set(F.struct("h1", "h2")).alias("__tm_drop"))
+    tagged = docs.select("*", *row).join(verdicts, ["__tm_r1", "__tm_r2"], "left")
     lines = lines_of(F.col("text"))
-    keep = F.filter(lines, lambda line: (F.length(line_key(line)) < min_chars) | ~F.array_contains(F.col("_drop"), key_hash(line_key(line))))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(keep)
-    out = tagged.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    return out.select(*docs.columns, F.array_join("_kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+    keep = F.filter(lines, lambda line: (F.length(line_key(line)) < min_chars) | ~F.array_contains(F.col("__tm_drop"), key_hash(line_key(line))))
+    kept = F.when(F.col("__tm_drop").isNull(), lines).otherwise(keep)
+    out = tagged.withColumn("__tm_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
+    return out.select(*docs.columns, F.array_join("__tm_kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("__tm_kept")).cast("long").alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,30 +73,30 @@ def with_arc(df: DataFrame, key: str, points: list[tuple[int, int]]) -> DataFram
     for c, inside in enumerate(cells):
         rows.append((c, before, inside))
         before += len(inside)
-    schema = T.StructType([T.StructField("_cell", T.LongType()), T.StructField("_before", T.LongType()), T.StructField("_inside", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("__tm_cell", T.LongType()), T.StructField("__tm_before", T.LongType()), T.StructField("__tm_inside", T.ArrayType(T.LongType()))])
     lookup = small_table(df.sparkSession, rows, schema)  # CELLS rows, n_shards * vnodes points: a fixed bound
-    df = df.withColumn("_at", position("key", F.col(key))).withColumn("_cell", F.shiftright("_at", BITS - CELLS.bit_length() + 1))
-    arc = (F.col("_before") + F.size(F.filter("_inside", lambda p: p < F.col("_at")))) % F.lit(len(points))
-    return df.join(F.broadcast(lookup), "_cell").withColumn("_arc", arc.cast("long")).drop("_cell", "_before", "_inside")
+    df = df.withColumn("__tm_at", position("key", F.col(key))).withColumn("__tm_cell", F.shiftright("__tm_at", BITS - CELLS.bit_length() + 1))
+    arc = (F.col("__tm_before") + F.size(F.filter("__tm_inside", lambda p: p < F.col("__tm_at")))) % F.lit(len(points))
+    return df.join(F.broadcast(lookup), "__tm_cell").withColumn("__tm_arc", arc.cast("long")).drop("__tm_cell", "__tm_before", "__tm_inside")
 
 
 def assign(docs: DataFrame, n_shards: int = 16, vnodes: int = 64, slack: float = 0.0, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; a table with columns of these names loses them first."""
-    docs = docs.drop("shard", "slot", "_at", "_arc", "_cell", "_rank", "_segments")
+    docs = docs.drop("shard", "slot")
     points = ring(n_shards, vnodes)
-    counts = {r["_arc"]: r["n"] for r in with_arc(docs.select(key), key, points).groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["__tm_arc"]: r["n"] for r in with_arc(docs.select(key), key, points).groupBy("__tm_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts: dict[int, list] = {}
     for arc, lo, shard, slot in walk(points, counts, capacities(sum(counts.values()), n_shards, slack)):
         cuts.setdefault(arc, []).append({"lo": lo, "shard": shard, "slot": slot})
     cut = T.StructType([T.StructField("lo", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    schema = T.StructType([T.StructField("_arc", T.LongType()), T.StructField("_segments", T.ArrayType(cut))])
+    schema = T.StructType([T.StructField("__tm_arc", T.LongType()), T.StructField("__tm_segments", T.ArrayType(cut))])
     segments = small_table(docs.sparkSession, [(a, sorted(s, key=lambda x: x["lo"])) for a, s in cuts.items()], schema)
     others = [c for c in docs.columns if c != key]
-    order = Window.partitionBy("_arc").orderBy("_at", key, *others)
-    ranked = with_arc(docs, key, points).withColumn("_rank", F.row_number().over(order).cast("long") - 1)
-    placed = ranked.join(F.broadcast(segments), "_arc")
-    mine = F.element_at(F.filter("_segments", lambda s: s["lo"] <= F.col("_rank")), -1)
-    return placed.withColumn("_segments", mine).select(*docs.columns, F.col("_segments.shard").alias("shard"), (F.col("_segments.slot") + F.col("_rank") - F.col("_segments.lo")).alias("slot"))
+    order = Window.partitionBy("__tm_arc").orderBy("__tm_at", key, *others)
+    ranked = with_arc(docs, key, points).withColumn("__tm_rank", F.row_number().over(order).cast("long") - 1)
+    placed = ranked.join(F.broadcast(segments), "__tm_arc")
+    mine = F.element_at(F.filter("__tm_segments", lambda s: s["lo"] <= F.col("__tm_rank")), -1)
+    return placed.withColumn("__tm_segments", mine).select(*docs.columns, F.col("__tm_segments.shard").alias("shard"), (F.col("__tm_segments.slot") + F.col("__tm_rank") - F.col("__tm_segments.lo")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
