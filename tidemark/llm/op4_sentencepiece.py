@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import sentencepiece_model as spm
 from tidemark.llm.common import arrow_batches, table
@@ -65,7 +66,11 @@ class Codec:
         return texts
 
 
-def encoded(data, threads: int) -> Callable:
+#: What can be asked for of each row.
+OUTPUTS = {"n_tokens": "long", "ids_sha256": "string", "ids": "array<int>", "decoded": "string", "round_trip": "boolean", "parity": "boolean"}
+
+
+def encoded(data, threads: int, outputs: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
@@ -75,34 +80,28 @@ def encoded(data, threads: int) -> Callable:
             at = batch.schema.get_field_index("text")
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = codec.encode(texts)
-            back = codec.decode(ids)
-            parity = [a == b for a, b in zip(ids, judge.encode(texts, num_threads=threads))]
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.record_batch(
-                [*[batch.column(i) for i in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(back, texts)]), pa.array(parity)],
-                [*[batch.schema.names[i] for i in keep], "ids", "decoded", "round_trip", "parity"],
-            )
+            make = {
+                "n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": lambda: pa.array([hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+                "ids": lambda: pa.array(ids, pa.list_(pa.int32())),
+                "decoded": lambda: pa.array(codec.decode(ids), pa.string()),
+                "round_trip": lambda: pa.array([a == b for a, b in zip(codec.decode(ids), texts)], pa.bool_()),
+                "parity": lambda: pa.array([a == b for a, b in zip(ids, judge.encode(texts, num_threads=threads))], pa.bool_()),
+            }
+            yield pa.record_batch([*[batch.column(i) for i in range(batch.num_columns) if i != at], *[make[o]() for o in outputs]], [*[c for c in batch.schema.names if c != "text"], *outputs])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, threads: int = THREADS) -> DataFrame:
-    """doc_id, ids, decoded, round_trip, parity."""
+def encode_documents(docs: DataFrame, outputs: list[str] | None = None, model_path: str = MODEL_PATH, threads: int = THREADS) -> DataFrame:
+    """doc_id and the asked outputs (all, if none are named). ids_sha256 is of the ids as little-endian 32-bit integers."""
+    outputs = list(OUTPUTS) if outputs is None else outputs
     arrow_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select("doc_id", "text").mapInArrow(encoded(data, threads), "doc_id long, ids array<int>, decoded string, round_trip boolean, parity boolean")
-
-
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        bounds, values = np.asarray(lists.offsets), np.asarray(lists.values)
-        marks = [hashlib.sha256(values[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.record_batch([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(marks), batch.column(2), batch.column(3)], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
+    shape = ", ".join(["doc_id long", *[f"{o} {OUTPUTS[o]}" for o in outputs]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded(data, threads, outputs), shape)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip, parity."""
-    out = encode_documents(table(spark, sf_dir, "documents")).select("doc_id", "ids", "round_trip", "parity")
-    return out.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
+    return encode_documents(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "round_trip", "parity"])
