@@ -156,7 +156,7 @@ def g11_growth_corr(spark, sf):
     return growth.growth_correlation(V.months(spark, sf), V.PRIORITIES, V.SHORT)
 
 
-@query("SELECT month, round(stddev_samp(v), 6) AS growth_std, round(avg(v), 6) AS growth_mean FROM (SELECT month, unnest([p1, p2, p3, p4, p5]) AS v FROM g) GROUP BY month", V.MONTHS, _WIDE, _GROWTH)
+@query("SELECT month, round(stddev_samp(v), 6) AS growth_std, round(avg(v), 6) + 0.0 AS growth_mean FROM (SELECT month, unnest([p1, p2, p3, p4, p5]) AS v FROM g) GROUP BY month", V.MONTHS, _WIDE, _GROWTH)
 def g12_growth_convergence(spark, sf):
     return growth.growth_convergence(V.months(spark, sf), V.PRIORITIES, V.SHORT)
 
