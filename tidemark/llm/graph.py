@@ -11,7 +11,7 @@ from tidemark.llm.common import forget, materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b): every vertex ``a`` that is not the smallest of its component, with the smallest, ``b``."""
     ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = materialise(ends, "cc")
+    if now.isEmpty():
+        return now
     mark = _mark(now)
     while True:
         nxt = materialise(_small_star(_large_star(now)), "cc")

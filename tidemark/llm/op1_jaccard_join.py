@@ -5,13 +5,14 @@ and no links). Equal sets collapse into one representative with a weight. The jo
 
 1. Chosen paths. Each set carries 128 min-hash tokens. A node of the tree samples ``branches`` of the 128 positions;
    every set in the node goes to one child for each sampled position, by the token it has there, so sets sharing a
-   sampled token stay together. Nodes of one set vanish, nodes of up to ``small`` sets are brute-forced, larger ones
-   are split again with fresh positions. ``runs`` trees are grown, as many as the target recall for a pair at the
-   threshold asks for (``runs_for``).
-2. A large node first sheds its near-copies: every set is held against the node's smallest member p. Sets close to p
-   leave the node, and everything moderately close to p is connected to it: by the triangle inequality of the Jaccard
-   distance nothing similar to a set that left is farther from p than that. A third of all rows in one node thus costs
-   one comparison each. What is still large at the last level is compared in blocks.
+   sampled token stay together. Nodes of one set vanish, nodes of up to ``small`` sets are brute-forced (nodes of the
+   very same sets once), larger ones are split again with fresh positions. ``runs`` trees are grown, as many as the
+   target recall for a pair at the threshold asks for (``runs_for``).
+2. A large node first sheds its near-copies: every set is held against a dozen pivots, a random sample of the node.
+   A set close to a pivot leaves the node; it and everything moderately close to a pivot are connected with it, and
+   pivots that share a set with each other. By the triangle inequality of the Jaccard distance nothing similar to
+   a set that left is farther from that set's pivot than this allows. A third of all rows in one node thus costs a
+   dozen comparisons each. What is still large at the last level is compared in blocks.
 3. Candidates are only ever stars (set, smallest set it may belong with), never all pairs of a group. Their connected
    components are compared exactly, from the texts, in one block each, or in pairs of blocks where a component is
    large; blocks return each set's number of links and, again, stars.
@@ -37,10 +38,12 @@ from tidemark.llm.wordtable import Words, chunks, mix64
 
 SHINGLE, THRESHOLD = 5, 0.8
 TOKENS = 128
-BRANCHES, LEVELS, SMALL = 3, 5, 64
+BRANCHES, LEVELS, SMALL = 3, 4, 256
+BRANCHES_BELOW = 2  # a pair comes down by a dozen paths at once
 RECALL = 0.999999
 LIKELY = 0.55  # estimate below which a pair at the threshold practically never falls (7 standard deviations)
-NEAR, RELATED = 0.8, 0.28
+PIVOTS = 12
+LEAVES, RELATED, SPREAD = 0.7, 0.28, 0.5
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 LAST = 2**63 - 1
 U = np.uint64
@@ -94,46 +97,57 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(k: int) -> Callable:
+def describe(k: int, runs: int, branches: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, words in chunks(batch):
                 sets, bounds = shingle_sets(words, k)
                 f1, f2 = fingerprints(sets, bounds)
-                sig = signatures(sets, bounds)
-                yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), pa.array(f1), pa.array(f2), pa.array(np.diff(bounds), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc", "r1", "r2", "f1", "f2", "size", "sig"])
+                tokens32 = signatures(sets, bounds)
+                roots = np.concatenate([kids(np.full(words.n, r + 1, U), tokens32, 0, branches) for r in range(runs)])
+                sketch = tokens32.astype(np.uint8)
+                paths = pa.ListArray.from_arrays(pa.array(np.arange(words.n + 1) * len(roots), pa.int32()), pa.array(roots.T.ravel().view(np.int64)))
+                yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), pa.array(f1), pa.array(f2), pa.array(np.diff(bounds), pa.int64()), paths, pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc", "r1", "r2", "f1", "f2", "size", "paths", "sketch"])
 
     return run
 
 
+def kids(node: np.ndarray, sketch: np.ndarray, level: int, branches: int) -> np.ndarray:
+    """(branches, rows): each row's children: positions sampled by the node, no position twice, and the token there (32 bits at the roots, 8 below)."""
+    place = np.zeros((branches, len(node)), np.int64)
+    out = np.zeros((branches, len(node)), U)
+    for j in range(branches):
+        at = (mix64(node + U((level * 64 + j + 1) * 0x9E3779B97F4A7C15 % 2**64)) % U(TOKENS)).astype(np.int64)
+        for _ in range(j):
+            at = np.where((place[:j] == at).any(axis=0), (at + 1) % TOKENS, at)
+        place[j] = at
+        token = sketch[np.arange(len(node)), at].astype(U) + U(1)
+        out[j] = mix64(node * U(0xD1342543DE82EF95) + mix64(token * U(TOKENS) + at.astype(U) + U(1)))
+    return out
+
+
 def grow(level: int, branches: int) -> Callable:
-    """Children of each (rid, node): positions sampled by the node, the token there."""
+    """Children of each (rid, node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.asarray(batch.column(1)).view(U)
-            sig = tokens(batch.column(2))
-            rid = np.asarray(batch.column(0))
-            place = np.zeros((branches, len(rid)), np.int64)
-            kids = []
-            for j in range(branches):
-                at = (mix64(node + U((level * 64 + j + 1) * 0x9E3779B97F4A7C15 % 2**64)) % U(TOKENS)).astype(np.int64)
-                for _ in range(j):  # the same position is not sampled twice
-                    clash = (place[:j] == at).any(axis=0)
-                    at = np.where(clash, (at + 1) % TOKENS, at)
-                place[j] = at
-                token = sig[np.arange(len(rid)), at].astype(U)
-                kids.append(mix64(node * U(0xD1342543DE82EF95) + mix64(token * U(TOKENS) + at.astype(U) + U(1))))
-            yield pa.record_batch([pa.array(np.tile(rid, branches)), pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(node.view(np.int64), branches))], ["rid", "node", "parent"])
+            rid, node = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(U)
+            out = kids(node, tokens(batch.column(2)), level, branches)
+            sketch = pa.concat_arrays([batch.column(2)] * branches)
+            yield pa.record_batch([pa.array(np.tile(rid, branches)), pa.array(out.ravel().view(np.int64)), sketch], ["rid", "node", "sketch"])
 
     return run
 
 
 def tokens(column: pa.Array) -> np.ndarray:
-    """(rows, TOKENS) uint32 of a binary column without nulls."""
+    """(rows, TOKENS) uint8 of a binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, TOKENS), np.uint8)
     _, offsets, data = column.buffers()
     lo = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
-    return np.frombuffer(data, np.uint8)[lo[0] : lo[-1]].view(np.uint32).reshape(len(column), -1) if len(column) else np.zeros((0, TOKENS), np.uint32)
+    return np.frombuffer(data, np.uint8)[lo[0] : lo[-1]].reshape(len(column), -1)
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -174,7 +188,7 @@ def compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         node = np.asarray(part.column(0).combine_chunks())
         side = np.asarray(part.column(1).combine_chunks())
         rid = np.asarray(part.column(2).combine_chunks())
-        sig = tokens(part.column(3).combine_chunks() if part.column(3).num_chunks != 1 else part.column(3).chunk(0)).astype(np.uint8)
+        sig = tokens(part.column(3))
         order = np.lexsort((rid, node))
         node, side, rid, sig = node[order], side[order], rid[order], sig[order]
         left, right = [], []
@@ -196,10 +210,35 @@ def compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def shed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, node, pivot, sig, pivot_sig) -> with near, related: how close the row is to its node's pivot."""
+    """(rid, node, sketch, pivots: array of (rid, sketch)) -> edges (a, b) without node and sketch, and rows that stay: (rid, 0, node, sketch)."""
     for batch in batches:
-        same = (tokens(batch.column(3)) == tokens(batch.column(4))).mean(axis=1) if batch.num_rows else np.zeros(0)
-        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(same >= NEAR), pa.array(same >= RELATED)], ["rid", "node", "pivot", "near", "related"])
+        rid, node, own = np.asarray(batch.column(0)), np.asarray(batch.column(1)), tokens(batch.column(2))
+        lists = batch.column(3)
+        bounds, pivots = np.asarray(lists.offsets), lists.values
+        pid, psk = np.asarray(pivots.field(0)), tokens(pivots.field(1))
+        count = np.diff(bounds)
+        row = np.repeat(np.arange(len(rid)), count)
+        which = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(len(row))
+        same = (own[row] == psk[which]).mean(axis=1)
+        most = np.maximum.reduceat(same, np.cumsum(count) - count) if len(row) else same
+        linked = (same >= RELATED) & (same >= most[row] - SPREAD)
+        row, which, same = row[linked], which[linked], same[linked]
+        ids, at = np.unique(np.concatenate([rid[row], pid[which]]), return_inverse=True)
+        label = stars(len(ids), at[: len(row)], at[len(row) :])
+        move = label != np.arange(len(ids))
+        pairs = np.stack([ids[move], ids[label[move]]])
+        stay = most < LEAVES
+        n, m = pairs.shape[1], int(stay.sum())
+        kept = batch.column(2).filter(pa.array(stay))
+        yield pa.record_batch(
+            [
+                pa.array(np.concatenate([pairs[0], rid[stay]])),
+                pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node[stay])]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), kept]),
+            ],
+            ["a", "b", "node", "sketch"],
+        )
 
 
 def overlaps(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -222,12 +261,13 @@ def overlaps(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def verify(k: int, threshold: float) -> Callable:
-    """(group, side, rid, doc's f1, weight, text) sorted by group -> (rid, links, root)."""
+    """(group, side, rid, doc's f1, weight, text, cut) sorted by group -> (rid, links, root, cut)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches):
             batch = part.combine_chunks().to_batches()[0]
             group, side, rid, f1, weight = (np.asarray(batch.column(i)) for i in range(5))
+            cut = np.asarray(batch.column(6))
             sets, lens, ok = [], [], []
             for rows, words in chunks(batch):
                 s, b = shingle_sets(words, k)
@@ -253,35 +293,37 @@ def verify(k: int, threshold: float) -> Callable:
                     link &= side[mine][:, None] != side[mine][None, :]
                 i, j = np.nonzero(np.triu(link))
                 label = stars(len(mine), i, j)
-                yield pa.record_batch([pa.array(rid[mine]), pa.array(link.astype(np.int64) @ weight[mine]), pa.array(rid[mine[label]])], ["rid", "links", "root"])
+                yield pa.record_batch([pa.array(rid[mine]), pa.array(link.astype(np.int64) @ weight[mine]), pa.array(rid[mine[label]]), pa.array(np.full(len(mine), bool(cut[lo])))], ["rid", "links", "root", "cut"])
 
     return run
 
 
-def candidate_stars(reps: DataFrame, runs: int, branches: int = BRANCHES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
+def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """(a, b): sets that may be at or above the threshold, connected in stars."""
-    sig = reps.select("rid", "sig")
     found: list[DataFrame] = []
-    roots = sig.select("rid", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(runs)])).alias("node"), "sig")
-    children = roots.mapInArrow(grow(0, branches), "rid long, node long, parent long").select("rid", "node")
+    children = reps.select("rid", F.explode("paths").alias("node"))
     for level in range(levels):
-        children = materialise(children, f"paths{level}")
-        nodes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1")
-        nodes = materialise(nodes, f"nodes{level}")
-        little = children.join(nodes.where(F.col("n") <= small).select("node"), "node").join(sig, "rid").select("node", F.lit(2).alias("side"), "rid", "sig")
-        found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small, "a long, b long").distinct())
-        big = nodes.where(F.col("n") > small)
+        mark = [F.bit_xor(F.xxhash64("rid")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(5), "rid")).alias("m2")]
+        nodes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least"), *mark).where("n > 1")
+        once = materialise(nodes.groupBy("n", "m1", "m2").agg(F.min("node").alias("node"), F.min("least").alias("least")), f"nodes{level}")  # nodes of the same sets
+        held = children.join(once.select("node", "n", "least"), "node")
+        held = held if level else held.join(reps.select("rid", "sketch"), "rid")
+        held = materialise(held.select("rid", "node", "n", "least", "sketch"), f"held{level}")
+        little = held.where(F.col("n") <= small).select("node", F.lit(2).alias("side"), "rid", "sketch")
+        found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small, "a long, b long"))
+        big = held.where(F.col("n") > small)
         if big.isEmpty():
             break
-        pivots = big.join(sig.withColumnRenamed("rid", "pivot").withColumnRenamed("sig", "pivot_sig"), "pivot")
-        held = children.join(pivots, "node").join(sig, "rid").select("rid", "node", "pivot", "sig", "pivot_sig")
-        held = materialise(held.mapInArrow(shed, "rid long, node long, pivot long, near boolean, related boolean"), f"shed{level}")
-        found.append(held.where("related and rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
-        rest = held.where("not near").select("rid", "node")
+        drawn = (F.col("rid") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(9), "node", "rid"), F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS)).cast("long")) == 0)
+        pivots = big.where(drawn).groupBy("node").agg(F.collect_list(F.struct("rid", "sketch")).alias("pivots"))
+        split = big.select("rid", "node", "sketch").join(pivots, "node").select("rid", "node", "sketch", "pivots")
+        split = materialise(split.mapInArrow(shed, "a long, b long, node long, sketch binary"), f"shed{level}")
+        found.append(split.where("sketch is null").select("a", "b"))
+        rest = split.where("sketch is not null").select(F.col("a").alias("rid"), "node", "sketch")
         if level + 1 < levels:
-            children = rest.join(sig, "rid").select("rid", "node", "sig").mapInArrow(grow(level + 1, branches), "rid long, node long, parent long").select("rid", "node").distinct()
+            children = materialise(rest.mapInArrow(grow(level + 1, below), "rid long, node long, sketch binary"), f"paths{level + 1}")
         else:
-            found.append(in_blocks(rest, sig, small))
+            found.append(in_blocks(rest, small))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -298,34 +340,36 @@ def block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return pairs.withColumn("group", key).withColumn("side", side).drop("_own", "_other")
 
 
-def in_blocks(rest: DataFrame, sig: DataFrame, small: int) -> DataFrame:
+def in_blocks(rest: DataFrame, small: int) -> DataFrame:
     """All pairs of what no split made small, block against block."""
-    sizes = rest.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(small * 4)).cast("long").alias("blocks"))
-    pairs = block_pairs(rest.join(sizes, "node"), "node", "blocks").join(sig, "rid").select("group", "side", "rid", "sig")
-    return pairs.repartition("group").sortWithinPartitions("group").mapInArrow(compare_small, "a long, b long").distinct()
+    sizes = rest.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(small)).cast("long").alias("blocks"))
+    pairs = block_pairs(rest.join(sizes, "node"), "node", "blocks").select("group", "side", "rid", "sketch")
+    return pairs.repartition("group").sortWithinPartitions("group").mapInArrow(compare_small, "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc, r1, r2, class, rep, n_links, first (the one document of its class to keep)."""
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("r2"), "text")
-    marks = materialise(docs.mapInArrow(describe(k), "doc long, r1 long, r2 long, f1 long, f2 long, size long, sig binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
+    marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
     full = marks.where("size > 0")
     groups = full.groupBy("f1", "f2").agg(F.min(F.struct("doc", "rid")).alias("least"), F.count(F.lit(1)).alias("weight"))
     groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups")
-    reps = groups.select("rid", "weight").join(full.select("rid", "doc", "f1", "size", "sig"), "rid")
+    reps = groups.select("rid", "weight").join(full.select("rid", "doc", "f1", "size", "paths", "sketch"), "rid")
     reps = materialise(reps, "reps")
-    stars_found = candidate_stars(reps, runs_for(recall, threshold))
+    stars_found = candidate_stars(reps)
     parts = materialise(components(stars_found), "parts")
     members = parts.select(F.col("a").alias("rid"), F.col("b").alias("part")).unionByName(parts.select(F.col("b").alias("rid"), F.col("b").alias("part")).distinct())
     members = members.join(reps.select("rid", "doc", "f1", "size", "weight"), "rid")
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("long").alias("blocks"))
-    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "doc"), "placed")
-    checked = placed.join(docs.select("doc", "text"), "doc").select("group", "side", "rid", "f1", "weight", "text")
-    links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long"), "links")
-    roots = components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("rid").agg(F.sum("links").alias("links"))
-    known = groups.select("f1", "f2", "rid", "rep", "weight").join(counts, "rid", "left").join(roots.select(F.col("a").alias("rid"), F.col("b").alias("root")), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "doc", (F.col("blocks") > 1).alias("cut")), "placed")
+    checked = placed.hint("merge").join(docs.select("doc", "text"), "doc").select("group", "side", "rid", "f1", "weight", "text", "cut")
+    links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long, cut boolean"), "links")
+    whole = links.where("not cut").select("rid", "links", "root")  # compared in one block: the block's stars are final
+    parted = links.where("cut")
+    roots = components(parted.select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("rid"), F.col("b").alias("root"))
+    summed = parted.groupBy("rid").agg(F.sum("links").alias("links")).join(roots, "rid", "left").select("rid", "links", F.coalesce("root", "rid").alias("root"))
+    known = groups.select("f1", "f2", "rid", "rep", "weight").join(whole.unionByName(summed), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     known = materialise(known, "known")
     least = known.groupBy("root").agg(F.min(F.struct("rep", "rid")).alias("head"))
     known = known.join(least, "root").select("f1", "f2", "rep", F.col("head.rep").alias("class"), F.col("head.rid").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
