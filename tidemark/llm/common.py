@@ -31,9 +31,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, partition_by: str | None = None, compact: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``compact`` is for the many narrow tables of an iteration: two files for each core, however many partitions a
+    shuffle has, so that every core has work and rounds do not leave thousands of small files.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism))
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)

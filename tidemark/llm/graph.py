@@ -27,12 +27,12 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every vertex ``a`` that is not the smallest of its component, with the smallest, ``b``."""
     ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = materialise(ends, "cc")
+    now = materialise(ends, "cc", compact=True)
     if now.isEmpty():
         return now
     mark = _mark(now)
     while True:
-        nxt = materialise(_small_star(_large_star(now)), "cc")
+        nxt = materialise(_small_star(_large_star(now)), "cc", compact=True)
         forget(now)
         now, before, mark = nxt, mark, _mark(nxt)
         if mark == before:

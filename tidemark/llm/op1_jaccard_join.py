@@ -305,10 +305,10 @@ def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int =
     for level in range(levels):
         mark = [F.bit_xor(F.xxhash64("rid")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(5), "rid")).alias("m2")]
         nodes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least"), *mark).where("n > 1")
-        once = materialise(nodes.groupBy("n", "m1", "m2").agg(F.min("node").alias("node"), F.min("least").alias("least")), f"nodes{level}")  # nodes of the same sets
+        once = materialise(nodes.groupBy("n", "m1", "m2").agg(F.min("node").alias("node"), F.min("least").alias("least")), f"nodes{level}", compact=True)  # nodes of the same sets
         held = children.join(once.select("node", "n", "least"), "node")
         held = held if level else held.join(reps.select("rid", "sketch"), "rid")
-        held = materialise(held.select("rid", "node", "n", "least", "sketch"), f"held{level}")
+        held = materialise(held.select("rid", "node", "n", "least", "sketch"), f"held{level}", compact=True)
         little = held.where(F.col("n") <= small).select("node", F.lit(2).alias("side"), "rid", "sketch")
         found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small, "a long, b long"))
         big = held.where(F.col("n") > small)
@@ -317,11 +317,11 @@ def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int =
         drawn = (F.col("rid") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(9), "node", "rid"), F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS)).cast("long")) == 0)
         pivots = big.where(drawn).groupBy("node").agg(F.collect_list(F.struct("rid", "sketch")).alias("pivots"))
         split = big.select("rid", "node", "sketch").join(pivots, "node").select("rid", "node", "sketch", "pivots")
-        split = materialise(split.mapInArrow(shed, "a long, b long, node long, sketch binary"), f"shed{level}")
+        split = materialise(split.mapInArrow(shed, "a long, b long, node long, sketch binary"), f"shed{level}", compact=True)
         found.append(split.where("sketch is null").select("a", "b"))
         rest = split.where("sketch is not null").select(F.col("a").alias("rid"), "node", "sketch")
         if level + 1 < levels:
-            children = materialise(rest.mapInArrow(grow(level + 1, below), "rid long, node long, sketch binary"), f"paths{level + 1}")
+            children = materialise(rest.mapInArrow(grow(level + 1, below), "rid long, node long, sketch binary"), f"paths{level + 1}", compact=True)
         else:
             found.append(in_blocks(rest, small))
     out = found[0]
@@ -351,26 +351,26 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, rec
     """One row per document: doc, r1, r2, class, rep, n_links, first (the one document of its class to keep)."""
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("r2"), "text")
-    marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
+    marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets", compact=True)
     full = marks.where("size > 0")
     groups = full.groupBy("f1", "f2").agg(F.min(F.struct("doc", "rid")).alias("least"), F.count(F.lit(1)).alias("weight"))
-    groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups")
+    groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups", compact=True)
     reps = groups.select("rid", "weight").join(full.select("rid", "doc", "f1", "size", "paths", "sketch"), "rid")
-    reps = materialise(reps, "reps")
+    reps = materialise(reps, "reps", compact=True)
     stars_found = candidate_stars(reps)
-    parts = materialise(components(stars_found), "parts")
+    parts = materialise(components(stars_found), "parts", compact=True)
     members = parts.select(F.col("a").alias("rid"), F.col("b").alias("part")).unionByName(parts.select(F.col("b").alias("rid"), F.col("b").alias("part")).distinct())
     members = members.join(reps.select("rid", "doc", "f1", "size", "weight"), "rid")
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("long").alias("blocks"))
-    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "doc", (F.col("blocks") > 1).alias("cut")), "placed")
+    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "doc", (F.col("blocks") > 1).alias("cut")), "placed", compact=True)
     checked = placed.hint("merge").join(docs.select("doc", "text"), "doc").select("group", "side", "rid", "f1", "weight", "text", "cut")
-    links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long, cut boolean"), "links")
+    links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long, cut boolean"), "links", compact=True)
     whole = links.where("not cut").select("rid", "links", "root")  # compared in one block: the block's stars are final
     parted = links.where("cut")
     roots = components(parted.select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("rid"), F.col("b").alias("root"))
     summed = parted.groupBy("rid").agg(F.sum("links").alias("links")).join(roots, "rid", "left").select("rid", "links", F.coalesce("root", "rid").alias("root"))
     known = groups.select("f1", "f2", "rid", "rep", "weight").join(whole.unionByName(summed), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    known = materialise(known, "known")
+    known = materialise(known, "known", compact=True)
     least = known.groupBy("root").agg(F.min(F.struct("rep", "rid")).alias("head"))
     known = known.join(least, "root").select("f1", "f2", "rep", F.col("head.rep").alias("class"), F.col("head.rid").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     placed_docs = full.select("doc", "r1", "r2", "f1", "f2", "rid").join(known, ["f1", "f2"]).select("doc", "r1", "r2", "class", "rep", "n_links", (F.col("rid") == F.col("head")).alias("first"))
