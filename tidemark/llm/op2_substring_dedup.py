@@ -119,6 +119,11 @@ def candidates(bits, cells: int, window: int, anchor: int):
                 _, h2 = words.grams(window, WORD_POWERS_2)
                 at = at[repeated]
                 where = np.searchsorted(starts, at)
+                order = np.lexsort((h1[where], words.text[at]))  # a window once for each document
+                where, at = where[order], at[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (h1[where[1:]] != h1[where[:-1]]) | (words.text[at[1:]] != words.text[at[:-1]])
+                where, at = where[new], at[new]
                 ids = np.asarray(rows.column(0))[words.text[at]]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(h1[where].view(np.int64)), pa.array((h2[where] >> U(32)).astype(np.int64).astype(np.int32))], ["doc", "h1", "h2"])
 
@@ -189,6 +194,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     shipped = spark.sparkContext.broadcast(bits)
     found = materialise(texts.select("doc", "text").mapInArrow(candidates(shipped, cells, window, anchor), "doc long, h1 long, h2 int"), "windows")
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
+    repeated = materialise(repeated, "repeated")  # read back, both sides of the join are plain exchanges: a hot window's rows can be split
     gone = found.join(repeated, ["h1", "h2"]).where(F.col("doc") > F.col("least")).groupBy("doc").agg(F.collect_set("h1").alias("_gone"))
     ready = docs.join(gone, "doc", "left").join(copies, "doc", "left").select("doc_id", "text", "_gone", "_copy")
     return ready.mapInArrow(remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
