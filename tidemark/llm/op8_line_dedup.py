@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     row = [F.xxhash64("doc_id", "text").alias("__tm_r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("__tm_r2")]
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
-    hashed = docs.select(*row, F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("k"))
+    hashed = docs.select(*row, F.explode_outer(F.array_distinct(F.transform(keys, key_hash))).alias("k")).where("k is not null")  # outer: the optimizer would hash all lines again to test for none
     staged = materialise(hashed.select("__tm_r1", "__tm_r2", "k.h1", "k.h2", F.pmod("__tm_r2", F.lit(batches)).cast("int").alias("batch")), "lines", partition_by="batch")
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
