@@ -241,6 +241,8 @@ def test_op4_fuzz():
     texts = ["".join(rng.choice(" \t\nab1.é中🙂▁" + " " * rng.choice([0, 12])) for _ in range(rng.randrange(60))) for _ in range(500)]
     ids = codec.encode(texts)
     assert ids == judge.encode(texts)
+    longer = [" ".join(texts[i : i + 9]) for i in range(0, 480, 3)]
+    assert op4.judged(judge, longer, 1, True) == judge.encode(longer)
     assert codec.decode(ids) == codec.tokenizer.decode_batch(ids)
 
 

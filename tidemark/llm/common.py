@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import readers
+
 # What separates words, and what is stripped from lines.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,7 +21,7 @@ ARROW_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.table(spark, sf_dir, name, spread=name == "documents")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -55,6 +57,12 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder. For the end of a session: results that were not written yet need them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidemark")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_table(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
     """A driver-made table of a few rows as a plan without Python serialisation."""
     text = json.dumps([dict(zip(schema.names, r)) for r in rows])
