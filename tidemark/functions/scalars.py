@@ -60,8 +60,8 @@ def tokens(text: Column) -> Column:
 
 
 def without(words: Column, stop_words: Iterable[str]) -> Column:
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    stop = list(stop_words)
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
 def contains_term(text: Column, term: str, whole_words: bool = False) -> Column:

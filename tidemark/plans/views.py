@@ -28,7 +28,7 @@ def months(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)), 1, 100).alias("title"), F.col("text").alias("abstract"), F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(0)).alias("src"))
+    d = table(spark, sf, "documents", spread=True).select("doc_id", F.substring(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)), 1, 100).alias("title"), F.col("text").alias("abstract"), F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(0)).alias("src"))
     primary = (F.col("src") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)) % 4
     d = d.select("*", F.concat(F.lit("c"), F.col("src") % 4).alias("query_category"), F.concat(F.lit("c"), primary).alias("primary_category"), F.date_format(F.add_months(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 48).cast("int")), "yyyy-MM").alias("month"), (2020 + F.floor((F.col("doc_id") % 48) / 12)).cast("int").alias("year"))
     categories = F.concat(F.col("query_category"), F.when(F.col("query_category") != F.col("primary_category"), F.concat(F.lit("|"), "primary_category")).otherwise(""), F.when(F.col("doc_id") % 3 == 0, "|x").otherwise(""))

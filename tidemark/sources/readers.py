@@ -57,5 +57,16 @@ def merged_topics(df: DataFrame) -> DataFrame:
     return df.withColumn("merged_topics", F.from_json("merged_topics", T.ArrayType(T.IntegerType())))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables below this many bytes may be one row group, which is one task whatever the cores.
+SMALL_TABLE = 32 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A Parquet table of a folder. ``spread`` deals the rows of a small one over all cores, for work that is heavy by row."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() < SMALL_TABLE:
+            df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
