@@ -27,7 +27,7 @@ from tidemark.llm.wordtable import BYTE_POWERS, BYTE_VALUE, U, Words, buffers, c
 
 MIN_CONTENT = 0.5
 SAMPLE_ROWS = 2000
-TRAIN_STEPS, TRAIN_LINES = 200, 256
+TRAIN_STEPS, TRAIN_LINES = 200, 64
 # The symbols of the base rule, and words that licence lines are made of.
 SYMBOLS = b"#*$%&|<>"
 LICENCE_WORDS = ["Licensed", "licensed", "License,", "License.", "Released", "License", "rights", "reserved.", "Copyright", "copyright", "CC"]
@@ -167,38 +167,43 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> n
 
 
 def train(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = TRAIN_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a small ridge, by Adam on forward-backward gradients; long texts are cut into stretches."""
+    """Maximum likelihood with a small ridge, by Adam on forward-backward gradients; long texts are cut into stretches.
+
+    Stretches are in order of length, so that those with a line at place i are the first ``active[i]``.
+    """
     starts = np.concatenate([np.arange(a, b, TRAIN_LINES) for a, b in zip(first[:-1], first[1:])])
-    stops = np.minimum(starts + TRAIN_LINES, np.repeat(first[1:], -(-np.diff(first) // TRAIN_LINES)))
-    n, length = len(starts), int((stops - starts).max())
-    at = np.minimum(starts[:, None] + np.arange(length), len(x) - 1)
-    mask = (starts[:, None] + np.arange(length)) < stops[:, None]
-    xs, ys = x[at] * mask[..., None], y[at] * mask
+    sizes = np.minimum(TRAIN_LINES, np.repeat(first[1:], -(-np.diff(first) // TRAIN_LINES)) - starts)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    active = [int((sizes > i).sum()) for i in range(int(sizes[0]))]
+    at = [starts[:m] + i for i, m in enumerate(active)]
+    seen = np.zeros((2, 2))
+    for i in range(1, len(at)):
+        np.add.at(seen, (y[at[i] - 1].astype(int), y[at[i]].astype(int)), 1)
     w, t = DEFAULT[0].copy(), DEFAULT[1].copy()
     m = v = np.zeros(len(w) + 4)
-    total = mask.sum()
     for step in range(1, steps + 1):
-        e = xs @ w
-        f = np.zeros((length, n, 2))
-        f[0, :, 1] = e[:, 0]
-        for i in range(1, length):
-            f[i] = np.logaddexp(f[i - 1, :, 0, None] + t[0], f[i - 1, :, 1, None] + t[1])
-            f[i, :, 1] += e[:, i]
-            f[i] = np.where(mask[:, i, None], f[i], f[i - 1])
-        z = np.logaddexp(f[-1, :, 0], f[-1, :, 1])
-        b = np.zeros((n, 2))
-        gw, gt = np.zeros(len(w)), np.zeros((2, 2))
-        for i in range(length - 1, -1, -1):
-            p1 = np.exp(f[i, :, 1] + b[:, 1] - z)
-            gw += (xs[:, i] * ((ys[:, i] - p1) * mask[:, i])[:, None]).sum(axis=0)
+        e = x @ w
+        f, z = [], np.zeros(len(starts))
+        for i, n in enumerate(active):
+            now = np.zeros((n, 2))
+            if i:
+                now[:, 0] = np.logaddexp(f[-1][:n, 0] + t[0, 0], f[-1][:n, 1] + t[1, 0])
+                now[:, 1] = np.logaddexp(f[-1][:n, 0] + t[0, 1], f[-1][:n, 1] + t[1, 1])
+            now[:, 1] += e[at[i]]
+            z[:n] = np.logaddexp(now[:, 0], now[:, 1])
+            f.append(now)
+        p, expected, back = np.zeros(len(x)), np.zeros((2, 2)), np.zeros((len(starts), 2))
+        for i in range(len(active) - 1, -1, -1):
+            n = active[i]
+            p[at[i]] = np.exp(f[i][:, 1] + back[:n, 1] - z[:n])
             if i:
-                ahead = b + np.stack([np.zeros(n), e[:, i]], 1)
-                joint = np.exp(f[i - 1, :, :, None] + t[None] + ahead[:, None, :] - z[:, None, None]) * mask[:, i, None, None]
-                gt -= joint.sum(axis=0)
-                np.add.at(gt, (ys[:, i - 1][mask[:, i]].astype(int), ys[:, i][mask[:, i]].astype(int)), 1)
-                new = np.logaddexp(t[:, 0][None] + ahead[:, 0, None], t[:, 1][None] + ahead[:, 1, None])
-                b = np.where(mask[:, i, None], new, b)
-        g = np.concatenate([gw, gt.ravel()]) / total - 1e-4 * np.concatenate([w, t.ravel()])
+                ahead = [back[:n, 0], back[:n, 1] + e[at[i]]]
+                for j in (0, 1):
+                    for k in (0, 1):
+                        expected[j, k] += np.exp(f[i - 1][:n, j] + t[j, k] + ahead[k] - z[:n]).sum()
+                back[:n] = np.stack([np.logaddexp(t[j, 0] + ahead[0], t[j, 1] + ahead[1]) for j in (0, 1)], 1)
+        g = np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / len(x) - 1e-4 * np.concatenate([w, t.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         delta = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w + delta[: len(w)], t + delta[len(w) :].reshape(2, 2)
