@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.scratch", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("tidemark.scratch", None)
     if not root:
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.scratch", root)

@@ -147,5 +147,21 @@ def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> Data
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, blocks = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
+    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, row_number() OVER (PARTITION BY doc_id, source, text) AS dup FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, CAST(2 * words AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS r FROM w),
+c AS (SELECT *, (CAST(1.5 * (SELECT sum(words) FROM s) AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(CAST(weight AS DOUBLE)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT min(r) AS r, arg_min(level, r) AS level FROM c WHERE cap > level * CAST(weight AS DOUBLE)),
+t AS (SELECT source, words, CASE WHEN f.r IS NULL OR c.r < f.r THEN cap ELSE f.level * CAST(weight AS DOUBLE) END AS target FROM c, f),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+b AS (SELECT d.*, q.words, q.target, CASE WHEN q.words > 0 THEN quota // q.words ELSE 0 END AS whole, quota - CASE WHEN q.words > 0 THEN quota // q.words ELSE 0 END * q.words AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(md5('doc42:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || dup), 1, 15) AS BIGINT), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, words AS source_size, target, CAST(whole * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM b
+"""
