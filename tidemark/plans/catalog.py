@@ -718,8 +718,8 @@ def t15_grid(spark, sf):
 def f_scalars(spark, sf):
     d = V.docs(spark, sf)
     return d.select(
-        "doc_id", (F.coalesce("title", F.lit("")) == "").alias("no_title"), F.length("title").alias("n_title"), S.n_categories(F.col("categories")).alias("n_categories"), F.round(S.share(F.col("doc_id"), F.when(F.col("src") > 0, F.col("src"))), 6).alias("safe_ratio"),
-        S.year_before(F.col("month")).alias("year_before"), S.months_between_floor(F.col("month"), F.lit("2020-01")).alias("spans"), F.concat_ws("-", "query_category", "primary_category").alias("pair"),
+        "doc_id", (F.coalesce("title", F.lit("")) == "").alias("no_title"), F.length("title").cast("long").alias("n_title"), S.n_categories(F.col("categories")).cast("long").alias("n_categories"), F.round(S.share(F.col("doc_id"), F.when(F.col("src") > 0, F.col("src"))), 6).alias("safe_ratio"),
+        S.year_before(F.col("month")).alias("year_before"), S.months_between_floor(F.col("month"), F.lit("2020-01")).cast("long").alias("spans"), F.concat_ws("-", "query_category", "primary_category").alias("pair"),
         F.when(F.col("src") > 12, "high").when(F.col("src") < 4, "low").otherwise("mid").alias("status"), F.round(F.log1p("src"), 6).alias("log1p_src"), F.greatest(F.lit(3), F.least(F.lit(9), F.col("src"))).alias("clamped"), S.contains_term(F.lower("abstract"), "gan").alias("has_gan"),
     )
 
@@ -734,7 +734,7 @@ def w_windows(spark, sf):
     o = growth.by_month()
     return V.months(spark, sf).select(
         "category", "month", "count", F.sum("count").over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.lag("count", 1).over(o).alias("lag1"), F.lag("count", 4).over(o).alias("lag4"), F.lead("count").over(o).alias("nxt"),
-        F.round(F.avg("count").over(Window.partitionBy("category", F.substring("month", 1, 4))), 6).alias("year_mean"), F.row_number().over(Window.partitionBy("category").orderBy(F.col("count").desc(), "month")).alias("rank"),
+        F.round(F.avg("count").over(Window.partitionBy("category", F.substring("month", 1, 4))), 6).alias("year_mean"), F.row_number().over(Window.partitionBy("category").orderBy(F.col("count").desc(), "month")).cast("long").alias("rank"),
     )
 
 
@@ -785,7 +785,7 @@ def j11_term_hits(spark, sf):
 def x_sets(spark, sf):
     third = F.col("doc_id") % 3 == 0
     s = V.docs(spark, sf).groupBy("year").agg(F.collect_set(F.when(third, F.col("src"))).alias("a"), F.collect_set(F.when(~third, F.col("src"))).alias("b"))
-    return s.select("year", F.size(F.array_intersect("a", "b")).alias("n_both"), F.size(F.array_union("a", "b")).alias("n_any"))
+    return s.select("year", F.size(F.array_intersect("a", "b")).cast("long").alias("n_both"), F.size(F.array_union("a", "b")).cast("long").alias("n_any"))
 
 
 @query("SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(abstract), ' ')) AS word FROM docs) WHERE word <> '' GROUP BY 1) ORDER BY n DESC, word LIMIT 30", V.DOCS)
