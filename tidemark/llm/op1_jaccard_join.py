@@ -380,9 +380,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, rec
 
 def without_near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each class; documents without words all stay."""
-    kept = classes(docs, k, threshold, recall).where("first").select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).groupBy("_r1", "_r2").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = docs.withColumns({"_r1": F.xxhash64("doc_id", "text"), "_r2": F.xxhash64(F.lit(3), "doc_id", "text")}).join(kept, ["_r1", "_r2"])
-    return tagged.withColumn("_at", F.row_number().over(Window.partitionBy("_r1", "_r2").orderBy("doc_id"))).where("_at <= _n").select(*docs.columns)
+    kept = classes(docs, k, threshold, recall).where("first").select(F.col("r1").alias("__tm_r1"), F.col("r2").alias("__tm_r2")).groupBy("__tm_r1", "__tm_r2").agg(F.count(F.lit(1)).alias("__tm_n"))
+    tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "text")}).join(kept, ["__tm_r1", "__tm_r2"])
+    return tagged.withColumn("__tm_at", F.row_number().over(Window.partitionBy("__tm_r1", "__tm_r2").orderBy("doc_id"))).where("__tm_at <= __tm_n").select(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
