@@ -10,8 +10,8 @@
    combined: the smallest and largest doc_id); those found in several documents go back to the documents after the first.
 3. Each document drops the words of its windows among those (by hash, recomputed from the text).
 
-Exact copies first: texts with equal words are represented by the smallest doc_id in pass 2; the others lose what the
-rule says through the representative. Null text has no words; a null doc_id counts as larger than all others; rows with
+Texts with equal words are represented by the smallest doc_id in the exact pass; the others lose what the rule says
+through the representative (the sketch counts them all). Null text has no words; a null doc_id counts as larger than all others; rows with
 equal doc_id do not remove each other's words; texts under 50 words stay as they are; an empty table gives an empty result.
 """
 
@@ -190,7 +190,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     copies = copies.join(shared, "doc", "left_anti")
     texts = docs.join(copies, "doc", "left_anti")
     n_windows = marks.agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(0)))).first()[0] or 0
-    bits, cells = sketch(texts, n_windows, window, anchor, max_cells)
+    bits, cells = sketch(docs, n_windows, window, anchor, max_cells)  # copies count too: that overestimates, and spares a join of all texts
     shipped = spark.sparkContext.broadcast(bits)
     found = materialise(texts.select("doc", "text").mapInArrow(candidates(shipped, cells, window, anchor), "doc long, h1 long, h2 int"), "windows")
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
