@@ -448,3 +448,27 @@ def test_op10_adds_secrets(spark):
     texts = {i: t for i, t, _ in rows}
     for r in got:
         assert [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] == [hashlib.sha1(str(r["doc_id"]).encode()).hexdigest()]
+
+
+def test_op10_adjacent_numbers(spark):
+    a, b, c = "7536784127813050", "4845168114407329", "2353820953013749"
+    grouped = lambda x, by: by.join(x[i : i + 4] for i in range(0, 16, 4))
+    cases = [
+        (f"cards {a} {b} end", [a, b]),
+        (f"{c} {b}", [c, b]),
+        (" ".join([a, b, c] * 20), [a, b, c] * 20),
+        (grouped(a, " ") + " " + grouped(b, " "), [grouped(a, " "), grouped(b, " ")]),
+        (grouped(a, "-") + "-" + grouped(b, "-"), [grouped(a, "-"), grouped(b, "-")]),
+        ("2024-01-15 " + grouped(a, "-") + " 77 " + b + " 123456789", [grouped(a, "-"), b, "123456789"]),
+        ("account 123456789012 987654321098 5", ["123456789012", "987654321098"]),
+        ("1" * 30, ["1" * 30]),
+        ("123 " * 13, [("123 " * 6)[:-1], ("123 " * 7)[:-1]]),
+        ("ünï 12345678 123456789012345678901234567890", ["123456789012345678901234567890"]),
+        ("123456789012 345678901234", ["123456789012 345678901234"]),
+    ]
+    rows = [(i, t, "s") for i, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in op10.extract(make(spark, rows)).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert not got[i]["base"] and [t[s["start"] : s["end"]] for s in got[i]["wide"]] == want, t
+    added = op10.find_pii(make(spark, rows[:2])).collect()
+    assert all(len(r["added"]) == 2 for r in added)

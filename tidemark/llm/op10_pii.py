@@ -1,13 +1,14 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
 Candidates come from patterns: the four base kinds (email, ip, card, phone), and wider ones: account (long digit chains
-that are no base card), contact (spelt-out addresses, telephone numbers without a plus) and secret (values after token,
-key, password and the like). Five labelers vote 1, 0 or -1 on each: the kind's strict shape, a gazetteer (providers,
-country codes, card issuers, reserved networks, secret names), context words before the span, its boundaries, and the
-variety of its digits. Votes are summed up into a table of vote patterns, a few hundred rows whatever the input; on it
-expectation-maximisation estimates each labeler's reliability and each pattern's probability, and a logistic span
-classifier is trained on kind, votes and length against these probabilities. The classifier adds spans of the wider kinds
-at ``CUT`` or more; spans of the base rules always stay.
+that are no base card; a chain of more than ``LONGEST`` digits is split into its numbers, and those that are valid cards
+are candidates of kind card), contact (spelt-out addresses, telephone numbers without a plus) and secret (values after
+token, key, password and the like). Five labelers vote 1, 0 or -1 on each: the kind's strict shape, a gazetteer
+(providers, country codes, card issuers, reserved networks, secret names), context words before the span, its
+boundaries, and the variety of its digits. Votes are summed up into a table of vote patterns, a few hundred rows
+whatever the input; on it expectation-maximisation estimates each labeler's reliability and each pattern's probability,
+and a logistic span classifier is trained on kind, votes and length against these probabilities. The classifier adds
+spans of the wider kinds and of cards inside longer chains at ``CUT`` or more; spans of the base rules always stay.
 
 All text work is built-in expressions: a pattern splits the text, and a span starts where the pieces before it end.
 Patterns are possessive and look behind, so a long run of matching characters is scanned once. Positions are code
@@ -29,6 +30,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+NUMBERS = r"(?<![0-9-])(?:[0-9]-?){8,23}[0-9](?![0-9-])|[0-9]++"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # The wider patterns and the labelers' lists.
 CONTACT = r"(?<![A-Za-z0-9+])(?:[A-Za-z0-9._-]{1,40} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40} ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,10}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4})(?![0-9])"
@@ -46,6 +48,7 @@ KINDS = BASE + ADDED
 LABELERS = ("shape", "gazetteer", "context", "boundary", "variety")
 CUT = 0.5
 AROUND = 24
+LONGEST = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -150,8 +153,54 @@ def inside_any(s: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
 
 
+def numbers(chain: Column) -> Column:
+    """The numbers of a chain of more than ``LONGEST`` digits, split at its blanks and hyphens.
+
+    A group of nine or more digits is a number of its own (so is a hyphened one of up to 24 between blanks). Of shorter
+    groups, neighbours that form a valid card are one number; the others are joined up to 19 digits, and a rest of fewer
+    than nine goes to the number before it.
+    """
+    none = F.array().cast("array<struct<a:int,b:int,n:int,open:boolean>>")
+
+    def part(a: Column, b: Column, n: Column, still: bool) -> Column:
+        return F.array(F.struct(a.alias("a"), b.alias("b"), n.alias("n"), F.lit(still).alias("open")))
+
+    def build(groups: Column) -> Column:
+        n = F.size(groups)
+        length = lambda i: F.length(digits(F.get(groups, i)["word"]))
+
+        def card_end(i: Column) -> Column:
+            """The last group of the shortest valid card of short groups from ``i`` on, or null."""
+            ends = F.when(i + 1 < n, F.sequence(i + 1, F.least(i + 18, n - 1))).otherwise(F.array().cast("array<int>"))
+            valid = lambda j: let(F.slice(groups, i + 1, j - i + 1), lambda g: F.forall(g, lambda x: F.length(digits(x["word"])) < 9) & is_card(F.array_join(F.transform(g, lambda x: x["word"]), "")))
+            return F.get(F.filter(ends, valid), F.lit(0))
+
+        def step(acc: Column, i: Column) -> Column:
+            last, size = F.get(acc, F.size(acc) - 1), length(i)
+            joins = last["open"] & (last["n"] + size <= 19)
+            longer = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), part(last["a"], i, last["n"] + size, True))
+            short = let(card_end(i), lambda j: F.when(j.isNotNull(), F.concat(acc, part(i, j, F.lit(16), False))).when(joins, longer).otherwise(F.concat(acc, part(i, i, size, True))))
+            return F.when(i <= last["b"], acc).when(size >= 9, F.concat(acc, part(i, i, size, False))).otherwise(short)
+
+        def spans(parts: Column) -> Column:
+            tail = lambda p, q: p["open"] & q["open"] & (q["n"] < 9)
+            whole = F.transform(parts, lambda p, k: F.struct(p["a"].alias("a"), F.when(tail(p, F.get(parts, k + 1)), F.get(parts, k + 1)["b"]).otherwise(p["b"]).alias("b"), p["n"].alias("n")))
+            return F.transform(F.filter(whole, lambda p: p["n"] >= 9), lambda p: cut(F.get(groups, p["a"]), F.get(groups, p["b"]), p["a"] == 0, p["b"] == n - 1))
+
+        def cut(first: Column, last: Column, at_start: Column, at_end: Column) -> Column:
+            """The words before the chain stand before each of its numbers."""
+            word = F.substring(chain["word"], (first["at"] + 1).cast("int"), (last["at"] + F.length(last["word"]) - first["at"]).cast("int"))
+            before = F.when(at_start, chain["before"]).otherwise(F.concat(chain["before"], F.lit(" ")))
+            after = F.when(at_end, chain["after"]).otherwise(F.lit(" "))
+            return F.struct((chain["at"] + first["at"]).alias("at"), word.alias("word"), before.alias("before"), after.alias("after"))
+
+        return let(F.aggregate(F.sequence(F.lit(0), n - 1), none, step), spans)
+
+    return let(matches(chain["word"], NUMBERS, F.lit(True)), build)
+
+
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, base: array of base spans, wide: array of other candidates that touch no base span and no earlier candidate kind."""
+    """doc_id, base: array of base spans, wide: array of other candidates (cards of longer chains too) that touch no base span and no earlier candidate kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = F.rlike(text, F.lit("[0-9][0-9 .()-]{6,}[0-9]"))
     raw = docs.select(
@@ -172,11 +221,12 @@ def extract(docs: DataFrame) -> DataFrame:
         F.transform(kept("chain", is_card), lambda s: span("card", s)),
         F.transform(kept("phone", is_phone), lambda s: span("phone", s)),
     )
-    chains = F.filter("chain", lambda s: F.length(digits(s["word"])).between(9, 24) & ~is_card(s["word"]))
+    chains = F.filter("chain", lambda s: (F.length(digits(s["word"])) >= 9) & ~is_card(s["word"]))
+    chains = F.flatten(F.transform(chains, lambda s: F.when(F.length(digits(s["word"])) > LONGEST, numbers(s)).otherwise(F.array(s))))
     wide = raw.withColumn("base", base).withColumn("contact", F.filter(F.transform("contact", lambda s: span("contact", s)), lambda s: ~inside_any(s, F.col("base"))))
     wide = wide.withColumn("secret", F.filter(F.transform("secret", lambda s: span("secret", s)), lambda s: ~inside_any(s, F.col("base"))))
     taken = F.concat("base", "contact", "secret")
-    wide = wide.withColumn("account", let(taken, lambda t: F.filter(F.transform(chains, lambda s: span("account", s)), lambda s: ~inside_any(s, t))))
+    wide = wide.withColumn("account", let(taken, lambda t: F.filter(F.transform(chains, lambda s: F.when(is_card(s["word"]), span("card", s)).otherwise(span("account", s))), lambda s: ~inside_any(s, t))))
     return wide.select("doc_id", "base", F.concat("account", "contact", "secret").alias("wide"))
 
 
