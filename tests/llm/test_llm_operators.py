@@ -340,6 +340,13 @@ def test_op7_documents_of_the_mix(spark, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_op7_cut_document_keeps_its_lines(spark):
+    texts = {i: "  " + "\n\t".join(f"w{i}x{k}" for k in range(50 + i)) + "\n" for i in range(9)}
+    out = op7.mixed_documents(make(spark, [(i, t, "abc"[i % 3]) for i, t in texts.items()])).collect()
+    cut = [r for r in out if r["text"] != texts[r["doc_id"]]]
+    assert cut and all(texts[r["doc_id"]].startswith(r["text"] + "\n\t") for r in cut)
+
+
 def brute_lines(rows, min_docs=10):
     strip = " \t\n\x0b\x0c\r"
     low = str.maketrans(op8.UPPER, op8.UPPER.lower())

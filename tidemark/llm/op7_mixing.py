@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, n_words, position, small_table, table
+from tidemark.llm.common import WORD, materialise, n_words, position, small_table, table
 
 WEIGHTS = (5, 2, 1)
 BITS, CELLS = 60, 4096
@@ -134,13 +134,14 @@ def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame,
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> DataFrame:
-    """The mix as documents, one row for each block; a cut block keeps its first words, joined by one space."""
+    """The mix as documents, one row for each block; a cut block keeps its first words with the blanks and line breaks before them."""
     _, blocks = mix(docs, seed, n_shards)
     tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "source", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text"), "__tm_size": n_words(F.col("text"))})
     tagged = tagged.withColumn("__tm_dup", F.row_number().over(Window.partitionBy("__tm_r1", "__tm_r2").orderBy("__tm_size")))
     drawn = blocks.select(F.col("r1").alias("__tm_r1"), F.col("r2").alias("__tm_r2"), F.col("dup").alias("__tm_dup"), F.col("words").alias("__tm_words"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("__tm_words") < F.col("__tm_size"), F.array_join(F.slice(words, 1, F.col("__tm_words").cast("int")), " ")).otherwise(F.col("text"))
+    n = F.col("__tm_words").cast("int")
+    first = F.zip_with(F.slice(F.split("text", WORD, -1), 1, n), F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, n), lambda gap, word: F.concat(gap, word))
+    text = F.when(F.col("__tm_words") < F.col("__tm_size"), F.array_join(first, "")).otherwise(F.col("text"))
     out = tagged.join(drawn, ["__tm_r1", "__tm_r2", "__tm_dup"]).withColumn("__tm_text", text)
     return out.select(*[F.col("__tm_text").alias("text") if c == "text" else F.length("__tm_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
