@@ -314,6 +314,23 @@ def test_op7_tree_keeps_quotas():
     assert shards == op7.split_tree(quotas, 16, 7)
 
 
+@pytest.mark.parametrize("total,marked,drawn", [(10**9, 20_000, 20_000), (10**9, 10**9 - 20_000, 20_000), (60, 20, 30), (40_000, 20_000, 39_998), (50, 50, 7), (9, 4, 0)])
+def test_op7_draws_are_hypergeometric(total, marked, drawn):
+    import math
+
+    rng, n = random.Random(11), 4000
+    got = Counter(op7.draw_hypergeometric(rng, total, marked, drawn) for _ in range(n))
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    assert all(max(0, drawn - (total - marked)) <= k <= min(marked, drawn) for k in got)
+    if total <= 40_000:
+        chance = {k: math.exp(log(marked, k) + log(total - marked, drawn - k) - log(total, drawn)) for k in got}
+    else:  # few of the 20,000 meet: the Poisson limit
+        few = lambda k: k if marked <= drawn else drawn - k
+        chance = {k: math.exp(-0.4) * 0.4 ** few(k) / math.factorial(few(k)) for k in got}
+    assert all(abs(got[k] / n - p) < 0.035 for k, p in chance.items())
+    assert sum(chance.values()) > 0.99
+
+
 def test_op7_takes_the_targets(spark, docs, empty):
     rows, blocks = op7.mix(docs)
     taken = {r["row_id"]: r["t"] for r in blocks.groupBy("row_id").agg(F.sum("words").alias("t")).collect()}

@@ -17,6 +17,8 @@ every respect are told apart by a running number; an empty table gives an empty
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import random
 
@@ -28,7 +30,6 @@ from tidemark.llm.common import WORD, materialise, n_words, position, small_tabl
 
 WEIGHTS = (5, 2, 1)
 BITS, CELLS = 60, 4096
-EXACT_DRAWS = 10_000
 
 
 def water_fill(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0) -> list[float]:
@@ -50,19 +51,27 @@ def water_fill(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def draw_hypergeometric(rng: random.Random, total: int, marked: int, drawn: int) -> int:
-    """Marked ones among ``drawn`` of ``total``: drawn one by one up to EXACT_DRAWS, beyond that by the normal limit within the exact support."""
-    if min(marked, drawn) == 0:
-        return 0
+    """Marked ones among ``drawn`` of ``total``: inversion over the probabilities around the mode, each from its neighbour's.
+
+    Left out is what lies beyond ``reach`` of the mode, less than e^-48 by Bernstein's inequality: a double does not resolve it.
+    """
     low, high = max(0, drawn - (total - marked)), min(marked, drawn)
-    if min(marked, drawn) <= EXACT_DRAWS:
-        a, b = (marked, drawn) if marked <= drawn else (drawn, marked)
-        got = 0
-        for i in range(a):
-            got += rng.random() * (total - i) < b - got
-        return min(max(got, low), high)
+    if low == high:
+        return low
     mean = drawn * marked / total
-    sd = math.sqrt(mean * (1 - marked / total) * (total - drawn) / max(1, total - 1))
-    return min(max(round(rng.gauss(mean, sd)), low), high)
+    reach = math.ceil(10 * math.sqrt(mean * (1 - marked / total) * (total - drawn) / max(1, total - 1))) + 60
+    mode = min(max((drawn + 1) * (marked + 1) // (total + 2), low), high)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    below, weight = [], 1.0
+    for k in range(mode, first, -1):
+        weight *= k * (total - marked - drawn + k) / ((marked - k + 1) * (drawn - k + 1))
+        below.append(weight)
+    weights, weight = [*reversed(below), 1.0], 1.0
+    for k in range(mode, last):
+        weight *= (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))
+        weights.append(weight)
+    sums = list(itertools.accumulate(weights))
+    return min(first + bisect.bisect_right(sums, rng.random() * sums[-1]), last)
 
 
 def split_tree(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
