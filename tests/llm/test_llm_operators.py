@@ -296,6 +296,33 @@ def test_op6_empty_and_few(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in op6.top_k(few, lambda i: i % 50 == 0).collect()] == [(0, 1, 256 * 128)]
 
 
+@pytest.mark.parametrize("large", [2.0**21, 2.0**30, -(2.0**45)])
+def test_op6_large_components(spark, large):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.4, 6)]) for i in range(120)]
+    for i in (0, 7, 60):  # each in a dimension of its own, so that no score goes beyond 64 bits
+        vectors[i][1][(0, 7, 60).index(i)] = large
+    vectors[100][1][:3] = [0.0, 0.25, -0.5]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {}
+    for r in op6.top_k(df, lambda i: i % 50 == 0, block_rows=40, query_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top(vectors, 5)
+
+
+def test_op6_scores_beyond_64_bits(spark):
+    shape = "vec_id long, embedding array<float>"
+    two = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], shape)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        op6.top_k(two, lambda i: i % 50 == 0).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        op6.top_k(spark.createDataFrame([(0, [1e30])], shape), lambda i: i % 50 == 0).collect()
+    index = op6.BitSlices(np.arange(3), np.array([[-(2**63), 5], [2**63 - 20, 7], [3, -4]]), 2)
+    assert [x.tolist() for x in index.top(9, np.array([1, 2]), 2)] == [[1, 2], [2**63 - 6, -5]]
+    with pytest.raises(OverflowError):
+        index.top(9, np.array([-1, 0]), 1)
+
+
 def test_op7_water_fill():
     sizes = [100, 1000, 1000, 10, 5000]
     got = op7.water_fill(sizes)

@@ -11,7 +11,8 @@ true score by a known most; rows within that of the boundary are resolved with t
 Every query meets every block (a stated query set against all rows, in blocks); each pair of blocks returns k rows a
 query, and the best k of those remain. Rows whose vector is null, or holds a null or a component that is not finite,
 take no part; a vector of another length than the query's shares only its own length's blocks; a query's own row (same
-id) is no candidate; repeated rows count as often as they occur. An empty table gives an empty result.
+id) is no candidate; repeated rows count as often as they occur. An empty table gives an empty result. Integers have 64
+bits; a scaled component beyond them, or a score beyond them among the k best of a block, is an error, never a wrong row.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ class BitSlices:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values, self.dropped = ids[order], values[order], dropped
         self.n, self.low = len(ids), values.min(axis=0)
-        shifted = self.values - self.low
+        shifted = self.values.astype(np.uint64) - self.low.astype(np.uint64)  # wraps to the true difference, below 2^64
+        self.reach = [max(abs(int(a)), abs(int(b))) for a, b in zip(self.low, self.values.max(axis=0))]
         self.digits = [max(0, int(m).bit_length() - dropped) for m in shifted.max(axis=0)]
         width = -(-self.n // 64) * 64
-        padded = np.zeros((width, values.shape[1]), np.int64)
+        padded = np.zeros((width, values.shape[1]), np.uint64)
         padded[: self.n] = shifted >> dropped
         self.slices = [[pack((padded[:, d] >> b) & 1 == 1) for b in range(self.digits[d])] for d in range(values.shape[1])]
         self.all = pack(np.arange(width) < self.n)
@@ -106,7 +108,8 @@ class BitSlices:
             return np.arange(self.n)
         total = self.sums(query)
         room = (1 << self.dropped) - 1
-        most, least = room * int(query[query > 0].sum()), room * int(query[query < 0].sum())
+        numbers = query.tolist()
+        most, least = room * sum(q for q in numbers if q > 0), room * sum(q for q in numbers if q < 0)
         edge, threshold, found = self.all.copy(), 0, 0
         for b in range(len(total) - 1, -1, -1):
             high = edge & total[b]
@@ -141,14 +144,32 @@ class BitSlices:
         mine = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
         rows = self.candidates(query, k + mine)
         rows = rows[self.ids[rows] != own]
-        scores = self.values[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
+        if sum(abs(q) * r for q, r in zip(query.tolist(), self.reach)) < 2**63:
+            scores = self.values[rows] @ query
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+        else:
+            exact = self.values[rows].astype(object) @ query.astype(object)
+            best = np.array(sorted(range(len(rows)), key=lambda i: (-exact[i], self.ids[rows[i]]))[:k], np.int64)
+            if any(not -(2**63) <= exact[i] < 2**63 for i in best):
+                raise OverflowError(f"query {own}: a score is beyond 64 bits")
+            scores = exact[best].astype(np.int64)
+            return self.ids[rows][best], scores
         return self.ids[rows][best], scores[best]
 
 
+def narrow(vectors: np.ndarray) -> bytes:
+    """Integers as bytes, four each where all of them fit, else eight."""
+    fits = -(2**31) <= int(vectors.min()) and int(vectors.max()) < 2**31
+    return vectors.astype("<i4" if fits else "<i8").tobytes()
+
+
+def wide(data: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // (rows * dims)}").astype(np.int64).reshape(rows, dims)
+
+
 def block_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     """One block's rows as one record: ids and integers as bytes."""
-    return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(part["v"].to_numpy()).astype("<i4").tobytes()]})
+    return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "vectors": [narrow(np.stack(part["v"].to_numpy()))]})
 
 
 def search(k: int, dropped: int) -> Callable:
@@ -157,8 +178,10 @@ def search(k: int, dropped: int) -> Callable:
         for batch in batches:
             for r in batch.to_pylist():
                 if held != (r["dims"], r["block"]):
-                    held, index = (r["dims"], r["block"]), BitSlices(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], "<i4").astype(np.int64).reshape(-1, r["dims"]), dropped)
-                own, queries = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"], "<i4").astype(np.int64).reshape(-1, r["dims"])
+                    ids = np.frombuffer(r["ids"], np.int64)
+                    held, index = (r["dims"], r["block"]), BitSlices(ids, wide(r["vectors"], len(ids), r["dims"]), dropped)
+                own = np.frombuffer(r["query_ids"], np.int64)
+                queries = wide(r["queries"], len(own), r["dims"])
                 out = [(q, *index.top(int(q), v, k)) for q, v in zip(own, queries)]
                 yield pa.record_batch([pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"])
 
@@ -166,10 +189,11 @@ def search(k: int, dropped: int) -> Callable:
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(id, v array<int>) of the rows that take part."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**21)))
+    """(id, v array<bigint>) of the rows that take part."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**63), F.floor(x)).otherwise(F.raise_error(F.lit("embedding: a scaled component is beyond 64 bits")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    return rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: whole(x.cast("double") * scale)).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, dropped: int = DROPPED, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
