@@ -216,6 +216,15 @@ def test_op3_training_separates(spark):
     assert kept == {i for i in range(60) if i % 2 == 0}
 
 
+def test_op3_repeated_documents_do_not_crowd_out_a_label(spark):
+    rows = [(0, f"and the house {i} ***\nand the *** {i}", "s") for i in range(60)] + [(i, f"the river and {i} stones.\nthe house and {i}.", "s") for i in range(1, 5)]
+    labels = spark.createDataFrame([(0, 0, 0)] * 50 + [(i, 1, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    once = op3.fit(make(spark, rows[59:]), labels.distinct(), sample_rows=10)
+    got = op3.fit(make(spark, rows), labels, sample_rows=10)
+    assert got is not op3.DEFAULT and once is not op3.DEFAULT
+    assert len({tuple(op3.fit(make(spark, x), labels, sample_rows=10)[0]) for x in (rows, rows[::-1])}) == 1
+
+
 @pytest.mark.skipif(not os.path.exists(op4.MODEL_PATH), reason="no model file")
 def test_op4_matches_the_model_library(docs, empty):
     import sentencepiece

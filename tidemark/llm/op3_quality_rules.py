@@ -220,10 +220,12 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     arrow_batches(docs.sparkSession)
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(sample_features, "quality int, x binary").collect()
-    rows = sorted(((r["quality"], bytes(r["x"])) for r in rows if len(r["x"])))[: 2 * sample_rows]
+    # One text for each chosen doc_id and label, the first in hash order of those that repeat: never more rows than were chosen.
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = texts.select("quality", "text").mapInArrow(sample_features, "quality int, x binary").collect()
+    rows = sorted((r["quality"], bytes(r["x"])) for r in rows if len(r["x"]))
     if len({q for q, _ in rows}) < 2:
         return DEFAULT
     xs = [np.frombuffer(b, "<f4").reshape(-1, len(FEATURES)).astype(float) for _, b in rows]
