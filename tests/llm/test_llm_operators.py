@@ -123,6 +123,20 @@ def test_op1_large_nodes_lose_no_link(spark):
     assert {r["doc"]: (r["class"], r["n_links"]) for r in got} == {i: (root[i], links[i]) for i in root}
 
 
+def test_op1_bounds_follow_the_threshold():
+    assert op1.bounds_for(0.8) == pytest.approx((0.55, 0.28, 0.5))
+    assert op1.bounds_for(0.5)[0] < 0.2 and op1.bounds_for(0.5)[1] < 0 and op1.bounds_for(0.5)[2] > 1
+
+
+def test_op1_lower_threshold_loses_no_link(spark):
+    rows = []
+    for i in range(120):  # pairs of 100 shingles each that share 75: 0.6 exactly
+        shared = [f"p{i}w{k}" for k in range(79)]
+        rows += [(2 * i + j, " ".join(shared + [f"p{i}s{j}w{k}" for k in range(25)]), "s") for j in (0, 1)]
+    got = op1.classes(make(spark, rows), threshold=0.6).collect()
+    assert {r["doc"]: (r["class"], r["n_links"]) for r in got} == {i: (i - i % 2, 1) for i in range(240)}
+
+
 def test_op1_keeps_one_of_each_class(spark, docs, empty):
     root, _ = brute_classes(corpus())
     kept = {r["doc_id"] for r in op1.without_near_duplicates(docs).collect()}

@@ -41,9 +41,9 @@ TOKENS = 128
 BRANCHES, LEVELS, SMALL = 3, 4, 256
 BRANCHES_BELOW = 2  # a pair comes down by a dozen paths at once
 RECALL = 0.999999
-LIKELY = 0.55  # estimate below which a pair at the threshold practically never falls (7 standard deviations)
 PIVOTS = 12
-LEAVES, RELATED, SPREAD = 0.7, 0.28, 0.5
+LEAVES = 0.7  # estimate at which a set leaves for its pivot
+NOISE, SPREAD_NOISE = 0.22, 0.1  # room for the estimates' errors, largest at one half
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 LAST = 2**63 - 1
 U = np.uint64
@@ -58,6 +58,17 @@ def runs_for(recall: float, threshold: float = THRESHOLD, branches: int = BRANCH
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
+def bounds_for(threshold: float) -> tuple[float, float, float]:
+    """(likely, related, spread) for pairs at the threshold.
+
+    likely: the estimate below which such a pair practically never falls, 7 standard deviations down. related, spread: how
+    far from a leaving set's pivot its partner may be, and how much farther than from the partner's own best pivot, by
+    the triangle inequality of the distance.
+    """
+    likely = threshold - 50**0.5 * (threshold * (1 - threshold) / TOKENS) ** 0.5
+    return likely, LEAVES - (1 - threshold) - NOISE - 1e-9, 2 * (1 - threshold) + SPREAD_NOISE + 1e-9
+
+
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, bounds): each text's distinct shingle hashes, ascending."""
     at, grams = words.grams(k)
@@ -182,63 +193,71 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_small(likely: float) -> Callable:
     """(node, other, rid, sig) sorted by node: pairs inside a node, or between its rows with other = 0 and 1; stars of the likely ones."""
-    for part in runs_of(batches):
-        node = np.asarray(part.column(0).combine_chunks())
-        side = np.asarray(part.column(1).combine_chunks())
-        rid = np.asarray(part.column(2).combine_chunks())
-        sig = tokens(part.column(3))
-        order = np.lexsort((rid, node))
-        node, side, rid, sig = node[order], side[order], rid[order], sig[order]
-        left, right = [], []
-        for k in range(1, len(node)):
-            i = np.flatnonzero(node[:-k] == node[k:])
-            if not len(i):
-                break
-            i = i[(side[i] == 2) | (side[i] != side[i + k])]
-            for s in range(0, len(i), 1 << 15):
-                x = i[s : s + (1 << 15)]
-                x = x[(sig[x] == sig[x + k]).sum(axis=1) >= LIKELY * TOKENS]
-                left.append(x)
-                right.append(x + k)
-        if not left:
-            continue
-        label = stars(len(node), np.concatenate(left), np.concatenate(right))
-        move = label != np.arange(len(node))
-        yield pa.record_batch([pa.array(rid[move]), pa.array(rid[label[move]])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs_of(batches):
+            node = np.asarray(part.column(0).combine_chunks())
+            side = np.asarray(part.column(1).combine_chunks())
+            rid = np.asarray(part.column(2).combine_chunks())
+            sig = tokens(part.column(3))
+            order = np.lexsort((rid, node))
+            node, side, rid, sig = node[order], side[order], rid[order], sig[order]
+            left, right = [], []
+            for k in range(1, len(node)):
+                i = np.flatnonzero(node[:-k] == node[k:])
+                if not len(i):
+                    break
+                i = i[(side[i] == 2) | (side[i] != side[i + k])]
+                for s in range(0, len(i), 1 << 15):
+                    x = i[s : s + (1 << 15)]
+                    x = x[(sig[x] == sig[x + k]).sum(axis=1) >= likely * TOKENS - 1e-9]
+                    left.append(x)
+                    right.append(x + k)
+            if not left:
+                continue
+            label = stars(len(node), np.concatenate(left), np.concatenate(right))
+            move = label != np.arange(len(node))
+            yield pa.record_batch([pa.array(rid[move]), pa.array(rid[label[move]])], ["a", "b"])
+
+    return run
 
-def shed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shed(related: float, spread: float) -> Callable:
     """(rid, node, sketch, pivots: array of (rid, sketch)) -> edges (a, b) without node and sketch, and rows that stay: (rid, 0, node, sketch)."""
-    for batch in batches:
-        rid, node, own = np.asarray(batch.column(0)), np.asarray(batch.column(1)), tokens(batch.column(2))
-        lists = batch.column(3)
-        bounds, pivots = np.asarray(lists.offsets), lists.values
-        pid, psk = np.asarray(pivots.field(0)), tokens(pivots.field(1))
-        count = np.diff(bounds)
-        row = np.repeat(np.arange(len(rid)), count)
-        which = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(len(row))
-        same = (own[row] == psk[which]).mean(axis=1)
-        most = np.maximum.reduceat(same, np.cumsum(count) - count) if len(row) else same
-        linked = (same >= RELATED) & (same >= most[row] - SPREAD)
-        row, which, same = row[linked], which[linked], same[linked]
-        ids, at = np.unique(np.concatenate([rid[row], pid[which]]), return_inverse=True)
-        label = stars(len(ids), at[: len(row)], at[len(row) :])
-        move = label != np.arange(len(ids))
-        pairs = np.stack([ids[move], ids[label[move]]])
-        stay = most < LEAVES
-        n, m = pairs.shape[1], int(stay.sum())
-        kept = batch.column(2).filter(pa.array(stay))
-        yield pa.record_batch(
-            [
-                pa.array(np.concatenate([pairs[0], rid[stay]])),
-                pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node[stay])]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), kept]),
-            ],
-            ["a", "b", "node", "sketch"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, node, own = np.asarray(batch.column(0)), np.asarray(batch.column(1)), tokens(batch.column(2))
+            lists = batch.column(3)
+            bounds, pivots = np.asarray(lists.offsets), lists.values
+            pid, psk = np.asarray(pivots.field(0)), tokens(pivots.field(1))
+            count = np.diff(bounds)
+            row = np.repeat(np.arange(len(rid)), count)
+            which = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(len(row))
+            same = (own[row] == psk[which]).mean(axis=1)
+            most = np.maximum.reduceat(same, np.cumsum(count) - count) if len(row) else same
+            linked = (same >= related) & (same >= most[row] - spread)
+            row, which, same = row[linked], which[linked], same[linked]
+            ids, at = np.unique(np.concatenate([rid[row], pid[which]]), return_inverse=True)
+            label = stars(len(ids), at[: len(row)], at[len(row) :])
+            move = label != np.arange(len(ids))
+            pairs = np.stack([ids[move], ids[label[move]]])
+            stay = most < LEAVES
+            n, m = pairs.shape[1], int(stay.sum())
+            kept = batch.column(2).filter(pa.array(stay))
+            yield pa.record_batch(
+                [
+                    pa.array(np.concatenate([pairs[0], rid[stay]])),
+                    pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node[stay])]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), kept]),
+                ],
+                ["a", "b", "node", "sketch"],
+            )
+
+    return run
 
 
 def overlaps(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -298,8 +317,9 @@ def verify(k: int, threshold: float) -> Callable:
     return run
 
 
-def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
+def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int = LEVELS, small: int = SMALL, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): sets that may be at or above the threshold, connected in stars."""
+    likely, related, spread = bounds_for(threshold)
     found: list[DataFrame] = []
     children = reps.select("rid", F.explode("paths").alias("node"))
     for level in range(levels):
@@ -310,20 +330,20 @@ def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int =
         held = held if level else held.join(reps.select("rid", "sketch"), "rid")
         held = materialise(held.select("rid", "node", "n", "least", "sketch"), f"held{level}", compact=True)
         little = held.where(F.col("n") <= small).select("node", F.lit(2).alias("side"), "rid", "sketch")
-        found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small, "a long, b long"))
+        found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small(likely), "a long, b long"))
         big = held.where(F.col("n") > small)
         if big.isEmpty():
             break
         drawn = (F.col("rid") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(9), "node", "rid"), F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS)).cast("long")) == 0)
         pivots = big.where(drawn).groupBy("node").agg(F.collect_list(F.struct("rid", "sketch")).alias("pivots"))
         split = big.select("rid", "node", "sketch").join(pivots, "node").select("rid", "node", "sketch", "pivots")
-        split = materialise(split.mapInArrow(shed, "a long, b long, node long, sketch binary"), f"shed{level}", compact=True)
+        split = materialise(split.mapInArrow(shed(related, spread), "a long, b long, node long, sketch binary"), f"shed{level}", compact=True)
         found.append(split.where("sketch is null").select("a", "b"))
         rest = split.where("sketch is not null").select(F.col("a").alias("rid"), "node", "sketch")
         if level + 1 < levels:
             children = materialise(rest.mapInArrow(grow(level + 1, below), "rid long, node long, sketch binary"), f"paths{level + 1}", compact=True)
         else:
-            found.append(in_blocks(rest, small))
+            found.append(in_blocks(rest, small, likely))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -340,11 +360,11 @@ def block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return pairs.withColumn("group", key).withColumn("side", side).drop("_own", "_other")
 
 
-def in_blocks(rest: DataFrame, small: int) -> DataFrame:
+def in_blocks(rest: DataFrame, small: int, likely: float) -> DataFrame:
     """All pairs of what no split made small, block against block."""
     sizes = rest.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(small)).cast("long").alias("blocks"))
     pairs = block_pairs(rest.join(sizes, "node"), "node", "blocks").select("group", "side", "rid", "sketch")
-    return pairs.repartition("group").sortWithinPartitions("group").mapInArrow(compare_small, "a long, b long")
+    return pairs.repartition("group").sortWithinPartitions("group").mapInArrow(compare_small(likely), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -357,7 +377,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, rec
     groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups", compact=True)
     reps = groups.select("rid", "weight").join(full.select("rid", "doc", "f1", "size", "paths", "sketch"), "rid")
     reps = materialise(reps, "reps", compact=True)
-    stars_found = candidate_stars(reps)
+    stars_found = candidate_stars(reps, threshold=threshold)
     parts = materialise(components(stars_found), "parts", compact=True)
     members = parts.select(F.col("a").alias("rid"), F.col("b").alias("part")).unionByName(parts.select(F.col("b").alias("rid"), F.col("b").alias("part")).distinct())
     members = members.join(reps.select("rid", "doc", "f1", "size", "weight"), "rid")
