@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +22,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows in one Arrow batch handed to Python: keeps a batch of very long texts within a worker's memory.
 ARROW_ROWS = 256
 
+#: Tables written since each open ``passing`` began.
+_WRITTEN: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.table(spark, sf_dir, name, spread=name == "documents")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where it is unset, a temporary one on a single machine; an error on a cluster."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("tidemark.scratch", None)
     if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.scratch", root)
     return root.rstrip("/")
@@ -44,24 +52,40 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None, compa
     if compact:
         df = df.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism))
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(T.StructType(sorted(df.schema, key=lambda f: f.name == partition_by))).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for root in {f.rsplit("/", 1)[0].split("/tidemark/")[0] + "/tidemark/" + f.split("/tidemark/")[1].split("/")[0] for f in df.inputFiles() if "/tidemark/" in f}:
-        p = jvm.org.apache.hadoop.fs.Path(root)
-        p.getFileSystem(conf).delete(p, True)
+    for root in {f.split("/tidemark/")[0] + "/tidemark/" + f.split("/tidemark/")[1].split("/")[0] for f in df.inputFiles() if "/tidemark/" in f}:
+        delete(df.sparkSession, root)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables written inside; those whose names are put in the list stay."""
+    keep: list[str] = []
+    _WRITTEN.append([])
+    try:
+        yield keep
+    finally:
+        for path in _WRITTEN.pop():
+            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+                delete(spark, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables that operators have left in the shared folder. For the end of a session: results that were not written yet need them."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidemark")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    delete(spark, f"{scratch_root(spark)}/tidemark")
 
 
 def small_table(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
