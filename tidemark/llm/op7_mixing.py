@@ -1,24 +1,25 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
 Targets: each source's share of the mix follows its weight, capped at ``max_repeats`` times the source's size with the
-excess reshared. A source is taken ``floor(target / size)`` whole times, and the rest as the documents that come first
-in a fixed random order of the source until the words are reached (the last one is cut to the word). Each taken copy
-of a document is a block; a source's number of blocks is its exact quota. The tree halves the output shards again and
-again: at each node every source's quota is split between the two halves by a multivariate-hypergeometric draw, so
-quotas stay exact and every half gets its share of blocks. A leaf (shard) then owns a range of each source's permuted
-blocks, disjoint from all others, and shuffles its own blocks locally.
-
-The driver sees one row per source (size, documents) and nothing else. Places in a source's order come from sums over
-``CELLS`` equal slices of the hash space, so a source that holds most rows is spread over as many tasks.
+excess reshared. ``whole = floor(target / size)`` copies of every document of a source are taken, and one more copy of
+some. A block is one copy of a document with words; a source's quota are the blocks it has on offer, ``whole + 1``
+(``whole`` if nothing is left) for each document. The tree halves the output shards again and again: at each node every
+source's quota is split between the two halves by a multivariate-hypergeometric draw, so quotas stay exact and every half
+gets its share of blocks. A leaf (shard) then owns a range of each source's permuted blocks, disjoint from all others, and
+shuffles them by a seed of its own. The mix reads all shards in step, each in its shuffled order, and takes of a source's
+last copies the first ones read until its target is reached (the last of them is cut to the word); the others are left.
+
+Draws are by rejection under the log-concave bound of the probabilities, in a few steps at every size. The driver sees
+one row per source (size, documents) and nothing else. Places in an order come from sums over ``CELLS`` equal slices of
+the hash space, so a source, or a shard, that holds most rows is spread over as many tasks. Jobs run while the result is
+being built: the rows are counted and written first.
 
 Null or empty text has size 0 and is never taken; null sources form one source, last in order; rows that are equal in
-every respect are told apart by a running number; an empty table gives an empty result.
+every respect are told apart by a running number; an empty table gives an empty result. Very long texts are counted whole.
 """
 
 from __future__ import annotations
 
-import bisect
-import itertools
 import math
 import random
 
@@ -50,28 +51,43 @@ def water_fill(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: floa
     return targets
 
 
+def log_rising(a: int, x: int) -> float:
+    """ln(Gamma(a + x) / Gamma(a)), by differences of Stirling's series where the two logarithms would cancel."""
+    if min(a, a + x) < 64:
+        return math.lgamma(a + x) - math.lgamma(a)
+    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3)
+    return (a - 0.5) * math.log1p(x / a) + x * math.log(a + x) - x + tail(a + x) - tail(a)
+
+
 def draw_hypergeometric(rng: random.Random, total: int, marked: int, drawn: int) -> int:
-    """Marked ones among ``drawn`` of ``total``: inversion over the probabilities around the mode, each from its neighbour's.
+    """Marked ones among ``drawn`` of ``total``, without replacement.
 
-    Left out is what lies beyond ``reach`` of the mode, less than e^-48 by Bernstein's inequality: a double does not resolve it.
+    Rejection: the probabilities are log-concave, so with p that of the mode, at x from the mode they are at most
+    p * min(1, exp(1 - p |x|)); a draw under that hat is accepted by the true ratio, in about five tries at every size.
+    A smaller p makes the hat higher, so the least that the variance allows, (1 + 12 variance)^-1/2, serves as p.
     """
     low, high = max(0, drawn - (total - marked)), min(marked, drawn)
     if low == high:
         return low
-    mean = drawn * marked / total
-    reach = math.ceil(10 * math.sqrt(mean * (1 - marked / total) * (total - drawn) / max(1, total - 1))) + 60
     mode = min(max((drawn + 1) * (marked + 1) // (total + 2), low), high)
-    first, last = max(low, mode - reach), min(high, mode + reach)
-    below, weight = [], 1.0
-    for k in range(mode, first, -1):
-        weight *= k * (total - marked - drawn + k) / ((marked - k + 1) * (drawn - k + 1))
-        below.append(weight)
-    weights, weight = [*reversed(below), 1.0], 1.0
-    for k in range(mode, last):
-        weight *= (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))
-        weights.append(weight)
-    sums = list(itertools.accumulate(weights))
-    return min(first + bisect.bisect_right(sums, rng.random() * sums[-1]), last)
+    rest = total - marked - drawn
+
+    def log_ratio(x: int) -> float:
+        """ln of the probability at mode + x against the mode's."""
+        return -log_rising(mode + 1, x) - log_rising(marked - mode + 1, -x) - log_rising(drawn - mode + 1, -x) - log_rising(rest + mode + 1, x)
+
+    mean = drawn * (marked / total)
+    peak = (1 + 12 * mean * ((total - marked) / total) * ((total - drawn) / max(1, total - 1))) ** -0.5
+    width = 1 + peak / 2
+    while True:
+        u, v = rng.random(), rng.random()
+        if u <= width / (1 + width):
+            y = rng.random() * width / peak
+        else:
+            y = (width - math.log(1 - rng.random())) / peak
+        x = math.floor(y + 0.5) * (1 if rng.random() < 0.5 else -1)
+        if low <= mode + x <= high and v * min(1.0, math.exp(width - peak * y)) <= math.exp(log_ratio(x)):
+            return mode + x
 
 
 def split_tree(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
@@ -101,44 +117,41 @@ def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, tie
 
 
 def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks). rows: row_id, doc_id, r1, r2, dup, size, source_size, target. blocks: row_id, copy, words, shard, place."""
+    """(rows, blocks). rows: row_id, doc_id, r1, r2, dup, size, source_size, target. blocks: row_id, r1, r2, dup, copy, words, shard, place."""
     spark = docs.sparkSession
     source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     rows = docs.select("doc_id", source.alias("src"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "source", "text").alias("r2"))
     rows = rows.withColumn("dup", F.row_number().over(Window.partitionBy("r1", "r2").orderBy("size")))
     rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
     per = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("docs")).orderBy("src.none", "src.name").collect()
-    sizes = [r["words"] for r in per]
-    targets = water_fill(sizes)
-    plan = []
+    targets = water_fill([r["words"] for r in per])
+    plan, quotas = [], []
     for i, (r, t) in enumerate(zip(per, targets)):
-        quota = int(t + 0.5)
-        whole = quota // r["words"] if r["words"] else 0
-        plan.append((i, r["src"]["none"], r["src"]["name"], r["words"], t, whole, quota - whole * r["words"]))
-    schema = T.StructType([T.StructField(n, k) for n, k in (("sid", T.IntegerType()), ("none", T.BooleanType()), ("name", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("rest", T.LongType()))])
-    sources = small_table(spark, plan, schema).select("sid", F.struct("none", "name").alias("src"), "source_size", "target", "whole", "rest")
-    known = rows.join(sources, "src").drop("src")
-    known = running(known.withColumn("at", position(f"doc{seed}", F.col("doc_id"), F.col("dup"))), ["sid"], "at", "size", "before", ["doc_id", "r1", "r2", "dup"])
-    known = known.withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("before")))).drop("before", "rest", "at")
-    known = materialise(known, "mix-known")
-    copies = F.concat(
-        F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(1), F.col("whole").cast("int")), lambda c: F.struct(c.alias("copy"), F.col("size").alias("words")))).otherwise(F.array().cast("array<struct<copy:int,words:bigint>>")),
-        F.when(F.col("part") > 0, F.array(F.struct((F.col("whole") + 1).cast("int").alias("copy"), F.col("part").alias("words")))).otherwise(F.array().cast("array<struct<copy:int,words:bigint>>")),
-    )
-    blocks = known.where("size > 0").select("row_id", "doc_id", "dup", "r1", "r2", "sid", F.explode(copies).alias("c")).select("row_id", "doc_id", "dup", "r1", "r2", "sid", "c.copy", "c.words")
-    extra = {r["sid"]: r["n"] for r in known.where("part > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    quotas = [p[5] * r["docs"] + extra.get(p[0], 0) for p, r in zip(plan, per)]
+        goal = int(t + 0.5)
+        whole = goal // r["words"] if r["words"] else 0
+        rest = goal - whole * r["words"]
+        copies = whole + (rest > 0)
+        plan.append((i, r["src"]["none"], r["src"]["name"], r["words"], t, whole, rest, copies))
+        quotas.append(copies * r["docs"])
     ends: list[list[int]] = [[] for _ in quotas]
     for shard in split_tree(quotas, n_shards, seed):
         for s, q in enumerate(shard):
             ends[s].append((ends[s][-1] if ends[s] else 0) + q)
-    cut = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-    bounds = small_table(spark, list(enumerate(ends)), cut)
-    blocks = blocks.withColumn("one", F.lit(1)).withColumn("at", position(f"block{seed}", F.col("doc_id"), F.col("dup"), F.col("copy")))
-    blocks = running(blocks, ["sid"], "at", "one", "rank", ["doc_id", "r1", "r2", "dup", "copy"]).join(bounds, "sid")
-    blocks = blocks.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "at"), "doc_id", "r1", "r2", "dup", "copy")
-    blocks = blocks.withColumn("place", F.row_number().over(local).cast("long") - 1)
+    whole_number, text, fraction = T.LongType(), T.StringType(), T.DoubleType()
+    schema = T.StructType([T.StructField(n, k) for n, k in (("sid", T.IntegerType()), ("none", T.BooleanType()), ("name", text), ("source_size", whole_number), ("target", fraction), ("whole", whole_number), ("rest", whole_number), ("copies", T.IntegerType()), ("ends", T.ArrayType(whole_number)))])
+    sources = small_table(spark, [(*p, e) for p, e in zip(plan, ends)], schema).select("sid", F.struct("none", "name").alias("src"), "source_size", "target", "whole", "rest", "copies", "ends")
+    known = rows.join(sources, "src").drop("src")
+    offered = known.where("size > 0 and copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("one", F.lit(1))
+    offered = offered.withColumn("at", position(f"block{seed}", F.col("doc_id"), F.col("dup"), F.col("copy")))
+    ties = ["doc_id", "r1", "r2", "dup", "copy"]
+    dealt = running(offered, ["sid"], "at", "one", "rank", ties)
+    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    dealt = dealt.withColumn("read", position(f"shard{seed}", F.col("shard"), F.col("doc_id"), F.col("dup"), F.col("copy")))
+    dealt = materialise(dealt.select("row_id", *ties, "sid", "size", "whole", "rest", "shard", "read", "one"), "mix-dealt")
+    last = running(dealt.where(F.col("copy") > F.col("whole")), ["sid"], "read", "size", "before", ties)
+    last = last.withColumn("words", F.least("size", F.col("rest") - F.col("before"))).where("words > 0").drop("before")
+    taken = dealt.where(F.col("copy") <= F.col("whole")).withColumn("words", F.col("size")).unionByName(last)
+    blocks = running(taken, ["shard"], "read", "one", "place", ties)
     return known.select("row_id", "doc_id", "r1", "r2", "dup", "size", "source_size", "target"), blocks.select("row_id", "r1", "r2", "dup", "copy", "words", "shard", "place")
 
 
@@ -156,22 +169,8 @@ def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> Data
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the columns asked for: the document's blocks in the mix, and the first and last shard that holds one."""
     rows, blocks = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, row_number() OVER (PARTITION BY doc_id, source, text) AS dup FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
-w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, CAST(2 * words AS DOUBLE) AS cap FROM s),
-o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS r FROM w),
-c AS (SELECT *, (CAST(1.5 * (SELECT sum(words) FROM s) AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(CAST(weight AS DOUBLE)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
-f AS (SELECT min(r) AS r, arg_min(level, r) AS level FROM c WHERE cap > level * CAST(weight AS DOUBLE)),
-t AS (SELECT source, words, CASE WHEN f.r IS NULL OR c.r < f.r THEN cap ELSE f.level * CAST(weight AS DOUBLE) END AS target FROM c, f),
-q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
-b AS (SELECT d.*, q.words, q.target, CASE WHEN q.words > 0 THEN quota // q.words ELSE 0 END AS whole, quota - CASE WHEN q.words > 0 THEN quota // q.words ELSE 0 END * q.words AS rest,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(md5('doc42:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || dup), 1, 15) AS BIGINT), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, words AS source_size, target, CAST(whole * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM b
-"""
+    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_blocks"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("n_blocks"), "first_shard", "last_shard")

@@ -21,6 +21,5 @@ ORACLES = {
     "op1_jaccard_join": op1_jaccard_join.SQL,
     "op2_substring_dedup": op2_substring_dedup.SQL,
     "op6_topk": op6_topk.SQL,
-    "op7_mixing": op7_mixing.SQL,
     "op8_line_dedup": op8_line_dedup.SQL,
 }
