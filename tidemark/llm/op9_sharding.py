@@ -3,13 +3,17 @@
 Each shard owns ``vnodes`` points of the ring; a row's point is a hash of its doc_id, and the row belongs to the
 next point clockwise. A shard takes rows up to its capacity; rows that find their shard full continue clockwise to
 the next shard with room. Capacities sum to the number of rows (with ``slack=0`` they differ by at most one), so the
-law that holds is ``rows``: counts at most one apart, whatever the keys.
+law that holds is ``rows``: counts at most one apart, whatever the keys. ``slack`` above 0 trades balance for movement.
 
 Only the row count of each arc (n_shards * vnodes numbers, a fixed bound) reaches the driver, which walks the ring
-once or twice and cuts arcs into segments; each row then finds its segment by arc and rank.
-
-Null doc_ids hash as "~" and are placed like others; repeated rows are placed separately; null text has 0 bytes and
-crc32 0; an empty table gives an empty result.
+once or twice and cuts arcs into segments; each row then finds its segment by arc and rank. Ranks are sums over slices
+(``CELLS`` of the ring, each ``PARTS`` times by a hash of the whole row) and then within a slice, so neither many rows
+in an arc nor a doc_id on a third of all rows ends in one task. Jobs run while the result is being built.
+
+The law ``rows`` says nothing on rows of equal texts: they go where their doc_ids go. Rows with equal doc_id have one
+point, so they fill neighbouring ranks of one arc and shards of one walk, as capacities allow. Null doc_ids hash as "~"
+and are placed like others; rows equal in every column are interchangeable, and each has its own slot; null text has 0
+bytes and crc32 0; an empty table gives an empty result; long texts count by their bytes alone.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from tidemark.llm.common import position, small_table, table
 
 BITS = 60
 CELLS = 4096  # equal slices of the ring, by which a row finds the few points near it
+PARTS = 64
 
 
 def ring(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -92,8 +97,13 @@ def assign(docs: DataFrame, n_shards: int = 16, vnodes: int = 64, slack: float =
     schema = T.StructType([T.StructField("__tm_arc", T.LongType()), T.StructField("__tm_segments", T.ArrayType(cut))])
     segments = small_table(docs.sparkSession, [(a, sorted(s, key=lambda x: x["lo"])) for a, s in cuts.items()], schema)
     others = [c for c in docs.columns if c != key]
-    order = Window.partitionBy("__tm_arc").orderBy("__tm_at", key, *others)
-    ranked = with_arc(docs, key, points).withColumn("__tm_rank", F.row_number().over(order).cast("long") - 1)
+    group = ["__tm_arc", "__tm_slice", "__tm_part"]
+    sliced = with_arc(docs, key, points).withColumns({"__tm_slice": F.shiftright("__tm_at", BITS - CELLS.bit_length() + 1), "__tm_part": F.pmod(F.xxhash64(key, *others), F.lit(PARTS))})
+    sums = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__tm_sum"))
+    earlier = Window.partitionBy("__tm_arc").orderBy("__tm_slice", "__tm_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*group, F.coalesce(F.sum("__tm_sum").over(earlier), F.lit(0)).alias("__tm_base"))
+    inside = Window.partitionBy(*group).orderBy("__tm_at", key, *others)
+    ranked = sliced.withColumn("__tm_rank", F.row_number().over(inside).cast("long") - 1).join(base, group).withColumn("__tm_rank", F.col("__tm_rank") + F.col("__tm_base"))
     placed = ranked.join(F.broadcast(segments), "__tm_arc")
     mine = F.element_at(F.filter("__tm_segments", lambda s: s["lo"] <= F.col("__tm_rank")), -1)
     return placed.withColumn("__tm_segments", mine).select(*docs.columns, F.col("__tm_segments.shard").alias("shard"), (F.col("__tm_segments.slot") + F.col("__tm_rank") - F.col("__tm_segments.lo")).alias("slot"))
