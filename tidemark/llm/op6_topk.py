@@ -11,8 +11,8 @@ true score by a known most; rows within that of the boundary are resolved with t
 Every query meets every block (a stated query set against all rows, in blocks); each pair of blocks returns k rows a
 query, and the best k of those remain. Rows whose vector is null, or holds a null or a component that is not finite,
 take no part; a vector of another length than the query's shares only its own length's blocks; a query's own row (same
-id) is no candidate; repeated rows count as often as they occur. An empty table gives an empty result. Integers have 64
-bits; a scaled component beyond them, or a score beyond them among the k best of a block, is an error, never a wrong row.
+id) is no candidate; repeated rows count as often as they occur; empty vectors take no part. An empty table gives an
+empty result. Jobs run while the result is being built (the index is written first). Integers have 64 bits; a scaled component beyond them, or a score beyond them among the k best of a block, is an error, never a wrong row.
 """
 
 from __future__ import annotations
@@ -207,9 +207,15 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, dropped:
     shape = "dims int, block int, ids binary, vectors binary"
     index = materialise(rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).groupBy("dims", "block").applyInPandas(block_of, shape), "slices")
     asked = rows.where(is_query(F.col("id"))).groupBy("dims", "id").agg(F.min("v").alias("v"))
-    packs = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.lit(1), F.ceil(n_blocks * block_rows / F.lit(50 * query_rows)) * 4)).cast("int"))
+    pack_count = {d: 4 * max(1, -(-n * block_rows // (50 * query_rows))) for d, n in blocks.items()}
+    n_packs = F.element_at(F.create_map(*[F.lit(x) for kv in pack_count.items() for x in kv]), F.col("dims"))
+    packs = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), n_packs).cast("int"))
     packs = packs.groupBy("dims", "block").applyInPandas(block_of, shape).select("dims", F.col("block").alias("pack"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).repartition("dims", "pack", "block").join(index, ["dims", "block"])
+    # While there are fewer blocks than cores, a block's rows go to several tasks, each with a part of the packs.
+    deals = max(1, min(max(pack_count.values()), -(-4 * rows.sparkSession.sparkContext.defaultParallelism // sum(blocks.values()))))
+    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("deal", F.col("pack") % deals)
+    dealt = index.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    pairs = pairs.join(dealt.hint("merge"), ["dims", "block", "deal"])
     found = pairs.select("dims", "block", "ids", "vectors", "query_ids", "queries").mapInArrow(search(k, dropped), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
