@@ -218,7 +218,6 @@ def test_kernels():
     donors = np.array([[1.0, 2, 3, 5], [4, 1, 0, 2], [2, 2, 7, 1]])
     y = np.array([0.3, 0.7, 0.0]) @ donors
     assert K.simplex_weights(donors @ donors.T, donors @ y) == pytest.approx([0.3, 0.7, 0.0], abs=1e-8)
-    assert K.benjamini_hochberg([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.04, 0.04])
     v = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.1, 1.0]])
     assert K.upgma_cosine(v, 2).tolist() == [0, 0, 1, 1]
     rng = np.random.default_rng(1)

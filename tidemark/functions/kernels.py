@@ -146,16 +146,6 @@ def granger(x: np.ndarray, y: np.ndarray, lags: int = 4) -> tuple[float, float]:
     return f, f_survival(f, lags, df2)
 
 
-def benjamini_hochberg(p: list[float]) -> list[float]:
-    """Adjusted p-values, in the given order."""
-    order = sorted(range(len(p)), key=lambda i: p[i], reverse=True)
-    out, low = [0.0] * len(p), 1.0
-    for k, i in enumerate(order):
-        low = min(low, p[i] * len(p) / (len(p) - k))
-        out[i] = low
-    return out
-
-
 def upgma_cosine(vectors: np.ndarray, n_clusters: int) -> np.ndarray:
     """Average-linkage clusters by cosine distance; labels numbered by first appearance."""
     n = len(vectors)

@@ -34,13 +34,38 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
             body = sql.strip()
             head = ",\n".join(views)
             if head:
-                body = f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+                body = f"WITH RECURSIVE {head},\n{body[5:]}" if body.upper().startswith("WITH") else f"WITH RECURSIVE {head}\n{body}"
             ORACLES[f.__name__] = body
         return f
 
     return add
 
 
+#: Change points of the table ``src`` (category, month, count), in the steps of the kernels: the pruned recursion over a
+#: grid of ends for the segmentation, three levels of peaks for the cumulative sums.
+_CHANGES = """
+ser AS (SELECT category, list(month ORDER BY month) AS m, list(CAST(count AS DOUBLE) ORDER BY month) AS y, CAST(count(*) AS BIGINT) AS n FROM src GROUP BY 1 HAVING count(*) >= {least}),
+pt AS (SELECT category, i, y[i] AS v FROM (SELECT category, y, unnest(range(1, n + 1)) AS i FROM ser)),
+med AS (SELECT a.category, median(pow(a.v - b.v, 2)) AS h FROM pt a JOIN pt b ON a.category = b.category AND a.i < b.i GROUP BY 1),
+kern AS (SELECT a.category, a.i, b.i AS j, CASE WHEN h > 0 THEN exp(-pow(a.v - b.v, 2) / h) WHEN a.v = b.v THEN 1.0 ELSE 0.0 END AS k FROM pt a JOIN pt b ON a.category = b.category JOIN med ON med.category = a.category),
+grid AS (SELECT category, n, list_concat(list_concat([0], list_filter(range(3, n, 3), lambda t: t >= 6)), [n]) AS g FROM ser),
+cell AS (SELECT category, a, b, g[a] AS lo, g[b] AS hi FROM (SELECT category, g, a, unnest(range(a + 1, len(g) + 1)) AS b FROM (SELECT category, g, unnest(range(1, len(g) + 1)) AS a FROM grid))),
+cost AS (SELECT c.category, a, b, any_value(hi - lo) - sum(k) / any_value(hi - lo) AS c FROM cell c JOIN kern ON kern.category = c.category AND i > lo AND i <= hi AND j > lo AND j <= hi GROUP BY ALL),
+cols AS (SELECT category, list(col ORDER BY b) AS cc FROM (SELECT category, b, list(c ORDER BY a) AS col FROM cost GROUP BY 1, 2) GROUP BY 1),
+st AS (SELECT category, g, cc, 3 * ln(n) AS pen, CAST(1 AS BIGINT) AS k, [CAST(1 AS BIGINT)] AS alive, [-3 * ln(n)] AS best, [CAST(0 AS BIGINT)] AS prev FROM grid JOIN cols USING (category) WHERE n >= 12
+  UNION ALL SELECT category, g, cc, pen, k + 1, CASE WHEN v IS NULL THEN alive ELSE list_append(list_filter(alive, lambda s: g[k + 1] - g[s] < 6 OR best[s] + cc[k][s] <= v), k + 1) END,
+    list_append(best, v), list_append(prev, opts[list_position(vals, v)])
+  FROM (SELECT *, list_min(vals) AS v FROM (SELECT *, list_transform(opts, lambda s: best[s] + cc[k][s] + pen) AS vals FROM (SELECT *, list_filter(alive, lambda s: g[k + 1] - g[s] >= 6) AS opts FROM st WHERE k < len(g))))),
+bt AS (SELECT category, g, prev, prev[len(g)] AS k FROM st WHERE k = len(g) UNION ALL SELECT category, g, prev, prev[k] FROM bt WHERE k > 1),
+pelt AS (SELECT DISTINCT category, g[k] AS p FROM bt WHERE k > 1),
+cu AS (SELECT category, CAST(0 AS BIGINT) AS lo, n AS hi, 3 AS depth FROM ser
+  UNION ALL SELECT category, unnest([lo, lo + p + 1]), unnest([lo + p, hi]), depth - 1 FROM
+    (SELECT *, list_position(path, list_max(path)) - 1 AS p FROM (SELECT category, lo, hi, depth, list_transform(range(1, hi - lo + 1), lambda i: abs(list_sum(y[lo + 1:lo + i]) - i * list_avg(y[lo + 1:hi]))) AS path FROM cu JOIN ser USING (category) WHERE depth > 0 AND hi - lo >= 24))
+    WHERE p BETWEEN 12 AND hi - lo - 12),
+cusum AS (SELECT DISTINCT category, a.hi AS p FROM cu a JOIN cu b USING (category) JOIN ser USING (category) WHERE a.depth = b.depth AND b.lo = a.hi + 1 AND a.depth < 3 AND a.hi > 1 AND a.hi < n - 1),
+changes AS (SELECT category, m[p + 1 - {shift}] AS date, CASE WHEN pelt.p IS NULL THEN 'CUSUM' WHEN cusum.p IS NULL THEN 'PELT' ELSE 'PELT+CUSUM' END AS method FROM pelt FULL JOIN cusum USING (category, p) JOIN ser USING (category))"""
+
+
 # --- growth -------------------------------------------------------------------------------------------------------
 
 
@@ -133,7 +158,7 @@ def g8_anomalies(spark, sf):
     return growth.anomalies(V.months(spark, sf))
 
 
-@query()
+@query("SELECT category, date, months.count AS papers, method FROM changes JOIN months USING (category) WHERE months.month = date", V.MONTHS, "src AS (SELECT * FROM months)", _CHANGES.format(least=24, shift=1))
 def g9_structural_breaks(spark, sf):
     return trends.structural_breaks(V.months(spark, sf))
 
@@ -188,9 +213,16 @@ def g15_summary(spark, sf):
 # --- change points and trends -------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "SELECT * FROM changes WHERE method LIKE 'PELT%'",
+    V.MONTHS,
+    "src AS (SELECT category, month, count * CASE WHEN month < '1997-03' THEN 1 WHEN month < '1999-08' THEN 6 ELSE 2 END AS count FROM months)",
+    _CHANGES.format(least=12, shift=0),
+)
 def c1_pelt(spark, sf):
-    return trends.change_points(V.months(spark, sf)).where("method like 'PELT%'")
+    """On counts with two steps: the tables' own have none."""
+    stepped = F.col("count") * F.when(F.col("month") < "1997-03", 1).when(F.col("month") < "1999-08", 6).otherwise(2)
+    return trends.change_points(V.months(spark, sf).withColumn("count", stepped)).where("method like 'PELT%'")
 
 
 @query(
@@ -204,7 +236,11 @@ def c2_cusum_depth1(spark, sf):
     return trends.cusum_once(V.months(spark, sf))
 
 
-@query()
+_SPINE = """spine AS (SELECT category, strftime(unnest(generate_series(CAST(a || '-01' AS DATE), CAST(b || '-01' AS DATE), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT category, min(month) AS a, max(month) AS b FROM months GROUP BY 1)),
+src AS (SELECT category, month, coalesce(count, 0) AS count FROM spine LEFT JOIN months USING (category, month))"""
+
+
+@query("SELECT * FROM changes", V.MONTHS, _SPINE, _CHANGES.format(least=12, shift=0))
 def c3_change_points(spark, sf):
     spine = growth.calendar_spine(V.months(spark, sf)).withColumn("month", F.date_format("month", "yyyy-MM"))
     return trends.change_points(spine)
@@ -247,9 +283,21 @@ def c6_theil_sen_slope(spark, sf):
     return trends.theil_sen_slope(_series(spark, sf))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT tier, topic_id, count(*) AS n, stddev_samp(y) AS sd FROM series GROUP BY ALL),
+u AS (SELECT tier, topic_id, sum(k * (k - 1) * (2 * k + 5)) AS u FROM (SELECT tier, topic_id, y, CAST(count(*) AS DOUBLE) AS k FROM series GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT tier, topic_id, sum(CASE WHEN y2 > y1 THEN 1 WHEN y2 < y1 THEN -1 ELSE 0 END) AS s, count(*) FILTER (WHERE y1 = y2) AS t, count(*) AS p, list((y2 - y1) / (i2 - i1) ORDER BY (y2 - y1) / (i2 - i1)) AS slopes FROM pr GROUP BY ALL),
+v AS (SELECT *, (n * (n - 1) * (2 * n + 5) - u) / 18 AS variance FROM t JOIN l USING (tier, topic_id) JOIN u USING (tier, topic_id) WHERE sd >= 1e-8 AND p > t),
+z AS (SELECT *, abs(s) / sqrt(variance) / sqrt(2) AS x, 1.959963984540054 * sqrt(greatest(0, variance)) AS reach FROM v),
+e AS (SELECT *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / exp(lgamma(k + 1)) / (2 * k + 1))) AS pv FROM z)
+SELECT tier, topic_id, round(s / sqrt(p * (p - t)), 6) AS mk_tau, round(pv, 6) AS mk_pvalue, round(list_median(slopes), 9) AS ts_slope, round(slopes[greatest(0, CAST(round_even((p - reach) / 2, 0) AS BIGINT) - 1) + 1], 9) AS ts_slope_lo,
+  round(slopes[least(p - 1, CAST(round_even((p + reach) / 2, 0) AS BIGINT)) + 1], 9) AS ts_slope_hi, pv < 0.05 AS significant FROM e""",
+    V.DOCS,
+    _SERIES,
+)
 def c7_trend_table(spark, sf):
-    return trends.trend_table(_series(spark, sf))
+    places = {"mk_tau": 6, "mk_pvalue": 6, "ts_slope": 9, "ts_slope_lo": 9, "ts_slope_hi": 9}
+    return trends.trend_table(_series(spark, sf)).withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 # --- preparation --------------------------------------------------------------------------------------------------
@@ -594,17 +642,48 @@ def _control(spark, sf):
     return final.synthetic_control(wide, "p1", V.SHORT[1:4], PRE)
 
 
-@query()
-def r7_synthetic_control(spark, sf):
-    return _control(spark, sf)
+#: Weights of three donors on the simplex: every active set in closed form, the best feasible one.
+_CONTROL = f"""
+pre AS (SELECT sum(p2 * p2) AS a, sum(p3 * p3) AS b, sum(p4 * p4) AS c, sum(p2 * p3) AS ab, sum(p2 * p4) AS ac, sum(p3 * p4) AS bc, sum(p1 * p2) AS ta, sum(p1 * p3) AS tb, sum(p1 * p4) AS tc FROM (SELECT month, CAST(p1 AS DOUBLE) AS p1, CAST(p2 AS DOUBLE) AS p2, CAST(p3 AS DOUBLE) AS p3, CAST(p4 AS DOUBLE) AS p4 FROM wide) WHERE month BETWEEN '{PRE[0]}' AND '{PRE[1]}'),
+three AS (SELECT *, a - 2 * ac + c AS e, ab - ac - bc + c AS f, b - 2 * bc + c AS g, ta - tc - ac + c AS u, tb - tc - bc + c AS v FROM pre),
+sets AS (SELECT 1.0 AS x, 0.0 AS y, 0.0 AS z UNION ALL SELECT 0.0, 1.0, 0.0 UNION ALL SELECT 0.0, 0.0, 1.0
+  UNION ALL SELECT (b - ab + ta - tb) / (a + b - 2 * ab), (a - ab + tb - ta) / (a + b - 2 * ab), 0.0 FROM pre UNION ALL SELECT (c - ac + ta - tc) / (a + c - 2 * ac), 0.0, (a - ac + tc - ta) / (a + c - 2 * ac) FROM pre
+  UNION ALL SELECT 0.0, (c - bc + tb - tc) / (b + c - 2 * bc), (b - bc + tc - tb) / (b + c - 2 * bc) FROM pre
+  UNION ALL SELECT (u * g - v * f) / (e * g - f * f), (v * e - u * f) / (e * g - f * f), 1 - (u * g - v * f + v * e - u * f) / (e * g - f * f) FROM three),
+w AS (SELECT x, y, z FROM sets, pre WHERE least(x, y, z) >= -1e-10 ORDER BY x * x * a + y * y * b + z * z * c + 2 * (x * y * ab + x * z * ac + y * z * bc) - 2 * (x * ta + y * tb + z * tc) LIMIT 1),
+control AS (SELECT month, CAST(p1 AS DOUBLE) AS actual, x * p2 + y * p3 + z * p4 AS synthetic, p1 - (x * p2 + y * p3 + z * p4) AS gap FROM wide, w)"""
 
 
-@query()
-def r7_control_summary(spark, sf):
-    return final.control_summary(_control(spark, sf), PRE, POST)
+@query("SELECT month, actual, round(synthetic, 5) AS synthetic, round(gap, 5) AS gap FROM control", V.MONTHS, _WIDE, _CONTROL)
+def r7_synthetic_control(spark, sf):
+    return _control(spark, sf).withColumns({c: F.round(c, 5) for c in ("synthetic", "gap")})
 
 
-@query()
+@query(
+    f"SELECT round(avg(gap * gap) FILTER (WHERE month BETWEEN '{PRE[0]}' AND '{PRE[1]}'), 4) AS pre_mse, round(avg(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS mean_gap, round(sum(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS cumulative_gap FROM control",
+    V.MONTHS, _WIDE, _CONTROL,
+)
+def r7_control_summary(spark, sf):
+    return final.control_summary(_control(spark, sf), PRE, POST).select(*[F.round(c, 4).alias(c) for c in ("pre_mse", "mean_gap", "cumulative_gap")])
+
+
+#: Quarterly growth of log counts; cross products of a pair's lags; elimination of their table leaves the sums of squared rests.
+_QUARTERS = """q AS (SELECT category, substr(month, 1, 4) || 'Q' || ((CAST(substr(month, 6, 2) AS INTEGER) + 2) // 3) AS quarter, sum(count) AS n FROM months GROUP BY ALL),
+growth AS (SELECT * FROM (SELECT category, quarter, ln(1 + n) - lag(ln(1 + n)) OVER (PARTITION BY category ORDER BY quarter) AS g FROM q) WHERE g IS NOT NULL)"""
+_GRANGER = """
+pair AS (SELECT a.category AS cause, b.category AS effect, quarter, a.g AS x, b.g AS y FROM growth a JOIN growth b USING (quarter) WHERE a.category <> b.category),
+lags AS (SELECT cause, effect, row_number() OVER o AS i, [1.0, lag(y, 1) OVER o, lag(y, 2) OVER o, lag(y, 3) OVER o, lag(y, 4) OVER o, lag(x, 1) OVER o, lag(x, 2) OVER o, lag(x, 3) OVER o, lag(x, 4) OVER o, y] AS v FROM pair WINDOW o AS (PARTITION BY cause, effect ORDER BY quarter)),
+cells AS (SELECT cause, effect, a, b, count(*) AS n, sum(v[a] * v[b]) AS s FROM (SELECT cause, effect, v, a, unnest(range(1, 11)) AS b FROM (SELECT cause, effect, v, unnest(range(1, 11)) AS a FROM lags WHERE i > 4)) GROUP BY ALL),
+tables AS (SELECT cause, effect, any_value(n) AS n, list(r ORDER BY a) AS m FROM (SELECT cause, effect, a, any_value(n) AS n, list(s ORDER BY b) AS r FROM cells GROUP BY ALL) GROUP BY 1, 2),
+swept AS (SELECT cause, effect, n, m, 0 AS k FROM tables UNION ALL SELECT cause, effect, n, list_transform(m, lambda r, i: CASE WHEN i <= k + 1 THEN r ELSE list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END), k + 1 FROM swept WHERE k < 9),
+rests AS (SELECT cause, effect, any_value(n) - 9 AS df, max(m[10][10]) FILTER (WHERE k = 5) AS small, max(m[10][10]) FILTER (WHERE k = 9) AS large FROM swept GROUP BY 1, 2),
+f AS (SELECT *, (small - large) / 4 / (large / df) AS f FROM rests),
+p AS (SELECT *, pow(1 - x, df / 2) * (1 + df / 2 * x) AS p FROM (SELECT *, 4 * f / (4 * f + df) AS x FROM f)),
+o AS (SELECT *, row_number() OVER (ORDER BY p DESC, cause, effect) AS k, count(*) OVER () AS n FROM p)
+SELECT cause, effect, round(f, 3) AS f_statistic, round(p, 4) AS p_value, p < 0.05 AS significant, round(least(1.0, min(p * n / (n - k + 1)) OVER (ORDER BY k)), 4) AS p_adjusted FROM o"""
+
+
+@query("WITH" + _GRANGER, V.MONTHS, _QUARTERS)
 def r8_granger(spark, sf):
     return final.granger_tests(final.quarterly_growth(V.months(spark, sf)))
 
@@ -619,9 +698,19 @@ def r8_quarterly_growth(spark, sf):
     return final.quarterly_growth(V.months(spark, sf)).withColumn("g", F.round("g", 6))
 
 
-@query()
+@query(
+    """WITH n(tier, k) AS (VALUES ('T4_historic', 0.0), ('T3_coarse', 1.0), ('T2_medium', 2.0), ('T1_fine', 3.0)), c AS (SELECT topic_id, min_by(tier, k) AS cohort FROM macro JOIN n USING (tier) GROUP BY 1),
+r AS (SELECT ln(1 + paper_count) AS y, CAST(n.k AS DOUBLE) AS a, CAST(o.k AS DOUBLE) AS c FROM macro JOIN c USING (topic_id) JOIN n USING (tier) JOIN n o ON o.tier = cohort),
+s AS (SELECT count(*) AS n, avg(a) AS ma, avg(c) AS mc, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(c, c) AS cc, covar_pop(a, c) AS ac, covar_pop(a, y) AS ay, covar_pop(c, y) AS cy, covar_pop(y, y) AS yy FROM r),
+d AS (SELECT *, aa * cc - ac * ac AS det FROM s),
+b AS (SELECT *, CASE WHEN det > 1e-9 THEN (ay * cc - cy * ac) / det WHEN aa > 0 AND cc < 1e-9 THEN ay / aa ELSE 0.0 END AS ba, CASE WHEN det > 1e-9 THEN (cy * aa - ay * ac) / det WHEN cc > 0 AND aa < 1e-9 THEN cy / cc ELSE 0.0 END AS bc FROM d),
+v AS (SELECT unnest(['age', 'period', 'cohort_num', 'intercept', 'r_squared']) AS variable, unnest([ba / 2, ba / 2, bc, my - ba * ma - bc * mc, CASE WHEN yy > 0 THEN (ba * ay + bc * cy) / yy ELSE 0.0 END]) AS coefficient FROM b)
+SELECT variable, round(coefficient, 6) AS coefficient FROM v""",
+    V.DOCS, V.INFO, V.MACRO_PLAIN,
+)
 def r9_apc(spark, sf):
-    return final.apc_coefficients(final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS))
+    """Cohorts by the first tier in time: two regressors that differ."""
+    return final.apc_coefficients(final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS, by_first_tier=True)).withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query(
