@@ -22,6 +22,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows in one Arrow batch handed to Python: keeps a batch of very long texts within a worker's memory.
 ARROW_ROWS = 256
 
+#: Keys with more than one in HOT of all rows are joined apart.
+HOT = 1024
+
 #: Tables written since each open ``passing`` began.
 _WRITTEN: list[list[str]] = []
 
@@ -94,6 +97,19 @@ def small_table(spark: SparkSession, rows: list, schema: T.StructType) -> DataFr
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(schema))))
 
 
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join with a written table of distinct keys, whose column ``count`` says how many rows of ``left`` a key has.
+
+    Keys with more than 1 / ``HOT`` of all counts, of which there are fewer than ``HOT``, go by broadcast: the rows of a
+    hot key stay where they are. The others go by a plain equi-join.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) * HOT > total)
+    marked = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__tm_hot"))), keys, "left")
+    few = marked.where("__tm_hot").drop("__tm_hot").join(F.broadcast(hot), keys)
+    return few.unionByName(marked.where("__tm_hot is null").drop("__tm_hot").join(right, keys))
+
+
 def position(*parts: Column | str) -> Column:
     """A point in [0, 2^60) that depends on the parts alone; any engine with md5 can recompute it."""
     cols = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("~")) for p in parts]

@@ -3,23 +3,26 @@
 1. Prefilter. Every window is counted under its anchor, the smallest hash among the 10-word runs inside it; equal
    windows have equal anchors, so the number of documents with an anchor is never below the number of documents with a
    window counted under it. Each partition makes a two-row count-min sketch of its documents' anchors (counts stop at
-   two); sketches travel as sorted cell lists, are merged segment by segment, and give two bitmaps of cells counted at
-   least twice. The bitmaps' size is fixed by ``cells`` (a bound of ``max_cells``), so they may be broadcast; on more data
-   than they are made for, more windows pass, and none is lost.
+   two); sketches travel as sorted cell lists and are merged segment by segment. A row has 16 to 32 cells for each anchor,
+   whatever the input, so about one in a hundred windows passes falsely at every size; the merged sketch is a written
+   table of the cells counted twice or more, and anchors are looked up in it by joins on their cells. Nothing of it is
+   broadcast or collected; what reaches the driver is the number of anchors.
 2. Exact pass. Windows whose anchor is estimated repeated are grouped by a 96-bit hash of their word sequence (map-side
    combined: the smallest and largest doc_id); those found in several documents go back to the documents after the first.
 3. Each document drops the words of its windows among those (by hash, recomputed from the text).
 
 Texts with equal words are represented by the smallest doc_id in the exact pass; the others lose what the rule says
-through the representative (the sketch counts them all). Null text has no words; a null doc_id counts as larger than all others; rows with
-equal doc_id do not remove each other's words; texts under 50 words stay as they are; an empty table gives an empty result.
+through the representative (the sketch counts them all). Windows and groups of copies that are hot are joined apart from
+the others. Null text has no words; a null doc_id counts as larger than all others; rows with equal doc_id do not remove
+each other's words; repeated rows lose the same words; texts under 50 words stay as they are; an empty table gives an
+empty result. Jobs run while the result is being built. A very long text takes some 60 bytes of memory for each byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, materialise, table
+from tidemark.llm.common import arrow_batches, join_apart, materialise, table
 from tidemark.llm.wordtable import WORD_POWERS_2, Words, chunks, joined, mix64
 
 WINDOW, ANCHOR = 50, 10
-SEGMENT = 1 << 20
-MAX_CELLS = 1 << 30
+SEGMENT, LOAD = 1 << 20, 16
 LAST = 2**63 - 1
 U = np.uint64
 
@@ -60,85 +62,121 @@ def cells_of(anchors: np.ndarray, cells: int) -> np.ndarray:
     return np.concatenate([mix64(anchors) & mask, (mix64(anchors ^ U(0x5851F42D4C957F2D)) & mask) + U(cells)])
 
 
-def per_document(words: Words, at: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Each document's distinct anchors."""
-    if not len(at):
-        return anchors
+def per_document(words: Words, at: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, bounds): each document's distinct anchors."""
     order = np.lexsort((anchors, words.text[at]))
     a, d = anchors[order], words.text[at][order]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-    return a[first]
+    return a[first], np.searchsorted(d[first], np.arange(words.n + 1))
 
 
-def sketch_partition(cells: int, window: int, anchor: int):
+def describe(window: int, anchor: int) -> Callable:
+    """A fingerprint of each row's word sequence, its number of words, and its anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
         for batch in batches:
-            for _, words in chunks(batch):
-                found.append(per_document(words, *window_anchors(words, window, anchor)))
+            for rows, words in chunks(batch):
+                marks = [hashlib.blake2b(b, digest_size=16).digest() for b in joined(words, np.ones(len(words.start), bool))]
+                anchors, bounds = per_document(words, *window_anchors(words, window, anchor))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(anchors.view(np.int64)))
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([m[:8] for m in marks], pa.binary()), pa.array([m[8:] for m in marks], pa.binary()), lists], ["row", "doc", "f1", "f2", "anchors"])
+
+    return run
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column."""
+    bounds = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def sketch_partition(cells: int, segment: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [flat(batch.column(0))[0].view(U) for batch in batches]
         if not found:
             return
         cell, n = np.unique(cells_of(np.concatenate(found), cells), return_counts=True)
-        segment = (cell // U(SEGMENT)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(segment, prepend=-1))
+        part = (cell // U(segment)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(edges, [*edges[1:], len(cell)]):
-            inside = (cell[lo:hi] % U(SEGMENT)).astype(np.uint32) * np.uint32(2) + (n[lo:hi] > 1).astype(np.uint32)
+            inside = (cell[lo:hi] % U(segment)).astype(np.uint32) * np.uint32(2) + (n[lo:hi] > 1).astype(np.uint32)
             blob = zlib.compress(np.diff(inside, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
-            yield pa.record_batch([pa.array([int(segment[lo])], pa.int64()), pa.array([blob], pa.binary())], ["segment", "cells"])
+            yield pa.record_batch([pa.array([int(part[lo])], pa.int64()), pa.array([blob], pa.binary())], ["segment", "cells"])
+
+    return run
+
+
+def merge_segment(segment: int) -> Callable:
+    """Adds up one segment of all partitions' sketches, a few at a time, and keeps the cells counted twice or more."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, twice = np.zeros(segment, bool), np.zeros(segment, bool)
+        for part in parts:
+            for blob in part["cells"]:
+                x = np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.uint32)
+                cell = x >> np.uint32(1)
+                twice[cell] |= once[cell] | (x & np.uint32(1)).astype(bool)
+                once[cell] = True
+        yield pd.DataFrame({"cell": np.flatnonzero(twice) + key[0] * segment})
 
     return run
 
 
-def merge_segment(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up one segment of all partitions' sketches, a few at a time, and keeps the bits of cells counted twice or more."""
-    once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-    for part in parts:
-        for blob in part["cells"]:
-            x = np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.uint32)
-            cell = x >> np.uint32(1)
-            twice[cell] |= once[cell] | (x & np.uint32(1)).astype(bool)
-            once[cell] = True
-    yield pd.DataFrame({"segment": [key[0]], "bits": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
+def lookups(cells: int) -> Callable:
+    """A row for each anchor: its row's mark and its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, bounds = flat(batch.column(1))
+            cell = cells_of(anchors.view(U), cells).view(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(np.asarray(batch.column(0)), np.diff(bounds))), pa.array(cell[: len(anchors)]), pa.array(cell[len(anchors) :])], ["row", "c0", "c1"])
+
+    return run
+
 
+def estimated_repeated(marks: DataFrame) -> tuple[DataFrame, int]:
+    """(row, cells: the first cells of its anchors counted twice or more in both rows of the sketch), and the cells of a row."""
+    anchors = marks.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    cells = max(SEGMENT, 1 << (LOAD * anchors - 1).bit_length())
+    segment = min(SEGMENT << 4, max(SEGMENT, cells >> 12))
+    parts = marks.select("anchors").mapInArrow(sketch_partition(cells, segment), "segment long, cells binary")
+    often = materialise(parts.groupBy("segment").applyInPandas(merge_segment(segment), "cell long"), "sketch", compact=True)
+    asked = marks.select("row", "anchors").mapInArrow(lookups(cells), "row long, c0 long, c1 long")
+    hit = asked.join(often.where(F.col("cell") < cells).select(F.col("cell").alias("c0")), "c0", "left_semi")
+    hit = hit.join(often.where(F.col("cell") >= cells).select(F.col("cell").alias("c1")), "c1", "left_semi")
+    return hit.groupBy("row").agg(F.collect_set("c0").alias("cells")), cells
+
+
+def candidates(cells: int, window: int, anchor: int) -> Callable:
+    """(row, doc, cells, text) -> the windows under those cells, each once for a document."""
 
-def candidates(bits, cells: int, window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for rows, words in chunks(batch):
                 at, anchors = window_anchors(words, window, anchor)
                 if not len(at):
                     continue
-                cell = cells_of(anchors, cells)
-                hit = (sketch[cell >> U(3)] >> (U(7) - (cell & U(7))).astype(np.uint8)) & np.uint8(1)
-                repeated = (hit[: len(at)] & hit[len(at) :]).astype(bool)
-                if not repeated.any():
+                cell = cells_of(anchors, cells)[: len(at)].view(np.int64)
+                values, bounds = flat(rows.column(2))
+                edges = np.searchsorted(at, words.first)
+                hit = np.concatenate([lo + np.flatnonzero(np.isin(cell[lo:hi], values[a:b])) for lo, hi, a, b in zip(edges[:-1], edges[1:], bounds[:-1], bounds[1:])])
+                if not len(hit):
                     continue
                 starts, h1 = words.grams(window)
                 _, h2 = words.grams(window, WORD_POWERS_2)
-                at = at[repeated]
+                at = at[hit]
                 where = np.searchsorted(starts, at)
                 order = np.lexsort((h1[where], words.text[at]))  # a window once for each document
                 where, at = where[order], at[order]
                 new = np.ones(len(at), bool)
                 new[1:] = (h1[where[1:]] != h1[where[:-1]]) | (words.text[at[1:]] != words.text[at[:-1]])
-                where, at = where[new], at[new]
-                ids = np.asarray(rows.column(0))[words.text[at]]
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(h1[where].view(np.int64)), pa.array((h2[where] >> U(32)).astype(np.int64).astype(np.int32))], ["doc", "h1", "h2"])
+                where, text = where[new], words.text[at[new]]
+                yield pa.record_batch([pa.array(np.asarray(rows.column(0))[text]), pa.array(np.asarray(rows.column(1))[text]), pa.array(h1[where].view(np.int64)), pa.array((h2[where] >> U(32)).astype(np.int64).astype(np.int32))], ["row", "doc", "h1", "h2"])
 
     return run
 
 
-def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A fingerprint of each row's word sequence, and its number of words."""
-    for batch in batches:
-        for rows, words in chunks(batch):
-            blobs = joined(words, np.ones(len(words.start), bool))
-            marks = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
-            yield pa.record_batch([rows.column(0), pa.array([m[:8] for m in marks], pa.binary()), pa.array([m[8:] for m in marks], pa.binary()), pa.array(words.counts, pa.int64())], ["doc", "f1", "f2", "n"])
-
-
 def remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,40 +201,23 @@ def remove(window: int):
     return run
 
 
-def sketch(texts: DataFrame, n_windows: int, window: int, anchor: int, max_cells: int) -> tuple[bytes, int]:
-    """The bitmaps of both rows, and the cells of a row: about 16 for each anchor expected (two for every 41 windows)."""
-    expected = max(1, n_windows * 2 // (window - anchor + 2))
-    cells = min(max_cells, max(SEGMENT, 1 << (16 * expected - 1).bit_length()))
-    parts = texts.select("text").mapInArrow(sketch_partition(cells, window, anchor), "segment long, cells binary")
-    merged = parts.groupBy("segment").applyInPandas(merge_segment, "segment long, bits binary")
-    bits = bytearray(2 * cells // 8)
-    for r in merged.toLocalIterator():
-        raw = zlib.decompress(r["bits"])
-        bits[r["segment"] * len(raw) : (r["segment"] + 1) * len(raw)] = raw
-    return bytes(bits), cells
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cells: int = MAX_CELLS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", "text")
-    marks = materialise(docs.select("doc", "text").mapInArrow(count_windows, "doc long, f1 binary, f2 binary, n long"), "marks")
-    firsts = marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
-    copies = marks.join(firsts.where(F.col("rows") > 1).select("f1", "f2", "rep"), ["f1", "f2"]).where(F.col("doc") > F.col("rep")).select("doc").distinct()
-    copies = materialise(copies.withColumn("_copy", F.lit(True)), "copies")
-    # A doc_id that several texts share may be a copy in one and not in another: such ids count as no copy.
-    shared = marks.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc")
-    copies = copies.join(shared, "doc", "left_anti")
-    texts = docs.join(copies, "doc", "left_anti")
-    n_windows = marks.agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(0)))).first()[0] or 0
-    bits, cells = sketch(docs, n_windows, window, anchor, max_cells)  # copies count too: that overestimates, and spares a join of all texts
-    shipped = spark.sparkContext.broadcast(bits)
-    found = materialise(texts.select("doc", "text").mapInArrow(candidates(shipped, cells, window, anchor), "doc long, h1 long, h2 int"), "windows")
-    repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
-    repeated = materialise(repeated, "repeated")  # read back, both sides of the join are plain exchanges: a hot window's rows can be split
-    gone = found.join(repeated, ["h1", "h2"]).where(F.col("doc") > F.col("least")).groupBy("doc").agg(F.collect_set("h1").alias("_gone"))
-    ready = docs.join(gone, "doc", "left").join(copies, "doc", "left").select("doc_id", "text", "_gone", "_copy")
+    arrow_batches(docs.sparkSession)
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", "text")
+    marks = materialise(docs.select("row", "doc", "text").mapInArrow(describe(window, anchor), "row long, doc long, f1 binary, f2 binary, anchors array<long>"), "marks")
+    firsts = materialise(marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "firsts", compact=True)
+    copies = join_apart(marks.select("row", "doc", "f1", "f2"), firsts, ["f1", "f2"], "n").where(F.col("doc") > F.col("rep")).select("row").distinct()
+    copies = materialise(copies.withColumn("_copy", F.lit(True)), "copies", compact=True)
+    passing, cells = estimated_repeated(marks)  # copies count too: that overestimates, and spares a join before it
+    passing = materialise(passing.join(copies, "row", "left_anti"), "passing", compact=True)
+    texts = docs.join(passing, "row").select("row", "doc", "cells", "text")
+    found = materialise(texts.mapInArrow(candidates(cells, window, anchor), "row long, doc long, h1 long, h2 int"), "windows")
+    repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h1", "h2", "least", "n")
+    repeated = materialise(repeated, "repeated", compact=True)
+    gone = join_apart(found, repeated, ["h1", "h2"], "n").where(F.col("doc") > F.col("least")).groupBy("row").agg(F.collect_set("h1").alias("_gone"))
+    verdict = gone.join(copies, "row", "full_outer")
+    ready = docs.join(verdict, "row", "left").select("doc_id", "text", "_gone", "_copy")
     return ready.mapInArrow(remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -14,9 +14,8 @@ result is being built.
 
 A line's key is the line stripped of blanks with A-Z lower-cased; keys shorter than ``min_chars`` never count. Each row
 counts as a document, also where rows share an id, or id and text (these share one verdict). Null or empty text is one
-empty line; an empty table gives an empty result. Keys with more than 1 / ``HOT`` of all counts of frequent keys (so fewer
-than ``HOT`` keys) are joined back to their documents by broadcast, and the rows of a hot line stay where they are; the
-others by a plain equi-join. A document's lines are looked up in its dropped keys by buckets, about the square root of their
+empty line; an empty table gives an empty result. Hot keys are joined back to their documents apart from the others
+(``join_apart``). A document's lines are looked up in its dropped keys by buckets, about the square root of their
 number, so very long texts take little more than linear time.
 """
 
@@ -27,9 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, delete, materialise, scratch_root, table
-
-HOT = 1024
+from tidemark.llm.common import BLANKS, delete, join_apart, materialise, scratch_root, table
 
 # Letters that fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,11 +122,7 @@ def row_marks() -> list[Column]:
 
 def verdicts(staged: DataFrame, frequent: DataFrame) -> DataFrame:
     """(r1, r2, drop): each document's dropped keys, in about the square root of their number of buckets by h1."""
-    total = frequent.agg(F.sum("n")).first()[0] or 0
-    hot = frequent.where(F.col("n") * HOT > total).select("h1", "h2", F.lit(True).alias("hot"))
-    marked = staged.join(F.broadcast(hot), ["h1", "h2"], "left")
-    found = marked.where("hot").select("__tm_r1", "__tm_r2", "h1", "h2")
-    found = found.unionByName(marked.where("hot is null").select("__tm_r1", "__tm_r2", "h1", "h2").join(frequent.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    found = join_apart(staged.select("__tm_r1", "__tm_r2", "h1", "h2"), frequent, ["h1", "h2"], "n")
     listed = found.groupBy("__tm_r1", "__tm_r2").agg(F.collect_set(F.struct("h1", "h2")).alias("all"))
     n = F.ceil(F.sqrt(F.size("all"))).cast("long")
     bucketed = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: F.filter("all", lambda k: F.pmod(k["h1"], n) == b))
