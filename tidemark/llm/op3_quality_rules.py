@@ -6,11 +6,16 @@ table of transitions; Viterbi decoding gives the labels, and a document is kept
 ``MIN_CONTENT`` of its words and the base rule holds.
 
 The field is trained on a bounded sample of labelled documents (``SAMPLE_ROWS`` rows of ``labels``, the first in the
-order of a hash): lines of good documents are content unless they carry licence words, lines of bad ones are boilerplate
-where a seed rule fires. Feature extraction for the sample runs on the executors; the driver gets numbers. Without
-labels of both kinds, ``DEFAULT`` weights hold.
-
-Null and empty texts have no words and fail the base rule. Lines without a word are no part of the sequence.
+order of a hash). The labels are of documents, those of lines are hidden: expectation-maximisation by best paths starts
+with boilerplate in all lines of bad documents, fits the field, labels the bad documents' lines anew by Viterbi under it
+(at least one of a document stays boilerplate; lines of good documents are content), and goes on in rounds until no line
+changes its label. Feature extraction for the sample runs on the executors while the result is being built; the driver
+gets numbers. Without labels of both kinds, ``DEFAULT`` weights hold.
+
+Null and empty texts have no words and fail the base rule. Lines without a word are no part of the sequence. Of rows
+that share a doc_id one text (the first by hash) serves for training; each is judged by its own text, equal texts alike.
+Equal path scores go to content. An empty table gives an empty result; long texts are judged whole, in memory of some
+hundred bytes for each of their words.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from tidemark.llm.wordtable import BYTE_POWERS, BYTE_VALUE, U, Words, buffers, c
 
 MIN_CONTENT = 0.5
 SAMPLE_ROWS = 2000
-TRAIN_STEPS, TRAIN_LINES = 200, 64
+TRAIN_STEPS, MORE_STEPS, TRAIN_LINES, ROUNDS = 150, 50, 64, 4
 # The symbols of the base rule, and words that licence lines are made of.
 SYMBOLS = b"#*$%&|<>"
 LICENCE_WORDS = ["Licensed", "licensed", "License,", "License.", "Released", "License", "rights", "reserved.", "Copyright", "copyright", "CC"]
 FEATURES = ["bias", "symbols", "bangs", "upper", "repeats", "pipes", "licence", "short", "unfinished", "digits"]
+FIGURES = ["doc_id long", "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "base_failed boolean", "kept boolean", "n_lines long", "n_boilerplate long", "content_share double"]
 #: Weights without training: bias, then the features in order; transitions keep a label.
 DEFAULT = (np.array([-3.0, 20.0, 6.0, 2.0, 6.0, 8.0, 5.0, 0.0, 0.3, 0.0]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
@@ -137,11 +143,6 @@ class Lines:
         ) if len(k) else np.zeros((0, len(FEATURES)))
 
 
-def seeds(x: np.ndarray) -> np.ndarray:
-    """Lines that look like boilerplate beyond doubt in a bad document."""
-    return (x[:, 1] > 0.04) | (x[:, 2] > 0.25) | ((x[:, 3] > 0.8) & (x[:, 7] == 0)) | (x[:, 4] > 0.4) | (x[:, 5] > 0.2) | (x[:, 6] > 0)
-
-
 def viterbi(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Best labels; scores: of label 1 against label 0 for each line; first: each sequence's range of lines. All sequences step together."""
     counts = np.diff(first)
@@ -166,50 +167,74 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> n
     return labels
 
 
-def train(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = TRAIN_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a small ridge, by Adam on forward-backward gradients; long texts are cut into stretches.
-
-    Stretches are in order of length, so that those with a line at place i are the first ``active[i]``.
-    """
+def stretches(first: np.ndarray) -> list[np.ndarray]:
+    """Lines at place 0, 1, ... of all stretches; long texts are cut. Stretches are in order of length, so each entry continues the first ones of the entry before."""
     starts = np.concatenate([np.arange(a, b, TRAIN_LINES) for a, b in zip(first[:-1], first[1:])])
     sizes = np.minimum(TRAIN_LINES, np.repeat(first[1:], -(-np.diff(first) // TRAIN_LINES)) - starts)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    active = [int((sizes > i).sum()) for i in range(int(sizes[0]))]
-    at = [starts[:m] + i for i, m in enumerate(active)]
-    seen = np.zeros((2, 2))
-    for i in range(1, len(at)):
-        np.add.at(seen, (y[at[i] - 1].astype(int), y[at[i]].astype(int)), 1)
-    w, t = DEFAULT[0].copy(), DEFAULT[1].copy()
+    return [starts[: int((sizes > i).sum())] + i for i in range(int(sizes[0]))]
+
+
+def likelihood(w: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, at: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    """Log-likelihood of labels y by a line, and its gradient by w and t, by the forward-backward recursions."""
+    e = x @ w
+    f, z = [], np.zeros(len(at[0]))
+    for i, now_at in enumerate(at):
+        n = len(now_at)
+        now = np.zeros((n, 2))
+        if i:
+            now[:, 0] = np.logaddexp(f[-1][:n, 0] + t[0, 0], f[-1][:n, 1] + t[1, 0])
+            now[:, 1] = np.logaddexp(f[-1][:n, 0] + t[0, 1], f[-1][:n, 1] + t[1, 1])
+        now[:, 1] += e[now_at]
+        z[:n] = np.logaddexp(now[:, 0], now[:, 1])
+        f.append(now)
+    p, seen, expected, back = np.zeros(len(x)), np.zeros((2, 2)), np.zeros((2, 2)), np.zeros((len(at[0]), 2))
+    for i in range(len(at) - 1, -1, -1):
+        n = len(at[i])
+        p[at[i]] = np.exp(f[i][:, 1] + back[:n, 1] - z[:n])
+        if i:
+            np.add.at(seen, (y[at[i] - 1].astype(int), y[at[i]].astype(int)), 1)
+            ahead = [back[:n, 0], back[:n, 1] + e[at[i]]]
+            for j in (0, 1):
+                for k in (0, 1):
+                    expected[j, k] += np.exp(f[i - 1][:n, j] + t[j, k] + ahead[k] - z[:n]).sum()
+            back[:n] = np.stack([np.logaddexp(t[j, 0] + ahead[0], t[j, 1] + ahead[1]) for j in (0, 1)], 1)
+    value = (y @ e + (seen * t).sum() - z.sum()) / len(x)
+    return float(value), np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / len(x)
+
+
+def train(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = TRAIN_STEPS, start: tuple[np.ndarray, np.ndarray] = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with a small ridge, by Adam."""
+    at = stretches(first)
+    w, t = start
     m = v = np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        e = x @ w
-        f, z = [], np.zeros(len(starts))
-        for i, n in enumerate(active):
-            now = np.zeros((n, 2))
-            if i:
-                now[:, 0] = np.logaddexp(f[-1][:n, 0] + t[0, 0], f[-1][:n, 1] + t[1, 0])
-                now[:, 1] = np.logaddexp(f[-1][:n, 0] + t[0, 1], f[-1][:n, 1] + t[1, 1])
-            now[:, 1] += e[at[i]]
-            z[:n] = np.logaddexp(now[:, 0], now[:, 1])
-            f.append(now)
-        p, expected, back = np.zeros(len(x)), np.zeros((2, 2)), np.zeros((len(starts), 2))
-        for i in range(len(active) - 1, -1, -1):
-            n = active[i]
-            p[at[i]] = np.exp(f[i][:, 1] + back[:n, 1] - z[:n])
-            if i:
-                ahead = [back[:n, 0], back[:n, 1] + e[at[i]]]
-                for j in (0, 1):
-                    for k in (0, 1):
-                        expected[j, k] += np.exp(f[i - 1][:n, j] + t[j, k] + ahead[k] - z[:n]).sum()
-                back[:n] = np.stack([np.logaddexp(t[j, 0] + ahead[0], t[j, 1] + ahead[1]) for j in (0, 1)], 1)
-        g = np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / len(x) - 1e-4 * np.concatenate([w, t.ravel()])
+        g = likelihood(w, t, x, y, at)[1] - 1e-4 * np.concatenate([w, t.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         delta = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w + delta[: len(w)], t + delta[len(w) :].reshape(2, 2)
     return w, t
 
 
+def learn(x: np.ndarray, good: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The field from documents' labels alone. good: of each document."""
+    bad = np.repeat(~good, np.diff(first))
+    y = bad.astype(float)
+    w, t = DEFAULT
+    for k in range(rounds):
+        w, t = train(x, y, first, MORE_STEPS if k else TRAIN_STEPS, (w, t))
+        e = x @ w
+        before, y = y, viterbi(e, t, first) * bad.astype(float)
+        for d in np.flatnonzero(~good & (np.diff(first) > 0)):
+            lines = slice(first[d], first[d + 1])
+            if not y[lines].any():
+                y[first[d] + e[lines].argmax()] = 1
+        if (y == before).all():
+            break
+    return w, t
+
+
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, words in chunks(batch):
@@ -229,8 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     if len({q for q, _ in rows}) < 2:
         return DEFAULT
     xs = [np.frombuffer(b, "<f4").reshape(-1, len(FEATURES)).astype(float) for _, b in rows]
-    ys = [(x[:, 6] > 0).astype(float) if q else seeds(x).astype(float) for (q, _), x in zip(rows, xs)]
-    return train(np.concatenate(xs), np.concatenate(ys), np.concatenate([[0], np.cumsum([len(x) for x in xs])]))
+    return learn(np.concatenate(xs), np.array([q == 1 for q, _ in rows]), np.concatenate([[0], np.cumsum([len(x) for x in xs])]))
 
 
 def judge(words: Words, weights: tuple[np.ndarray, np.ndarray], min_content: float) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,8 +272,8 @@ def measured(weights, min_content: float) -> Callable:
             for rows, words in chunks(batch):
                 lines, labels, share, kept = judge(words, weights, min_content)
                 boiler = np.bincount(lines.owner[labels == 1], minlength=words.n)
-                figures = [words.counts, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words, np.diff(lines.first), boiler]
-                yield pa.record_batch([rows.column(0), *[pa.array(f, pa.int64()) for f in figures], pa.array(share), pa.array(lines.base_failed), pa.array(kept)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_boilerplate", "content_share", "base_failed", "kept"])
+                figures = [pa.array(f, pa.int64()) for f in (words.counts, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words, np.diff(lines.first), boiler)]
+                yield pa.record_batch([rows.column(0), *figures[:5], pa.array(lines.base_failed), pa.array(kept), *figures[5:], pa.array(share)], [c.split()[0] for c in FIGURES])
 
     return run
 
@@ -265,7 +289,7 @@ def filtered(weights, min_content: float) -> Callable:
 
 def quality_figures(docs: DataFrame, labels: DataFrame, min_content: float = MIN_CONTENT) -> DataFrame:
     weights = fit(docs, labels)
-    return docs.select("doc_id", "text").mapInArrow(measured(weights, min_content), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_boilerplate long, content_share double, base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(measured(weights, min_content), ", ".join(FIGURES))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, min_content: float = MIN_CONTENT) -> DataFrame:
