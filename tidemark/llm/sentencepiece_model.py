@@ -21,6 +21,7 @@ class Model:
     escape_whitespaces: bool = True
     treat_whitespace_as_suffix: bool = False
     charsmap: bytes = b""
+    unknown: str = " \u2047 "  # how the unknown piece is written
 
 
 def fields(data: bytes):
@@ -74,6 +75,8 @@ def parse(data: bytes) -> Model:
                     model.model_type = v
                 elif n == 35:
                     model.byte_fallback = bool(v)
+                elif n == 44:
+                    model.unknown = v.decode("utf-8")
                 elif n == 24:
                     model.treat_whitespace_as_suffix = bool(v)
         elif number == 3:
@@ -119,7 +122,7 @@ def build(model: Model):
     out = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(rf"\A +|[ {MARK}]+\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.add_dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
