@@ -1,18 +1,22 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
 Candidates come from patterns: the four base kinds (email, ip, card, phone), and wider ones: account (long digit chains
-that are no base card; a chain of more than ``LONGEST`` digits is split into its numbers, and those that are valid cards
-are candidates of kind card), contact (spelt-out addresses, telephone numbers without a plus) and secret (values after
-token, key, password and the like). Five labelers vote 1, 0 or -1 on each: the kind's strict shape, a gazetteer
-(providers, country codes, card issuers, reserved networks, secret names), context words before the span, its
-boundaries, and the variety of its digits. Votes are summed up into a table of vote patterns, a few hundred rows
-whatever the input; on it expectation-maximisation estimates each labeler's reliability and each pattern's probability,
-and a logistic span classifier is trained on kind, votes and length against these probabilities. The classifier adds
-spans of the wider kinds and of cards inside longer chains at ``CUT`` or more; spans of the base rules always stay.
+that are no base card, international bank account numbers; a chain of more than ``LONGEST`` digits is split into its
+numbers, and those that are valid cards are candidates of kind card), contact (spelt-out addresses, telephone numbers
+without a plus) and secret (values after token, key, password and the like, and keys of published formats). Five labelers
+vote 1, 0 or -1 on each: the kind's strict shape, a gazetteer (top-level domains, country codes, card issuers' ranges,
+reserved networks, secret names and key formats), context words before the span, its boundaries, and the variety of its
+digits. Votes are summed up into a table of vote patterns, a few hundred rows whatever the input; on it
+expectation-maximisation estimates each labeler's reliability and each pattern's probability, and a logistic span
+classifier is trained on kind, votes and length against these probabilities. The classifier adds spans of the wider kinds
+and of cards inside longer chains at ``CUT`` or more; spans of the base rules always stay. Jobs run while the result is
+being built: candidates are written, and their vote patterns counted.
 
 All text work is built-in expressions: a pattern splits the text, and a span starts where the pieces before it end.
-Patterns are possessive and look behind, so a long run of matching characters is scanned once. Positions are code
-points, ends exclusive. Null and empty texts have no spans; repeated rows are treated alike; no candidates, no classifier.
+Patterns are possessive or bounded and look behind, so a long run of matching characters is scanned once; running sums
+go by blocks, so a text with very many spans takes little more than linear time. Positions are code points, ends
+exclusive. Null and empty texts have no spans; repeated rows are treated alike; of wide candidates that touch, secret
+goes before account number, contact and chain; an empty table gives an empty result; no candidates, no classifier.
 """
 
 from __future__ import annotations
@@ -33,14 +37,24 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBERS = r"(?<![0-9-])(?:[0-9]-?){8,23}[0-9](?![0-9-])|[0-9]++"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # The wider patterns and the labelers' lists.
-CONTACT = r"(?<![A-Za-z0-9+])(?:[A-Za-z0-9._-]{1,40} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40} ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,10}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-SECRET = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_-]{16,}+"
-PROVIDERS = r"(?:example\.com|gmail\.com|yahoo\.com|hotmail\.com|outlook\.com|icloud\.com|gmx\.de|web\.de|orange\.fr)$"
+CONTACT = (
+    r"(?<![A-Za-z0-9+])(?:"
+    r"[A-Za-z0-9._-]{1,40} ?(?i:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,40}(?: ?(?i:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z]{2,10})+|"
+    r"[A-Za-z0-9._-]{1,40} (?i:at) [A-Za-z0-9-]{1,40}(?: (?i:dot) (?i:com|org|net|edu|gov|info|[a-z]{2})(?![A-Za-z]))+|"
+    r"\([0-9]{2,5}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[.-][0-9]{4})(?![0-9])"
+)
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+KEYS = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+NAMED = r"(?i:token|secret|passw(?:or[dt])?|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)s?[\"']?[ ]?(?:[=:]>?)[ ]?[\"']?"
+SECRET = NAMED + r"[^\s\"'<>,;]{7,}[^\s\"'<>,;.:)!?\]*#$%&]|(?<![A-Za-z0-9])" + KEYS
+BOOK = r"^97[89][0-9-]{10,14}$"
+TLDS = r"\.(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|io|ai|app|dev|[A-Za-z]{2})$"
+NO_HOSTS = r"(?i)\.(?:invalid|test|local|localhost)$"
 RESERVED_NETS = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[345][0-9])\."
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
+ISSUERS = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[68]|35(?:2[89]|[3-8])|6011|62|64[4-9]|65)"
 COUNTRIES = r"^\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1-6]|9[0-8])"
-CUES = r"(?:mail|contact|phone|tel|call|fax|address|host|server|card|visa|account|iban|token|secret|password|user|name)"
-AGAINST = r"(?:version|release|isbn|section|figure|table|page|chapter)\W*$"
+CUES = r"(?:mail|contact|reach|write|phone|tel|mobile|call|fax|address|host|server|card|visa|account|konto|iban|ssn|passport|token|secret|password|user|name)"
+AGAINST = r"(?:version|release|isbn|issn|doi|section|figure|table|page|chapter|order|invoice|article|item|serial)\W*(?:no\.?|number|#)?\W*$"
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "contact", "secret")
@@ -56,19 +70,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def before_each(lengths: Column) -> Column:
+    """Sums of the elements before each, in blocks of about the square root of their number: an array is copied to append to it."""
+    running = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def build(a: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.size(a), step), lambda i: running(F.slice(a, i, step)))
+        return let(blocks, lambda b: let(running(F.transform(b, lambda x: F.element_at(x, -1))), lambda base: F.flatten(F.transform(b, lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + F.get(base, k))))))
+
+    return let(lengths, build)
+
+
 def matches(text: Column, pattern: str, may: Column) -> Column:
     """array of (at, word, before, after) of all leftmost matches; ``may`` is a cheap condition without which there is none."""
     none = F.array().cast("array<struct<at:bigint,word:string,before:string,after:string>>")
 
     def build(z: Column) -> Column:
         n = F.size(z["words"])
-        ends = F.aggregate(
-            F.sequence(F.lit(0), n - 1),
-            F.array(F.lit(0).cast("long")),
-            lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(z["pieces"], i)) + F.length(F.get(z["words"], i)))),
-        )
+        lengths = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.length(F.get(z["pieces"], i)) + F.length(F.get(z["words"], i))).cast("long"))
         spans = let(
-            ends,
+            before_each(lengths),
             lambda e: F.transform(
                 F.sequence(F.lit(0), n - 1),
                 lambda i: F.struct((F.get(e, i) + F.length(F.get(z["pieces"], i))).alias("at"), F.get(z["words"], i).alias("word"), F.right(F.get(z["pieces"], i), F.lit(AROUND)).alias("before"), F.left(F.get(z["pieces"], i + 1), F.lit(1)).alias("after")),
@@ -115,30 +137,31 @@ def vote(yes: Column, no: Column | None = None) -> Column:
 def span(kind: str, s: Column) -> Column:
     """A candidate with its votes."""
     word = s["word"]
+    lead = F.length(F.regexp_extract(word, rf"^{NAMED}", 0)) if kind == "secret" else F.lit(0)
+    value = F.substr(word, lead + 1) if kind == "secret" else word
     number = digits(word)
     shape = {
         "email": vote(F.rlike(word, F.lit(r"\.[A-Za-z]{2,24}$")), F.lit(True)),
         "ip": F.lit(1),
         "card": F.lit(1),
         "phone": vote(F.length(number).between(10, 13), F.length(number) < 9),
-        "account": vote(F.lit(False), F.length(number) > 19),
-        "contact": F.lit(0),
-        "secret": vote(F.rlike(word, F.lit("[0-9]")) & F.rlike(word, F.lit("[A-Za-z]")), F.lit(True)),
+        "account": vote((F.length(number).between(12, 19) & ~F.rlike(word, F.lit(BOOK))) | F.rlike(word, F.lit(r"^[A-Z]{2}[0-9]{2}|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), F.rlike(word, F.lit(BOOK)) | (F.length(number) > 19)),
+        "contact": F.lit(1),
+        "secret": vote((F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))) | F.rlike(word, F.lit("PRIVATE KEY")), F.lit(True)),
     }[kind]
     gazetteer = {
-        "email": vote(F.rlike(word, F.lit(PROVIDERS))),
+        "email": vote(F.rlike(word, F.lit(TLDS)), F.rlike(word, F.lit(NO_HOSTS))),
         "ip": vote(~F.rlike(word, F.lit(RESERVED_NETS)), F.lit(True)),
         "card": vote(F.rlike(word, F.lit(ISSUERS)), F.lit(True)),
         "phone": vote(F.rlike(word, F.lit(COUNTRIES))),
         "account": vote(F.length(number).between(16, 19) & F.rlike(word, F.lit(ISSUERS)), F.length(number) < 12),
         "contact": F.lit(0),
-        "secret": F.lit(1),
+        "secret": vote(F.rlike(word, F.lit(rf"^(?:{KEYS}|(?i:token|secret|passw|api|access|private))"))),
     }[kind]
     context = vote(F.lit(True) if kind == "secret" else F.rlike(F.lower(s["before"]), F.lit(CUES)), F.rlike(F.lower(s["before"]), F.lit(AGAINST)))
     edge = F.rlike(F.right(s["before"], F.lit(1)), F.lit(r"[\p{L}0-9]")) | F.rlike(s["after"], F.lit(r"[\p{L}0-9]"))
     several = F.size(F.array_distinct(F.split(number, "")))
     variety = vote(several >= 5, (F.length(number) >= 8) & (several <= 2))
-    lead = F.length(F.regexp_extract(word, r"^[^=:]*[=:][ ]?[\"']?", 0)) if kind == "secret" else F.lit(0)
     start = s["at"] + lead
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"),
@@ -209,8 +232,9 @@ def extract(docs: DataFrame) -> DataFrame:
         matches(text, IP, F.rlike(text, F.lit(r"[0-9]\.[0-9]+\.[0-9]"))).alias("ip"),
         matches(text, CARD, digit).alias("chain"),
         matches(text, PHONE, F.contains(text, F.lit("+")) & F.rlike(text, F.lit(r"\+[0-9]"))).alias("phone"),
-        matches(text, CONTACT, digit | F.rlike(text, F.lit(r"[\[(]at[\])]"))).alias("contact"),
-        matches(text, SECRET, F.rlike(text, F.lit("(?i:token|secret|pass|pwd|key)[a-z]* ?[=:]"))).alias("secret"),
+        matches(text, CONTACT, digit | F.rlike(text, F.lit(r"(?i)[\[({]at[\])}]|\([0-9]{2,5}\) ?[0-9]|[a-z0-9] at [a-z0-9-]+ dot [a-z]"))).alias("contact"),
+        matches(text, SECRET, F.rlike(text, F.lit(rf"{NAMED}|{KEYS}"))).alias("secret"),
+        matches(text, IBAN, F.rlike(text, F.lit("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"))).alias("iban"),
     )
     # Written out and read back: the spans are few, and are not matched again for the second use.
     raw = materialise(raw, "matches")
@@ -225,13 +249,15 @@ def extract(docs: DataFrame) -> DataFrame:
     chains = F.flatten(F.transform(chains, lambda s: F.when(F.length(digits(s["word"])) > LONGEST, numbers(s)).otherwise(F.array(s))))
     wide = raw.withColumn("base", base).withColumn("contact", F.filter(F.transform("contact", lambda s: span("contact", s)), lambda s: ~inside_any(s, F.col("base"))))
     wide = wide.withColumn("secret", F.filter(F.transform("secret", lambda s: span("secret", s)), lambda s: ~inside_any(s, F.col("base"))))
-    taken = F.concat("base", "contact", "secret")
+    wide = wide.withColumn("iban", F.filter(F.transform("iban", lambda s: span("account", s)), lambda s: ~inside_any(s, F.col("base")) & ~inside_any(s, F.col("secret"))))
+    wide = wide.withColumn("contact", F.filter("contact", lambda s: ~inside_any(s, F.col("iban")) & ~inside_any(s, F.col("secret"))))
+    taken = F.concat("base", "contact", "secret", "iban")
     wide = wide.withColumn("account", let(taken, lambda t: F.filter(F.transform(chains, lambda s: F.when(is_card(s["word"]), span("card", s)).otherwise(span("account", s))), lambda s: ~inside_any(s, t))))
-    return wide.select("doc_id", "base", F.concat("account", "contact", "secret").alias("wide"))
+    return wide.select("doc_id", "base", F.concat("iban", "account", "contact", "secret").alias("wide"))
 
 
 def expectation_maximisation(table_: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[list[list[list[float]]], dict[tuple[int, ...], float]]:
-    """Labelers' reliabilities P(vote | class) for votes -1, 0, 1, and each vote pattern's probability of being personal data."""
+    """Labelers' reliabilities, P(vote | class) of those that vote (0 abstains and says nothing), and each vote pattern's probability of being personal data."""
     total = sum(n for _, n in table_)
     post = {v: 1 / (1 + math.exp(-sum(v))) for v, _ in table_}
     rates: list[list[list[float]]] = []
@@ -240,13 +266,12 @@ def expectation_maximisation(table_: list[tuple[tuple[int, ...], int]], rounds:
         prior = (good + 1) / (total + 2)
         rates = []
         for j in range(len(LABELERS)):
-            seen = [[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]]
-            seen[1][2] += 1  # a labeler is believed to be better than chance
-            seen[0][0] += 1
+            seen = [{-1: 2.0, 1: 1.0}, {-1: 1.0, 1: 2.0}]  # a labeler is believed to be better than chance
             for v, n in table_:
-                seen[1][v[j] + 1] += n * post[v]
-                seen[0][v[j] + 1] += n * (1 - post[v])
-            rates.append([[x / sum(side) for x in side] for side in seen])
+                if v[j]:
+                    seen[1][v[j]] += n * post[v]
+                    seen[0][v[j]] += n * (1 - post[v])
+            rates.append([[side[-1] / sum(side.values()), 1.0, side[1] / sum(side.values())] for side in seen])
         for v, _ in table_:
             log = math.log(prior / (1 - prior)) + sum(math.log(rates[j][1][x + 1] / rates[j][0][x + 1]) for j, x in enumerate(v))
             post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, log))))
@@ -312,7 +337,9 @@ def find_pii(docs: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the columns asked for: how many spans the method adds, and whether there are any spans."""
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), text_of(F.concat("base", "added")).alias("spans"))
+    added = F.size("added").cast("long")
+    return found.select("doc_id", *counts, F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), text_of(F.concat("base", "added")).alias("spans"), added.alias("n_added"), (F.size("base") + added > 0).alias("has_pii"))
