@@ -19,7 +19,8 @@ and no links). Equal sets collapse into one representative with a weight. The jo
 
 Result: one row per document: class_id (smallest doc_id of its connected group of links), rep_id (smallest doc_id with
 the same set), n_links (other documents at or above the threshold, copies included). A null doc_id counts as the
-largest; repeated rows are documents of their own; an empty table gives an empty result.
+largest; repeated rows are documents of their own; an empty table gives an empty result; very long texts are compared
+whole. Jobs run while the result is being built: it is a series of written tables.
 """
 
 from __future__ import annotations
@@ -375,15 +376,18 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, rec
     full = marks.where("size > 0")
     groups = full.groupBy("f1", "f2").agg(F.min(F.struct("doc", "rid")).alias("least"), F.count(F.lit(1)).alias("weight"))
     groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups", compact=True)
-    reps = groups.select("rid", "weight").join(full.select("rid", "doc", "f1", "size", "paths", "sketch"), "rid")
+    reps = groups.select("rid", "weight").join(full.select("rid", "r1", "r2", "f1", "size", "paths", "sketch"), "rid")
     reps = materialise(reps, "reps", compact=True)
     stars_found = candidate_stars(reps, threshold=threshold)
     parts = materialise(components(stars_found), "parts", compact=True)
     members = parts.select(F.col("a").alias("rid"), F.col("b").alias("part")).unionByName(parts.select(F.col("b").alias("rid"), F.col("b").alias("part")).distinct())
-    members = members.join(reps.select("rid", "doc", "f1", "size", "weight"), "rid")
+    members = materialise(members.join(reps.select("rid", "r1", "r2", "f1", "size", "weight"), "rid"), "members", compact=True)
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("long").alias("blocks"))
-    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "doc", (F.col("blocks") > 1).alias("cut")), "placed", compact=True)
-    checked = placed.hint("merge").join(docs.select("doc", "text"), "doc").select("group", "side", "rid", "f1", "weight", "text", "cut")
+    placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "r1", "r2", (F.col("blocks") > 1).alias("cut")), "placed", compact=True)
+    # Of rows equal in id and text (null ids are one id), one text goes on, however many there are.
+    met = docs.join(members.select("r1", "r2").hint("merge"), ["r1", "r2"], "left_semi").select("r1", "r2", "text")
+    texts = materialise(met, "met", compact=True).groupBy("r1", "r2").agg(F.first("text").alias("text"))
+    checked = placed.hint("merge").join(texts, ["r1", "r2"]).select("group", "side", "rid", "f1", "weight", "text", "cut")
     links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long, cut boolean"), "links", compact=True)
     whole = links.where("not cut").select("rid", "links", "root")  # compared in one block: the block's stars are final
     parted = links.where("cut")
