@@ -22,7 +22,7 @@ def monthly_counts(df: DataFrame, category: str, month: str = "month") -> DataFr
 def year_over_year(counts: DataFrame) -> DataFrame:
     """Change against the same month a year before, by the calendar; null without one."""
     before = counts.select("category", F.date_format(F.add_months(S.month_start(F.col("month")), 12), "yyyy-MM").alias("month"), F.col("count").alias("before"))
-    change = F.when(F.col("before") > 0, F.round((F.col("count") - F.col("before")) / F.col("before") * 100, 1))
+    change = F.when(F.col("before") > 0, F.bround((F.col("count") - F.col("before")) / F.col("before") * 100, 1))
     return counts.join(before, ["category", "month"], "left").select("category", "month", "count", change.alias("yoy_pct"))
 
 
@@ -30,7 +30,7 @@ def acceleration(counts: DataFrame) -> DataFrame:
     """Change of the twelve-row growth rate: rows, not calendar months."""
     rate = F.try_divide(F.col("count"), F.lag("count", 12).over(by_month())) - 1
     rated = counts.withColumn("rate", rate)
-    return rated.withColumn("acceleration", F.round(F.col("rate") - F.lag("rate").over(by_month()), 6)).where("acceleration is not null").select("category", "month", "acceleration")
+    return rated.withColumn("acceleration", F.bround(F.col("rate") - F.lag("rate").over(by_month()), 6)).where("acceleration is not null").select("category", "month", "acceleration")
 
 
 def multiples(counts: DataFrame, periods: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -39,7 +39,7 @@ def multiples(counts: DataFrame, periods: Sequence[tuple[str, str, str]]) -> Dat
     wide = counts.groupBy("category").agg(*[at(m).alias(f"{side}{i}") for i, p in enumerate(periods) for side, m in (("s", p[1]), ("e", p[2]))])
     each = F.explode(F.array(*[F.struct(F.lit(p[0]).alias("period"), F.col(f"s{i}").alias("start_count"), F.col(f"e{i}").alias("end_count")) for i, p in enumerate(periods)]))
     out = wide.select("category", each.alias("p")).select("category", "p.*")
-    return out.withColumn("multiplier", F.when(F.col("start_count") > 0, F.round(F.col("end_count") / F.col("start_count"), 1)).otherwise(F.lit(0.0)))
+    return out.withColumn("multiplier", F.when(F.col("start_count") > 0, F.bround(F.col("end_count") / F.col("start_count"), 1)).otherwise(F.lit(0.0)))
 
 
 def volatility(counts: DataFrame, eras: Sequence[tuple[str, str, str]], min_months: int = 6, lose_first_month: bool = False, detrended: bool = False) -> DataFrame:
@@ -57,14 +57,14 @@ def volatility(counts: DataFrame, eras: Sequence[tuple[str, str, str]], min_mont
     else:
         spread = F.stddev_samp("count")
     out = rows.groupBy("category", "era").agg(F.avg("count").alias("m"), spread.alias("s"), F.min("count").alias("min"), F.max("count").alias("max"), F.count(F.lit(1)).alias("n_months"))
-    return out.where(F.col("n_months") >= min_months).select("category", "era", F.round("m", 1).alias("mean"), F.round("s", 1).alias("std"), F.round(F.try_divide(F.col("s"), F.col("m")), 4).alias("cv"), "min", "max", "n_months")
+    return out.where(F.col("n_months") >= min_months).select("category", "era", F.bround("m", 1).alias("mean"), F.bround("s", 1).alias("std"), F.bround(F.try_divide(F.col("s"), F.col("m")), 4).alias("cv"), "min", "max", "n_months")
 
 
 def seasonal(counts: DataFrame) -> DataFrame:
     """Deviation from the year's mean, by month of the year."""
     w = Window.partitionBy("category", F.substring("month", 1, 4))
     factor = counts.withColumn("pct", (F.col("count") / F.avg("count").over(w) - 1) * 100).withColumn("month", F.substring("month", 6, 2).cast("int"))
-    return factor.groupBy("category", "month").agg(F.round(F.avg("pct"), 4).alias("seasonal_pct"), F.round(F.stddev_samp("pct"), 4).alias("std_pct"))
+    return factor.groupBy("category", "month").agg(F.bround(F.avg("pct"), 4).alias("seasonal_pct"), F.bround(F.stddev_samp("pct"), 4).alias("std_pct"))
 
 
 def month_pair_effect(counts: DataFrame, category: str, years: Sequence[int], months: tuple[str, str, str] = ("02", "03", "04")) -> DataFrame:
@@ -72,7 +72,7 @@ def month_pair_effect(counts: DataFrame, category: str, years: Sequence[int], mo
     at = lambda m: F.coalesce(F.sum(F.when(F.substring("month", 6, 2) == m, F.col("count"))), F.lit(0)).cast("long")
     rows = counts.where(F.col("category") == category).groupBy(F.substring("month", 1, 4).cast("int").alias("year")).agg(at(months[0]).alias("feb"), at(months[1]).alias("mar"), at(months[2]).alias("apr"))
     kept = rows.where(F.col("year").isin(*years) & (F.col("feb") > 0))
-    pct = lambda a, b: F.round((F.try_divide(F.col(a), F.col(b)) - 1) * 100, 4)
+    pct = lambda a, b: F.bround((F.try_divide(F.col(a), F.col(b)) - 1) * 100, 4)
     return kept.select("year", "feb", "mar", "apr", pct("mar", "feb").alias("mar_jump_pct"), pct("apr", "mar").alias("apr_drop_pct"))
 
 
@@ -81,9 +81,9 @@ def anomalies(counts: DataFrame, window: int = 12, min_rows: int = 6, top: int =
     w = by_month().rowsBetween(-(window - 1), 0)
     mean = F.when(F.count("count").over(w) >= min_rows, F.avg("count").over(w))
     rows = counts.withColumn("ma", mean).where("ma is not null").withColumn("dev", (F.col("count") - F.col("ma")) / F.col("ma") * 100)
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(F.round(F.abs("dev"), 9).desc(), "month")))
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(F.bround(F.abs("dev"), 9).desc(), "month")))
     value = F.col("dev") if signed else F.abs("dev")
-    return ranked.where(F.col("n") <= top).select("category", "month", F.col("count").alias("actual"), F.col("ma").cast("long").alias("expected_ma12"), F.round(value, 4).alias("deviation_pct"))
+    return ranked.where(F.col("n") <= top).select("category", "month", F.col("count").alias("actual"), F.col("ma").cast("long").alias("expected_ma12"), F.bround(value, 4).alias("deviation_pct"))
 
 
 def wide(counts: DataFrame, categories: Sequence[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def shares(counts: DataFrame, categories: Sequence[str], names: Sequence[str]) -
     for n in names:
         total = total + F.col(n)
     table = table.withColumn("total", total.cast("long"))
-    return table.select("*", *[F.round(F.try_divide(F.col(n) * 100.0, F.col("total")), 2).alias(f"{n}_share") for n in names])
+    return table.select("*", *[F.bround(F.try_divide(F.col(n) * 100.0, F.col("total")), 2).alias(f"{n}_share") for n in names])
 
 
 def three_month_growth(counts: DataFrame, categories: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def growth_correlation(counts: DataFrame, categories: Sequence[str], names: Sequ
     for n in names:
         growth = growth.where(F.col(n).isNotNull())
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = growth.agg(*[F.round(F.corr(a, b), 6).alias(f"{a}~{b}") for a, b in pairs])
+    row = growth.agg(*[F.bround(F.corr(a, b), 6).alias(f"{a}~{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("cat1"), F.lit(b).alias("cat2"), F.col(f"{a}~{b}").alias("corr")) for a, b in pairs])).alias("r")).select("r.*")
 
 
@@ -124,7 +124,7 @@ def growth_convergence(counts: DataFrame, categories: Sequence[str], names: Sequ
         growth = growth.where(F.col(n).isNotNull())
     long = growth.select("month", F.explode(F.array(*names)).alias("g")).groupBy("month").agg(F.stddev_samp("g").alias("s"), F.avg("g").alias("m"), F.sum("g").alias("t"))
     mean = (F.col("t") + F.col("s")) / (len(names) + 1) if mean_with_std else F.col("m")
-    return long.select("month", F.round("s", 6).alias("growth_std"), F.round(mean, 6).alias("growth_mean"))
+    return long.select("month", F.bround("s", 6).alias("growth_std"), F.bround(mean, 6).alias("growth_mean"))
 
 
 def calendar_spine(counts: DataFrame) -> DataFrame:

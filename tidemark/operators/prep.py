@@ -65,7 +65,7 @@ def sampling_stats(raw: DataFrame, sampled: DataFrame, keys: Sequence[str] = ("m
     k = list(keys)
     there = lambda df, name: df.where(" and ".join(f"{c} is not null" for c in k)).groupBy(*k).agg(F.count(F.lit(1)).alias(name))
     both = there(raw, "raw_count").join(there(sampled, "sampled_count"), k, "left").na.fill(0, ["sampled_count"])
-    return both.withColumn("sampling_rate", F.round(F.col("sampled_count") / F.col("raw_count"), 4))
+    return both.withColumn("sampling_rate", F.bround(F.col("sampled_count") / F.col("raw_count"), 4))
 
 
 def dataset_stats(raw: DataFrame, clean: DataFrame, sampled: DataFrame, id_column: str = "doc_id", published: str = "published_dt") -> DataFrame:

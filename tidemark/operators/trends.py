@@ -37,10 +37,10 @@ def cusum_once(counts: DataFrame, margin: int = 12) -> DataFrame:
     """The first peak of the cumulative sum and whether it lies far enough from both ends, in plain SQL."""
     w = Window.partitionBy("category")
     centred = counts.withColumn("d", F.col("count") - F.avg("count").over(w)).withColumn("i", F.row_number().over(w.orderBy("month")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    path = centred.withColumn("s", F.round(F.abs(F.sum("d").over(w.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))), 6))
+    path = centred.withColumn("s", F.bround(F.abs(F.sum("d").over(w.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))), 6))
     peak = path.groupBy("category").agg(F.max(F.struct("s", (-F.col("i")).alias("j"), "month")).alias("p"), F.max("n").alias("n"))
     at = -F.col("p.j")
-    return peak.select("category", F.col("p.month").alias("date"), at.cast("long").alias("position"), F.round("p.s", 4).alias("statistic"), ((at >= margin) & (at <= F.col("n") - margin)).alias("accepted"))
+    return peak.select("category", F.col("p.month").alias("date"), at.cast("long").alias("position"), F.bround("p.s", 4).alias("statistic"), ((at >= margin) & (at <= F.col("n") - margin)).alias("accepted"))
 
 
 def monthly_shares(assigned: DataFrame, top: int = 15, min_months: int = 6) -> DataFrame:
@@ -66,12 +66,12 @@ def kendall_tau(series: DataFrame) -> DataFrame:
     tied = F.sum(F.when(F.col("y2") == F.col("y1"), 1).otherwise(0))
     sums = pairs(series).groupBy("tier", "topic_id").agg(s.alias("s"), tied.alias("t"), F.count(F.lit(1)).alias("p"))
     tau = F.try_divide(F.col("s"), F.sqrt(F.col("p") * (F.col("p") - F.col("t")).cast("double")))
-    return sums.where("p > t").select("tier", "topic_id", F.round(tau, 6).alias("mk_tau"))
+    return sums.where("p > t").select("tier", "topic_id", F.bround(tau, 6).alias("mk_tau"))
 
 
 def theil_sen_slope(series: DataFrame) -> DataFrame:
     slope = (F.col("y2") - F.col("y1")) / (F.col("i2") - F.col("i1"))
-    return pairs(series).groupBy("tier", "topic_id").agg(F.round(F.percentile(slope, 0.5), 9).alias("ts_slope"))
+    return pairs(series).groupBy("tier", "topic_id").agg(F.bround(F.percentile(slope, 0.5), 9).alias("ts_slope"))
 
 
 def trend_table(series: DataFrame, alpha: float = 0.05) -> DataFrame:

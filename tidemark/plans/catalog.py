@@ -32,9 +32,10 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
         QUERIES[f.__name__] = f
         if sql is not None:
             body = sql.strip()
-            head = ",\n".join(views)
-            if head:
-                body = f"WITH RECURSIVE {head},\n{body[5:]}" if body.upper().startswith("WITH") else f"WITH RECURSIVE {head}\n{body}"
+            own = body.startswith("WITH")
+            parts = [*views, body[4:].strip()] if own else list(views)
+            if parts:
+                body = "WITH RECURSIVE " + ",\n".join(parts) + ("" if own else f"\n{body}")
             ORACLES[f.__name__] = body
         return f
 
@@ -75,7 +76,7 @@ def g1_monthly_counts(spark, sf):
 
 
 @query(
-    """SELECT a.category, a.month, a.count, CASE WHEN b.count > 0 THEN round((a.count - b.count) / b.count * 100, 1) END AS yoy_pct
+    """SELECT a.category, a.month, a.count, CASE WHEN b.count > 0 THEN round_even((a.count - b.count) / b.count * 100, 1) END AS yoy_pct
 FROM months a LEFT JOIN months b ON a.category = b.category AND b.month = strftime(strptime(a.month || '-01', '%Y-%m-%d') - INTERVAL 12 MONTH, '%Y-%m')""",
     V.MONTHS,
 )
@@ -85,7 +86,7 @@ def g2_yoy(spark, sf):
 
 @query(
     """WITH r AS (SELECT *, count / lag(count, 12) OVER w - 1 AS rate FROM months WINDOW w AS (PARTITION BY category ORDER BY month)),
-d AS (SELECT category, month, round(rate - lag(rate) OVER (PARTITION BY category ORDER BY month), 6) AS acceleration FROM r)
+d AS (SELECT category, month, round_even(rate - lag(rate) OVER (PARTITION BY category ORDER BY month), 6) AS acceleration FROM r)
 SELECT * FROM d WHERE acceleration IS NOT NULL""",
     V.MONTHS,
 )
@@ -96,7 +97,7 @@ def g3_acceleration(spark, sf):
 @query(
     """WITH p(period, a, b) AS (VALUES ('whole', '1995-01', '2001-07'), ('early', '1995-06', '1997-06'), ('late', '1998-01', '2002-01')),
 x AS (SELECT category, period, coalesce(max(count) FILTER (WHERE month = a), 0) AS start_count, coalesce(max(count) FILTER (WHERE month = b), 0) AS end_count FROM months, p GROUP BY ALL)
-SELECT *, CASE WHEN start_count > 0 THEN round(end_count / start_count, 1) ELSE 0.0 END AS multiplier FROM x""",
+SELECT *, CASE WHEN start_count > 0 THEN round_even(end_count / start_count, 1) ELSE 0.0 END AS multiplier FROM x""",
     V.MONTHS,
 )
 def g4_multiples(spark, sf):
@@ -107,7 +108,7 @@ _ERAS_SQL = "e(era, a, b) AS (VALUES ('90s', '1995-03', '1998-12'), ('turn', '19
 
 
 @query(
-    """SELECT category, era, round(avg(count), 1) AS mean, round(stddev_samp(count), 1) AS std, round(stddev_samp(count) / avg(count), 4) AS cv, min(count) AS min, max(count) AS max, count(*) AS n_months
+    """SELECT category, era, round_even(avg(count), 1) AS mean, round_even(stddev_samp(count), 1) AS std, round_even(stddev_samp(count) / avg(count), 4) AS cv, min(count) AS min, max(count) AS max, count(*) AS n_months
 FROM months JOIN e ON month BETWEEN a AND b GROUP BY ALL HAVING count(*) >= 6""",
     V.MONTHS,
     _ERAS_SQL,
@@ -119,7 +120,7 @@ def g5_volatility(spark, sf):
 @query(
     """WITH x AS (SELECT *, datediff('month', DATE '1970-01-01', CAST(month || '-01' AS DATE)) AS x FROM months JOIN e ON month BETWEEN a AND b),
 f AS (SELECT category, era, regr_slope(count, x) AS s, regr_intercept(count, x) AS i FROM x GROUP BY ALL)
-SELECT category, era, round(avg(count), 1) AS mean, round(stddev_samp(count - s * x - i), 1) AS std, round(stddev_samp(count - s * x - i) / avg(count), 4) AS cv, min(count) AS min, max(count) AS max, count(*) AS n_months
+SELECT category, era, round_even(avg(count), 1) AS mean, round_even(stddev_samp(count - s * x - i), 1) AS std, round_even(stddev_samp(count - s * x - i) / avg(count), 4) AS cv, min(count) AS min, max(count) AS max, count(*) AS n_months
 FROM x JOIN f USING (category, era) GROUP BY ALL HAVING count(*) >= 6""",
     V.MONTHS,
     _ERAS_SQL,
@@ -130,7 +131,7 @@ def g5_volatility_detrended(spark, sf):
 
 @query(
     """WITH x AS (SELECT category, CAST(substr(month, 6, 2) AS INTEGER) AS month, (count / avg(count) OVER (PARTITION BY category, substr(month, 1, 4)) - 1) * 100 AS pct FROM months)
-SELECT category, month, round(avg(pct), 4) AS seasonal_pct, round(stddev_samp(pct), 4) AS std_pct FROM x GROUP BY ALL""",
+SELECT category, month, round_even(avg(pct), 4) AS seasonal_pct, round_even(stddev_samp(pct), 4) AS std_pct FROM x GROUP BY ALL""",
     V.MONTHS,
 )
 def g6_seasonal(spark, sf):
@@ -140,7 +141,7 @@ def g6_seasonal(spark, sf):
 @query(
     """WITH x AS (SELECT CAST(substr(month, 1, 4) AS INTEGER) AS year, CAST(coalesce(sum(count) FILTER (WHERE month LIKE '%-02'), 0) AS BIGINT) AS feb, CAST(coalesce(sum(count) FILTER (WHERE month LIKE '%-03'), 0) AS BIGINT) AS mar, CAST(coalesce(sum(count) FILTER (WHERE month LIKE '%-04'), 0) AS BIGINT) AS apr
   FROM months WHERE category = '2-HIGH' GROUP BY 1)
-SELECT *, round((mar / feb - 1) * 100, 4) AS mar_jump_pct, CASE WHEN mar > 0 THEN round((apr / mar - 1) * 100, 4) END AS apr_drop_pct FROM x WHERE year BETWEEN 1996 AND 2000 AND feb > 0""",
+SELECT *, round_even((mar / feb - 1) * 100, 4) AS mar_jump_pct, CASE WHEN mar > 0 THEN round_even((apr / mar - 1) * 100, 4) END AS apr_drop_pct FROM x WHERE year BETWEEN 1996 AND 2000 AND feb > 0""",
     V.MONTHS,
 )
 def g7_pair_month_effect(spark, sf):
@@ -150,8 +151,8 @@ def g7_pair_month_effect(spark, sf):
 @query(
     """WITH x AS (SELECT *, avg(count) OVER w AS ma, count(*) OVER w AS k FROM months WINDOW w AS (PARTITION BY category ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 y AS (SELECT *, (count - ma) / ma * 100 AS dev FROM x WHERE k >= 6),
-z AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(abs(dev), 9) DESC, month) AS n FROM y)
-SELECT category, month, count AS actual, CAST(trunc(ma) AS BIGINT) AS expected_ma12, round(abs(dev), 4) AS deviation_pct FROM z WHERE n <= 10""",
+z AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round_even(abs(dev), 9) DESC, month) AS n FROM y)
+SELECT category, month, count AS actual, CAST(trunc(ma) AS BIGINT) AS expected_ma12, round_even(abs(dev), 4) AS deviation_pct FROM z WHERE n <= 10""",
     V.MONTHS,
 )
 def g8_anomalies(spark, sf):
@@ -168,7 +169,7 @@ _GROWTH = "g AS (SELECT * FROM (SELECT month, " + ", ".join(f"CASE WHEN lag({n},
 
 
 @query(
-    "SELECT month, " + ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in V.SHORT) + ", CAST(p1 + p2 + p3 + p4 + p5 AS BIGINT) AS total, " + ", ".join(f"round({n} * 100.0 / (p1 + p2 + p3 + p4 + p5), 2) AS {n}_share" for n in V.SHORT) + " FROM wide",
+    "SELECT month, " + ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in V.SHORT) + ", CAST(p1 + p2 + p3 + p4 + p5 AS BIGINT) AS total, " + ", ".join(f"round_even({n} * 100.0 / (p1 + p2 + p3 + p4 + p5), 2) AS {n}_share" for n in V.SHORT) + " FROM wide",
     V.MONTHS,
     _WIDE,
 )
@@ -176,12 +177,12 @@ def g10_shares(spark, sf):
     return growth.shares(V.months(spark, sf), V.PRIORITIES, V.SHORT)
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS cat1, '{b}' AS cat2, round(corr({a}, {b}), 6) AS corr FROM g" for i, a in enumerate(V.SHORT) for b in V.SHORT[i + 1 :]), V.MONTHS, _WIDE, _GROWTH)
+@query(" UNION ALL ".join(f"SELECT '{a}' AS cat1, '{b}' AS cat2, round_even(corr({a}, {b}), 6) AS corr FROM g" for i, a in enumerate(V.SHORT) for b in V.SHORT[i + 1 :]), V.MONTHS, _WIDE, _GROWTH)
 def g11_growth_corr(spark, sf):
     return growth.growth_correlation(V.months(spark, sf), V.PRIORITIES, V.SHORT)
 
 
-@query("SELECT month, round(stddev_samp(v), 6) AS growth_std, round(avg(v), 6) + 0.0 AS growth_mean FROM (SELECT month, unnest([p1, p2, p3, p4, p5]) AS v FROM g) GROUP BY month", V.MONTHS, _WIDE, _GROWTH)
+@query("SELECT month, round_even(stddev_samp(v), 6) AS growth_std, round_even(avg(v), 6) + 0.0 AS growth_mean FROM (SELECT month, unnest([p1, p2, p3, p4, p5]) AS v FROM g) GROUP BY month", V.MONTHS, _WIDE, _GROWTH)
 def g12_growth_convergence(spark, sf):
     return growth.growth_convergence(V.months(spark, sf), V.PRIORITIES, V.SHORT)
 
@@ -227,9 +228,9 @@ def c1_pelt(spark, sf):
 
 @query(
     """WITH d AS (SELECT *, count - avg(count) OVER (PARTITION BY category) AS d, row_number() OVER (PARTITION BY category ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM months),
-s AS (SELECT *, round(abs(sum(d) OVER (PARTITION BY category ORDER BY month ROWS UNBOUNDED PRECEDING)), 6) AS s FROM d),
+s AS (SELECT *, round_even(abs(sum(d) OVER (PARTITION BY category ORDER BY month ROWS UNBOUNDED PRECEDING)), 6) AS s FROM d),
 p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s DESC, i) AS r FROM s)
-SELECT category, month AS date, CAST(i AS BIGINT) AS position, round(s, 4) AS statistic, i >= 12 AND i <= n - 12 AS accepted FROM p WHERE r = 1""",
+SELECT category, month AS date, CAST(i AS BIGINT) AS position, round_even(s, 4) AS statistic, i >= 12 AND i <= n - 12 AS accepted FROM p WHERE r = 1""",
     V.MONTHS,
 )
 def c2_cusum_depth1(spark, sf):
@@ -270,7 +271,7 @@ def _series(spark, sf):
 
 @query(
     """WITH t AS (SELECT tier, topic_id, sum(CASE WHEN y2 > y1 THEN 1 WHEN y2 < y1 THEN -1 ELSE 0 END) AS s, count(*) FILTER (WHERE y1 = y2) AS t, count(*) AS p FROM pr GROUP BY ALL)
-SELECT tier, topic_id, round(s / sqrt(p * (p - t)), 6) AS mk_tau FROM t WHERE p > t""",
+SELECT tier, topic_id, round_even(s / sqrt(p * (p - t)), 6) AS mk_tau FROM t WHERE p > t""",
     V.DOCS,
     _SERIES,
 )
@@ -278,7 +279,7 @@ def c5_kendall_tau(spark, sf):
     return trends.kendall_tau(_series(spark, sf))
 
 
-@query("SELECT tier, topic_id, round(median((y2 - y1) / (i2 - i1)), 9) AS ts_slope FROM pr GROUP BY ALL", V.DOCS, _SERIES)
+@query("SELECT tier, topic_id, round_even(median((y2 - y1) / (i2 - i1)), 9) AS ts_slope FROM pr GROUP BY ALL", V.DOCS, _SERIES)
 def c6_theil_sen_slope(spark, sf):
     return trends.theil_sen_slope(_series(spark, sf))
 
@@ -290,14 +291,14 @@ t AS (SELECT tier, topic_id, sum(CASE WHEN y2 > y1 THEN 1 WHEN y2 < y1 THEN -1 E
 v AS (SELECT *, (n * (n - 1) * (2 * n + 5) - u) / 18 AS variance FROM t JOIN l USING (tier, topic_id) JOIN u USING (tier, topic_id) WHERE sd >= 1e-8 AND p > t),
 z AS (SELECT *, abs(s) / sqrt(variance) / sqrt(2) AS x, 1.959963984540054 * sqrt(greatest(0, variance)) AS reach FROM v),
 e AS (SELECT *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / exp(lgamma(k + 1)) / (2 * k + 1))) AS pv FROM z)
-SELECT tier, topic_id, round(s / sqrt(p * (p - t)), 6) AS mk_tau, round(pv, 6) AS mk_pvalue, round(list_median(slopes), 9) AS ts_slope, round(slopes[greatest(0, CAST(round_even((p - reach) / 2, 0) AS BIGINT) - 1) + 1], 9) AS ts_slope_lo,
-  round(slopes[least(p - 1, CAST(round_even((p + reach) / 2, 0) AS BIGINT)) + 1], 9) AS ts_slope_hi, pv < 0.05 AS significant FROM e""",
+SELECT tier, topic_id, round_even(s / sqrt(p * (p - t)), 6) AS mk_tau, round_even(pv, 6) AS mk_pvalue, round_even(list_median(slopes), 9) AS ts_slope, round_even(slopes[greatest(0, CAST(round_even((p - reach) / 2, 0) AS BIGINT) - 1) + 1], 9) AS ts_slope_lo,
+  round_even(slopes[least(p - 1, CAST(round_even((p + reach) / 2, 0) AS BIGINT)) + 1], 9) AS ts_slope_hi, pv < 0.05 AS significant FROM e""",
     V.DOCS,
     _SERIES,
 )
 def c7_trend_table(spark, sf):
     places = {"mk_tau": 6, "mk_pvalue": 6, "ts_slope": 9, "ts_slope_lo": 9, "ts_slope_hi": 9}
-    return trends.trend_table(_series(spark, sf)).withColumns({c: F.round(c, n) for c, n in places.items()})
+    return trends.trend_table(_series(spark, sf)).withColumns({c: F.bround(c, n) for c, n in places.items()})
 
 
 # --- preparation --------------------------------------------------------------------------------------------------
@@ -361,7 +362,7 @@ _SAMPLED = "sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 @query(
-    """SELECT month, primary_category, raw_count, coalesce(k, 0) AS sampled_count, round(coalesce(k, 0) / raw_count, 4) AS sampling_rate
+    """SELECT month, primary_category, raw_count, coalesce(k, 0) AS sampled_count, round_even(coalesce(k, 0) / raw_count, 4) AS sampling_rate
 FROM (SELECT month, primary_category, count(*) AS raw_count FROM docs GROUP BY 1, 2) LEFT JOIN (SELECT month, primary_category, count(*) AS k FROM sampled GROUP BY 1, 2) USING (month, primary_category)""",
     V.DOCS,
     _SAMPLED,
@@ -426,7 +427,7 @@ sizes AS (SELECT year, query_category, count(*) AS n, sum(count(*)) OVER (PARTIT
 good AS (SELECT year, query_category FROM sizes WHERE y >= 100 AND n >= 50),
 tops AS (SELECT *, row_number() OVER (PARTITION BY year, query_category ORDER BY n DESC, term) AS r FROM (SELECT year, query_category, term, count(*) AS n FROM tokens SEMI JOIN good USING (year, query_category) GROUP BY ALL)),
 sets AS (SELECT year, query_category AS category, list(term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY year, query_category ORDER BY term) AS k FROM tops WHERE r <= 100) WHERE k <= 50 GROUP BY ALL)"""
-_JACCARD = "round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 4)"
+_JACCARD = "round_even(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 4)"
 _CONVERGENCE = f"conv AS (SELECT a.year, a.category AS cat1, b.category AS cat2, {_JACCARD.format(a='a.terms', b='b.terms')} AS jaccard FROM sets a JOIN sets b ON a.year = b.year AND a.category < b.category)"
 
 
@@ -480,7 +481,7 @@ pairs AS (SELECT a.topic_id, a.w AS w1, b.w AS w2 FROM best a JOIN best b ON a.t
 joint AS (SELECT a.w AS w1, b.w AS w2, count(*) AS c FROM known a JOIN known b USING (doc_id) SEMI JOIN pairs p ON p.w1 = a.w AND p.w2 = b.w GROUP BY 1, 2),
 f AS (SELECT pairs.*, greatest(coalesce(joint.c, 0) / n, 1e-12) AS p12, greatest(s1.c / n, 1e-12) AS p1, greatest(s2.c / n, 1e-12) AS p2
   FROM pairs LEFT JOIN joint USING (w1, w2) JOIN single s1 ON s1.w = w1 JOIN single s2 ON s2.w = w2, (SELECT count(*) AS n FROM docs))
-SELECT round(avg(CASE WHEN p12 >= 1 THEN 1.0 ELSE greatest(-1.0, least(1.0, ln(p12 / (p1 * p2)) / -ln(p12))) END), 6) AS npmi, count(DISTINCT topic_id) AS n_topics, count(*) AS n_pairs FROM f"""
+SELECT round_even(avg(CASE WHEN p12 >= 1 THEN 1.0 ELSE greatest(-1.0, least(1.0, ln(p12 / (p1 * p2)) / -ln(p12))) END), 6) AS npmi, count(DISTINCT topic_id) AS n_topics, count(*) AS n_pairs FROM f"""
     % ", ".join(f"'{w}'" for w in topics.COHERENCE_STOP),
     V.DOCS,
 )
@@ -492,7 +493,7 @@ def t14_npmi(spark, sf):
     """WITH i AS (SELECT *, paper_count / sum(paper_count) OVER (PARTITION BY tier) AS w FROM info WHERE topic_id <> -1),
 k AS (SELECT tier, keyword, sum(w) AS w FROM kw JOIN i USING (tier, topic_id) WHERE rank <= 5 GROUP BY ALL), p AS (SELECT *, w / sum(w) OVER (PARTITION BY tier) AS p FROM k),
 h AS (SELECT tier, count(*) AS n_unique_keywords, -sum(p * log2(p)) AS h FROM p GROUP BY 1)
-SELECT tier, (SELECT count(*) FROM i WHERE i.tier = h.tier) AS n_topics, n_unique_keywords, round(h, 3) AS shannon_entropy, round(CASE WHEN n_unique_keywords > 1 THEN h / log2(n_unique_keywords) ELSE 0.0 END, 4) AS evenness FROM h""",
+SELECT tier, (SELECT count(*) FROM i WHERE i.tier = h.tier) AS n_topics, n_unique_keywords, round_even(h, 3) AS shannon_entropy, round_even(CASE WHEN n_unique_keywords > 1 THEN h / log2(n_unique_keywords) ELSE 0.0 END, 4) AS evenness FROM h""",
     V.DOCS, V.INFO, V.KEYWORDS,
 )
 def v2_diversity_entropy(spark, sf):
@@ -511,7 +512,7 @@ def _has(terms):
     + " UNION ALL ".join(f"SELECT '{k}' AS paradigm, year, count(*) FILTER (WHERE {_has(v)}) AS hits, count(*) AS n FROM t GROUP BY year" for k, v in V.PARADIGMS.items())
     + """), r AS (SELECT *, hits / n AS ratio FROM y WHERE hits > 0),
 a AS (SELECT paradigm, min(year) FILTER (WHERE ratio > 0.001) AS first_year, max(ratio) AS peak, coalesce(max(ratio) FILTER (WHERE year = 2023), 0.0) AS now FROM r GROUP BY 1)
-SELECT paradigm, first_year, peak_year, peak_year - first_year AS time_to_peak_years, round(peak, 4) AS peak_ratio, round(now, 4) AS current_ratio, CASE WHEN now > 0.8 * peak THEN 'growing' WHEN now < 0.3 * peak THEN 'declining' ELSE 'plateau' END AS status
+SELECT paradigm, first_year, peak_year, peak_year - first_year AS time_to_peak_years, round_even(peak, 4) AS peak_ratio, round_even(now, 4) AS current_ratio, CASE WHEN now > 0.8 * peak THEN 'growing' WHEN now < 0.3 * peak THEN 'declining' ELSE 'plateau' END AS status
 FROM a JOIN (SELECT paradigm, min(year) AS peak_year FROM r JOIN a USING (paradigm) WHERE ratio = peak GROUP BY 1) USING (paradigm)""",
     V.DOCS,
 )
@@ -526,7 +527,7 @@ def v3_convergence(spark, sf):
 
 @query(
     """WITH y AS (SELECT year, avg(jaccard) AS j FROM conv GROUP BY 1), a AS (SELECT avg(j) FILTER (WHERE year <= 2021) AS early, avg(j) FILTER (WHERE year >= 2022) AS late FROM y)
-SELECT round(early, 6) AS early, round(late, 6) AS late, CASE WHEN early IS NULL OR late IS NULL THEN NULL WHEN late > early THEN 'converging' ELSE 'diverging' END AS trend FROM a""",
+SELECT round_even(early, 6) AS early, round_even(late, 6) AS late, CASE WHEN early IS NULL OR late IS NULL THEN NULL WHEN late > early THEN 'converging' ELSE 'diverging' END AS trend FROM a""",
     V.DOCS, _TOKENS, _SETS, _CONVERGENCE,
 )
 def v4_trend(spark, sf):
@@ -547,9 +548,9 @@ _RATES = "t AS (SELECT month, lower(coalesce(title, '') || ' ' || coalesce(abstr
 _BURSTS = """
 hot AS (SELECT *, avg(rate) OVER w AS base, rate > avg(rate) OVER w + 1.0 * stddev_pop(rate) OVER w AS hot, lead(month) OVER o AS nx, count(*) OVER w AS k FROM rates WINDOW w AS (PARTITION BY term), o AS (PARTITION BY term ORDER BY month)),
 isl AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY month) - row_number() OVER (PARTITION BY term, hot ORDER BY month) AS run FROM hot WHERE k >= 24),
-runs AS (SELECT term, run, min(month) AS start, arg_max(nx, month) AS "end", max(round(rate, 9)) AS pk, any_value(base) AS base FROM isl WHERE hot GROUP BY 1, 2),
-bursts AS (SELECT * FROM (SELECT term, start, "end", (SELECT min(month) FROM isl i WHERE i.term = r.term AND i.run = r.run AND i.hot AND round(i.rate, 9) = r.pk) AS peak, round(pk, 2) AS peak_rate,
-  CAST(datediff('day', CAST(start || '-01' AS DATE), CAST("end" || '-01' AS DATE)) // 30 AS INTEGER) AS duration_months, round(base, 2) AS baseline_rate FROM runs r WHERE "end" IS NOT NULL) WHERE duration_months >= 1)"""
+runs AS (SELECT term, run, min(month) AS start, arg_max(nx, month) AS "end", max(round_even(rate, 9)) AS pk, any_value(base) AS base FROM isl WHERE hot GROUP BY 1, 2),
+bursts AS (SELECT * FROM (SELECT term, start, "end", (SELECT min(month) FROM isl i WHERE i.term = r.term AND i.run = r.run AND i.hot AND round_even(i.rate, 9) = r.pk) AS peak, round_even(pk, 2) AS peak_rate,
+  CAST(datediff('day', CAST(start || '-01' AS DATE), CAST("end" || '-01' AS DATE)) // 30 AS INTEGER) AS duration_months, round_even(base, 2) AS baseline_rate FROM runs r WHERE "end" IS NOT NULL) WHERE duration_months >= 1)"""
 
 
 def _bursts(spark, sf):
@@ -575,7 +576,7 @@ UMBRELLA = ("that", "this", "ntwhich", "thing", "eaux", "schaft", "an")
     + _JACCARD.format(a="a.terms", b="b.terms")
     + " AS jaccard_raw, "
     + _JACCARD.format(a="a.kept", b="b.kept")
-    + " AS jaccard_filtered, round(jaccard_raw - jaccard_filtered, 4) AS umbrella_effect FROM f a JOIN f b ON a.year = b.year AND a.category < b.category",
+    + " AS jaccard_filtered, round_even(jaccard_raw - jaccard_filtered, 4) AS umbrella_effect FROM f a JOIN f b ON a.year = b.year AND a.category < b.category",
     V.DOCS,
     _TOKENS,
     _SETS,
@@ -584,8 +585,8 @@ def r1_umbrella_jaccard(spark, sf):
     return final.umbrella_overlap(_sets(spark, sf), V.CATEGORIES, UMBRELLA)
 
 
-_PARTS = """parts AS (SELECT tier, macro_id, papers, proportion, round(c, 6) AS entropy_contrib, round(c * 100 / sum(c) OVER (PARTITION BY tier), 1) AS entropy_pct FROM
-  (SELECT *, -proportion * ln(proportion + 1e-10) AS c FROM (SELECT tier, macro_id, CAST(sum(paper_count) AS BIGINT) AS papers, round(sum(paper_count) / sum(sum(paper_count)) OVER (PARTITION BY tier), 6) AS proportion FROM macro GROUP BY 1, 2)))"""
+_PARTS = """parts AS (SELECT tier, macro_id, papers, proportion, round_even(c, 6) AS entropy_contrib, round_even(c * 100 / sum(c) OVER (PARTITION BY tier), 1) AS entropy_pct FROM
+  (SELECT *, -proportion * ln(proportion + 1e-10) AS c FROM (SELECT tier, macro_id, CAST(sum(paper_count) AS BIGINT) AS papers, round_even(sum(paper_count) / sum(sum(paper_count)) OVER (PARTITION BY tier), 6) AS proportion FROM macro GROUP BY 1, 2)))"""
 
 
 @query("SELECT * FROM parts", V.DOCS, V.INFO, V.MACRO_PLAIN, _PARTS)
@@ -594,7 +595,7 @@ def r2_entropy_decomp(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT macro_id, round(coalesce(b.entropy_contrib, 0) - coalesce(a.entropy_contrib, 0), 6) AS delta FROM (SELECT * FROM parts WHERE tier = 'T1_fine') b FULL JOIN (SELECT * FROM parts WHERE tier = 'T2_medium') a USING (macro_id)),
+    """WITH d AS (SELECT macro_id, round_even(coalesce(b.entropy_contrib, 0) - coalesce(a.entropy_contrib, 0), 6) AS delta FROM (SELECT * FROM parts WHERE tier = 'T1_fine') b FULL JOIN (SELECT * FROM parts WHERE tier = 'T2_medium') a USING (macro_id)),
 r AS (SELECT *, row_number() OVER (ORDER BY delta DESC, macro_id) AS up, row_number() OVER (ORDER BY delta, macro_id) AS down FROM d)
 SELECT macro_id, delta, CASE WHEN up <= 3 THEN 'top' ELSE 'bottom' END AS side FROM r WHERE up <= 3 OR down <= 3""",
     V.DOCS, V.INFO, V.MACRO_PLAIN, _PARTS,
@@ -603,7 +604,7 @@ def r3_entropy_delta(spark, sf):
     return final.entropy_changes(r2_entropy_decomp(spark, sf), "T2_medium", "T1_fine")
 
 
-@query("SELECT year, round(avg(k), 6) AS avg_categories, round(stddev_samp(k), 6) AS std_categories FROM (SELECT year, len(string_split(categories, '|')) AS k FROM docs) GROUP BY 1", V.DOCS)
+@query("SELECT year, round_even(avg(k), 6) AS avg_categories, round_even(stddev_samp(k), 6) AS std_categories FROM (SELECT year, len(string_split(categories, '|')) AS k FROM docs) GROUP BY 1", V.DOCS)
 def r4_multi_category(spark, sf):
     return final.multi_category_trend(V.docs(spark, sf))
 
@@ -654,17 +655,17 @@ w AS (SELECT x, y, z FROM sets, pre WHERE least(x, y, z) >= -1e-10 ORDER BY x *
 control AS (SELECT month, CAST(p1 AS DOUBLE) AS actual, x * p2 + y * p3 + z * p4 AS synthetic, p1 - (x * p2 + y * p3 + z * p4) AS gap FROM wide, w)"""
 
 
-@query("SELECT month, actual, round(synthetic, 5) AS synthetic, round(gap, 5) AS gap FROM control", V.MONTHS, _WIDE, _CONTROL)
+@query("SELECT month, actual, round_even(synthetic, 5) AS synthetic, round_even(gap, 5) AS gap FROM control", V.MONTHS, _WIDE, _CONTROL)
 def r7_synthetic_control(spark, sf):
-    return _control(spark, sf).withColumns({c: F.round(c, 5) for c in ("synthetic", "gap")})
+    return _control(spark, sf).withColumns({c: F.bround(c, 5) for c in ("synthetic", "gap")})
 
 
 @query(
-    f"SELECT round(avg(gap * gap) FILTER (WHERE month BETWEEN '{PRE[0]}' AND '{PRE[1]}'), 4) AS pre_mse, round(avg(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS mean_gap, round(sum(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS cumulative_gap FROM control",
+    f"SELECT round_even(avg(gap * gap) FILTER (WHERE month BETWEEN '{PRE[0]}' AND '{PRE[1]}'), 4) AS pre_mse, round_even(avg(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS mean_gap, round_even(sum(gap) FILTER (WHERE month BETWEEN '{POST[0]}' AND '{POST[1]}'), 4) AS cumulative_gap FROM control",
     V.MONTHS, _WIDE, _CONTROL,
 )
 def r7_control_summary(spark, sf):
-    return final.control_summary(_control(spark, sf), PRE, POST).select(*[F.round(c, 4).alias(c) for c in ("pre_mse", "mean_gap", "cumulative_gap")])
+    return final.control_summary(_control(spark, sf), PRE, POST).select(*[F.bround(c, 4).alias(c) for c in ("pre_mse", "mean_gap", "cumulative_gap")])
 
 
 #: Quarterly growth of log counts; cross products of a pair's lags; elimination of their table leaves the sums of squared rests.
@@ -680,7 +681,7 @@ rests AS (SELECT cause, effect, any_value(n) - 9 AS df, max(m[10][10]) FILTER (W
 f AS (SELECT *, (small - large) / 4 / (large / df) AS f FROM rests),
 p AS (SELECT *, pow(1 - x, df / 2) * (1 + df / 2 * x) AS p FROM (SELECT *, 4 * f / (4 * f + df) AS x FROM f)),
 o AS (SELECT *, row_number() OVER (ORDER BY p DESC, cause, effect) AS k, count(*) OVER () AS n FROM p)
-SELECT cause, effect, round(f, 3) AS f_statistic, round(p, 4) AS p_value, p < 0.05 AS significant, round(least(1.0, min(p * n / (n - k + 1)) OVER (ORDER BY k)), 4) AS p_adjusted FROM o"""
+SELECT cause, effect, round_even(f, 3) AS f_statistic, round_even(p, 4) AS p_value, p < 0.05 AS significant, round_even(least(1.0, min(p * n / (n - k + 1)) OVER (ORDER BY k)), 4) AS p_adjusted FROM o"""
 
 
 @query("WITH" + _GRANGER, V.MONTHS, _QUARTERS)
@@ -691,11 +692,11 @@ def r8_granger(spark, sf):
 @query(
     """WITH q AS (SELECT category, substr(month, 1, 4) || 'Q' || ((CAST(substr(month, 6, 2) AS INTEGER) + 2) // 3) AS quarter, sum(count) AS n FROM months GROUP BY ALL),
 g AS (SELECT category, quarter, ln(1 + n) - lag(ln(1 + n)) OVER (PARTITION BY category ORDER BY quarter) AS g FROM q)
-SELECT category, quarter, round(g, 6) AS g FROM g WHERE g IS NOT NULL""",
+SELECT category, quarter, round_even(g, 6) AS g FROM g WHERE g IS NOT NULL""",
     V.MONTHS,
 )
 def r8_quarterly_growth(spark, sf):
-    return final.quarterly_growth(V.months(spark, sf)).withColumn("g", F.round("g", 6))
+    return final.quarterly_growth(V.months(spark, sf)).withColumn("g", F.bround("g", 6))
 
 
 @query(
@@ -705,21 +706,21 @@ s AS (SELECT count(*) AS n, avg(a) AS ma, avg(c) AS mc, avg(y) AS my, covar_pop(
 d AS (SELECT *, aa * cc - ac * ac AS det FROM s),
 b AS (SELECT *, CASE WHEN det > 1e-9 THEN (ay * cc - cy * ac) / det WHEN aa > 0 AND cc < 1e-9 THEN ay / aa ELSE 0.0 END AS ba, CASE WHEN det > 1e-9 THEN (cy * aa - ay * ac) / det WHEN cc > 0 AND aa < 1e-9 THEN cy / cc ELSE 0.0 END AS bc FROM d),
 v AS (SELECT unnest(['age', 'period', 'cohort_num', 'intercept', 'r_squared']) AS variable, unnest([ba / 2, ba / 2, bc, my - ba * ma - bc * mc, CASE WHEN yy > 0 THEN (ba * ay + bc * cy) / yy ELSE 0.0 END]) AS coefficient FROM b)
-SELECT variable, round(coefficient, 6) AS coefficient FROM v""",
+SELECT variable, round_even(coefficient, 6) AS coefficient FROM v""",
     V.DOCS, V.INFO, V.MACRO_PLAIN,
 )
 def r9_apc(spark, sf):
     """Cohorts by the first tier in time: two regressors that differ."""
-    return final.apc_coefficients(final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS, by_first_tier=True)).withColumn("coefficient", F.round("coefficient", 6))
+    return final.apc_coefficients(final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS, by_first_tier=True)).withColumn("coefficient", F.bround("coefficient", 6))
 
 
 @query(
     """WITH n(tier, k) AS (VALUES ('T4_historic', 0.0), ('T3_coarse', 1.0), ('T2_medium', 2.0), ('T1_fine', 3.0)), c AS (SELECT topic_id, min(tier) AS cohort FROM macro GROUP BY 1)
-SELECT tier, topic_id, round(ln(1 + paper_count), 6) AS y, CAST(n.k AS DOUBLE) AS age, CAST(n.k AS DOUBLE) AS period, CAST(o.k AS DOUBLE) AS cohort_num FROM macro JOIN c USING (topic_id) JOIN n USING (tier) JOIN n o ON o.tier = cohort""",
+SELECT tier, topic_id, round_even(ln(1 + paper_count), 6) AS y, CAST(n.k AS DOUBLE) AS age, CAST(n.k AS DOUBLE) AS period, CAST(o.k AS DOUBLE) AS cohort_num FROM macro JOIN c USING (topic_id) JOIN n USING (tier) JOIN n o ON o.tier = cohort""",
     V.DOCS, V.INFO, V.MACRO_PLAIN,
 )
 def r9_apc_data(spark, sf):
-    return final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS).withColumn("y", F.round("y", 6))
+    return final.age_period_cohort(V.macro_plain(spark, sf), V.TIERS).withColumn("y", F.bround("y", 6))
 
 
 _BRIDGE = """bridge AS (SELECT m.macro_id, t.tier, coalesce(n, 0) AS n_topics, CAST(coalesce(p, 0) AS BIGINT) AS total_papers, CAST(coalesce(n * p, 0) AS BIGINT) AS bridge_score FROM (SELECT DISTINCT macro_id FROM macro) m
@@ -738,9 +739,9 @@ def r10_top_bridges(spark, sf):
 
 # --- experiments and models ---------------------------------------------------------------------------------------
 
-_ENTROPY = """ent AS (SELECT tier, count(*) AS n_topics, round(-sum(p * log2(p)), 6) AS entropy, round(pow(2, -sum(p * log2(p))), 4) AS effective_number, round(1 - sum(n) / max(whole), 6) AS noise_rate
+_ENTROPY = """ent AS (SELECT tier, count(*) AS n_topics, round_even(-sum(p * log2(p)), 6) AS entropy, round_even(pow(2, -sum(p * log2(p))), 4) AS effective_number, round_even(1 - sum(n) / max(whole), 6) AS noise_rate
   FROM (SELECT *, n / sum(n) OVER (PARTITION BY tier) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY tier) AS whole FROM (SELECT tier, topic_id, count(*) AS n FROM docs GROUP BY 1, 2)) WHERE topic_id <> -1) GROUP BY 1)"""
-_PROPORTIONS = "props AS (SELECT tier, macro_id, round(sum(n) / max(whole), 6) AS proportion FROM (SELECT *, sum(n) OVER (PARTITION BY tier) AS whole FROM (SELECT tier, topic_id, count(*) AS n FROM docs GROUP BY 1, 2)) JOIN macro USING (tier, topic_id) GROUP BY 1, 2)"
+_PROPORTIONS = "props AS (SELECT tier, macro_id, round_even(sum(n) / max(whole), 6) AS proportion FROM (SELECT *, sum(n) OVER (PARTITION BY tier) AS whole FROM (SELECT tier, topic_id, count(*) AS n FROM docs GROUP BY 1, 2)) JOIN macro USING (tier, topic_id) GROUP BY 1, 2)"
 
 
 @query("SELECT * FROM ent", V.DOCS, _ENTROPY)
@@ -759,9 +760,9 @@ def e2_macro_props(spark, sf):
     + "), sprops AS ("
     + _PROPORTIONS.removeprefix("props AS (")[:-1].replace("FROM docs", "FROM sampled")
     + """),
-b AS (SELECT tier, macro_id, coalesce(s.proportion, 0.0) AS sampled, coalesce(f.proportion, 0.0) AS "full", round(coalesce(s.proportion, 0.0) - coalesce(f.proportion, 0.0), 6) AS diff FROM sprops s FULL JOIN props f USING (tier, macro_id)),
+b AS (SELECT tier, macro_id, coalesce(s.proportion, 0.0) AS sampled, coalesce(f.proportion, 0.0) AS "full", round_even(coalesce(s.proportion, 0.0) - coalesce(f.proportion, 0.0), 6) AS diff FROM sprops s FULL JOIN props f USING (tier, macro_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY abs(diff) DESC, macro_id) AS n FROM b)
-SELECT r.tier, macro_id, sampled, "full", diff, round(sent.entropy - ent.entropy, 6) AS entropy_delta, round((sent.entropy - ent.entropy) * 100 / ent.entropy, 4) AS entropy_bias_pct FROM r JOIN sent ON r.tier = sent.tier JOIN ent ON ent.tier = r.tier WHERE n <= 10""",
+SELECT r.tier, macro_id, sampled, "full", diff, round_even(sent.entropy - ent.entropy, 6) AS entropy_delta, round_even((sent.entropy - ent.entropy) * 100 / ent.entropy, 4) AS entropy_bias_pct FROM r JOIN sent ON r.tier = sent.tier JOIN ent ON ent.tier = r.tier WHERE n <= 10""",
     V.DOCS, V.INFO, V.MACRO_PLAIN, _SAMPLED, _ENTROPY, _PROPORTIONS,
 )
 def e3_compare(spark, sf):
@@ -783,7 +784,16 @@ def t10_topic_model(spark, sf):
     return assigned.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """WITH parts AS (SELECT label AS topic_id, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
+means AS (SELECT topic_id, list(x ORDER BY i) AS v, row_number() OVER (ORDER BY topic_id) AS k FROM parts GROUP BY 1),
+gaps AS (SELECT a.k, list(CASE WHEN a.k = b.k THEN CAST('inf' AS DOUBLE) ELSE 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) END ORDER BY b.k) AS g FROM means a, means b GROUP BY 1),
+up AS (SELECT list(g ORDER BY k) AS d, list(1.0) AS s, list(k ORDER BY k) AS l, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS todo FROM gaps
+  UNION ALL SELECT list_transform(d, lambda r, a: list_transform(r, lambda x, b: CASE WHEN a = j OR b = j OR (a = i AND b = i) THEN CAST('inf' AS DOUBLE) WHEN a = i THEN (s[i] * d[i][b] + s[j] * d[j][b]) / (s[i] + s[j]) WHEN b = i THEN (s[i] * d[i][a] + s[j] * d[j][a]) / (s[i] + s[j]) ELSE x END)),
+    list_transform(s, lambda x, a: CASE WHEN a = i THEN s[i] + s[j] ELSE x END), list_transform(l, lambda x: CASE WHEN x = j THEN i ELSE x END), n, todo - 1
+  FROM (SELECT *, CAST(pos // n + 1 AS BIGINT) AS i, CAST(pos % n + 1 AS BIGINT) AS j FROM (SELECT *, list_position(flatten(d), list_min(flatten(d))) - 1 AS pos FROM up WHERE todo > 4)))
+SELECT 'all' AS tier, topic_id, CAST(len(list_filter(range(1, list_position(l, l[k])), lambda x: list_position(l, l[x]) = x)) AS INTEGER) AS macro_id FROM means, (SELECT l FROM up ORDER BY todo LIMIT 1)"""
+)
 def t13_macro_cluster(spark, sf):
     e = table(spark, sf, "embeddings").select(F.lit("all").alias("tier"), F.col("label").alias("topic_id"), "embedding")
     return models.macro_clusters(models.mean_vectors(e, ["tier", "topic_id"]), 4)
@@ -799,23 +809,23 @@ def t15_grid(spark, sf):
 
 
 @query(
-    """SELECT doc_id, coalesce(title, '') = '' AS no_title, length(title) AS n_title, len(string_split(categories, '|')) AS n_categories, CASE WHEN src > 0 THEN round(doc_id / src, 6) END AS safe_ratio,
+    """SELECT doc_id, coalesce(title, '') = '' AS no_title, length(title) AS n_title, len(string_split(categories, '|')) AS n_categories, CASE WHEN src > 0 THEN round_even(doc_id / src, 6) END AS safe_ratio,
   strftime(CAST(month || '-01' AS DATE) - INTERVAL 12 MONTH, '%Y-%m') AS year_before, datediff('day', DATE '2020-01-01', CAST(month || '-01' AS DATE)) // 30 AS spans, query_category || '-' || primary_category AS pair,
-  CASE WHEN src > 12 THEN 'high' WHEN src < 4 THEN 'low' ELSE 'mid' END AS status, round(ln(1 + src), 6) AS log1p_src, greatest(3, least(9, src)) AS clamped, contains(lower(abstract), 'gan') AS has_gan FROM docs""",
+  CASE WHEN src > 12 THEN 'high' WHEN src < 4 THEN 'low' ELSE 'mid' END AS status, round_even(ln(1 + src), 6) AS log1p_src, greatest(3, least(9, src)) AS clamped, contains(lower(abstract), 'gan') AS has_gan FROM docs""",
     V.DOCS,
 )
 def f_scalars(spark, sf):
     d = V.docs(spark, sf)
     return d.select(
-        "doc_id", (F.coalesce("title", F.lit("")) == "").alias("no_title"), F.length("title").cast("long").alias("n_title"), S.n_categories(F.col("categories")).cast("long").alias("n_categories"), F.round(S.share(F.col("doc_id"), F.when(F.col("src") > 0, F.col("src"))), 6).alias("safe_ratio"),
+        "doc_id", (F.coalesce("title", F.lit("")) == "").alias("no_title"), F.length("title").cast("long").alias("n_title"), S.n_categories(F.col("categories")).cast("long").alias("n_categories"), F.bround(S.share(F.col("doc_id"), F.when(F.col("src") > 0, F.col("src"))), 6).alias("safe_ratio"),
         S.year_before(F.col("month")).alias("year_before"), S.months_between_floor(F.col("month"), F.lit("2020-01")).cast("long").alias("spans"), F.concat_ws("-", "query_category", "primary_category").alias("pair"),
-        F.when(F.col("src") > 12, "high").when(F.col("src") < 4, "low").otherwise("mid").alias("status"), F.round(F.log1p("src"), 6).alias("log1p_src"), F.greatest(F.lit(3), F.least(F.lit(9), F.col("src"))).alias("clamped"), S.contains_term(F.lower("abstract"), "gan").alias("has_gan"),
+        F.when(F.col("src") > 12, "high").when(F.col("src") < 4, "low").otherwise("mid").alias("status"), F.bround(F.log1p("src"), 6).alias("log1p_src"), F.greatest(F.lit(3), F.least(F.lit(9), F.col("src"))).alias("clamped"), S.contains_term(F.lower("abstract"), "gan").alias("has_gan"),
     )
 
 
 @query(
     """SELECT category, month, count, CAST(sum(count) OVER w AS BIGINT) AS running, lag(count, 1) OVER o AS lag1, lag(count, 4) OVER o AS lag4, lead(count) OVER o AS nxt,
-round(avg(count) OVER (PARTITION BY category, substr(month, 1, 4)), 6) AS year_mean, row_number() OVER (PARTITION BY category ORDER BY count DESC, month) AS rank
+round_even(avg(count) OVER (PARTITION BY category, substr(month, 1, 4)), 6) AS year_mean, row_number() OVER (PARTITION BY category ORDER BY count DESC, month) AS rank
 FROM months WINDOW o AS (PARTITION BY category ORDER BY month), w AS (PARTITION BY category ORDER BY month ROWS UNBOUNDED PRECEDING)""",
     V.MONTHS,
 )
@@ -823,20 +833,20 @@ def w_windows(spark, sf):
     o = growth.by_month()
     return V.months(spark, sf).select(
         "category", "month", "count", F.sum("count").over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.lag("count", 1).over(o).alias("lag1"), F.lag("count", 4).over(o).alias("lag4"), F.lead("count").over(o).alias("nxt"),
-        F.round(F.avg("count").over(Window.partitionBy("category", F.substring("month", 1, 4))), 6).alias("year_mean"), F.row_number().over(Window.partitionBy("category").orderBy(F.col("count").desc(), "month")).cast("long").alias("rank"),
+        F.bround(F.avg("count").over(Window.partitionBy("category", F.substring("month", 1, 4))), 6).alias("year_mean"), F.row_number().over(Window.partitionBy("category").orderBy(F.col("count").desc(), "month")).cast("long").alias("rank"),
     )
 
 
 @query(
-    """SELECT query_category, count(*) AS n, count(DISTINCT month) AS n_months, min(tier) AS first_tier, round(avg(length(abstract)), 4) AS mean_len, round(stddev_samp(length(abstract)), 4) AS sd_len, round(stddev_pop(length(abstract)), 4) AS sdp_len,
-CAST(sum(CASE WHEN topic_id = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise, arg_min(month, (-length(abstract), doc_id)) AS longest_month, round(avg(pow(src - 8, 2)), 6) AS mse FROM docs GROUP BY 1""",
+    """SELECT query_category, count(*) AS n, count(DISTINCT month) AS n_months, min(tier) AS first_tier, round_even(avg(length(abstract)), 4) AS mean_len, round_even(stddev_samp(length(abstract)), 4) AS sd_len, round_even(stddev_pop(length(abstract)), 4) AS sdp_len,
+CAST(sum(CASE WHEN topic_id = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise, arg_min(month, (-length(abstract), doc_id)) AS longest_month, round_even(avg(pow(src - 8, 2)), 6) AS mse FROM docs GROUP BY 1""",
     V.DOCS,
 )
 def a_aggregates(spark, sf):
     n = F.length("abstract")
     return V.docs(spark, sf).groupBy("query_category").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("month").alias("n_months"), F.min("tier").alias("first_tier"), F.round(F.avg(n), 4).alias("mean_len"), F.round(F.stddev_samp(n), 4).alias("sd_len"), F.round(F.stddev_pop(n), 4).alias("sdp_len"),
-        F.sum((F.col("topic_id") == -1).cast("int")).alias("n_noise"), F.min_by("month", F.struct(-n, "doc_id")).alias("longest_month"), F.round(F.avg(F.pow(F.col("src") - 8, F.lit(2))), 6).alias("mse"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("month").alias("n_months"), F.min("tier").alias("first_tier"), F.bround(F.avg(n), 4).alias("mean_len"), F.bround(F.stddev_samp(n), 4).alias("sd_len"), F.bround(F.stddev_pop(n), 4).alias("sdp_len"),
+        F.sum((F.col("topic_id") == -1).cast("int")).alias("n_noise"), F.min_by("month", F.struct(-n, "doc_id")).alias("longest_month"), F.bround(F.avg(F.pow(F.col("src") - 8, F.lit(2))), 6).alias("mse"),
     )
 
 

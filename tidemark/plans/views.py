@@ -84,7 +84,7 @@ fr AS (SELECT tier, keyword, sum(tf) AS f FROM tf GROUP BY ALL HAVING sum(df) >=
 tk AS (SELECT tf.*, f FROM tf JOIN fr USING (tier, keyword)),
 ln AS (SELECT tier, topic_id, sum(tf) AS len FROM tk GROUP BY ALL),
 av AS (SELECT tier, avg(len) AS a FROM ln GROUP BY ALL),
-wt AS (SELECT tier, topic_id, keyword, round(tf / len * ln(1 + a / f), 6) AS weight FROM tk JOIN ln USING (tier, topic_id) JOIN av USING (tier)),
+wt AS (SELECT tier, topic_id, keyword, round_even(tf / len * ln(1 + a / f), 6) AS weight FROM tk JOIN ln USING (tier, topic_id) JOIN av USING (tier)),
 kw AS (SELECT tier, topic_id, CAST(rank AS INTEGER) AS rank, keyword, weight FROM (SELECT *, row_number() OVER (PARTITION BY tier, topic_id ORDER BY weight DESC, keyword) AS rank FROM wt) WHERE rank <= 10)"""
 SIGNATURES = """
 signed AS (SELECT kw.tier, kw.topic_id, any_value(paper_count) AS paper_count, string_agg(keyword, ' ' ORDER BY rank) AS keywords_str, string_agg(keyword, ', ' ORDER BY rank) FILTER (WHERE rank <= 5) AS top5_kw
