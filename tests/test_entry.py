@@ -9,7 +9,6 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SLOW = {"t15_grid", "t3_semantic_sample"}
 
 
 def plain(x):
@@ -26,7 +25,7 @@ def second():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline" and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"))
 def test_query(spark, second, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)

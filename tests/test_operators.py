@@ -297,3 +297,25 @@ def test_settings_from_yaml(tmp_path):
     s = config.load(str(tmp_path / "c.yaml"))
     assert s.categories == ("x", "y") and s.burst_sigma == 1.5 and s.burst_terms == ("a",) and s.tiers == (Tier("T", "l", "2020-06", "2021-05", "year", 7),)
     assert s.paradigms == {"P": ("q",)} and s.control_pre == ("2020-06", "2022-10") and config.load().granger_lags == 4
+
+
+def test_paths_and_stamps():
+    from datetime import datetime
+
+    assert sinks.under("/a/", "b/c") == "/a/b/c" and sinks.under("/a", "/b") == "/b" and sinks.under("/a", "s3://x/y") == "s3://x/y"
+    assert sinks.stamp(datetime(2024, 1, 2, 3, 4, 5)) == "2024-01-02 03:04:05"
+
+
+def test_study_follows_the_settings(spark):
+    from tidemark.plans import study
+
+    rows = [(i, f"title {i % 7} alpha", f"beta gamma {'delta' if i % 4 else 'omega'} word{i % 11}", f"20{18 + i % 4}-{1 + i % 12:02d}-11T00:00:00Z", "xy"[i // 5 % 2], "xy"[i // 5 % 2], "x|y" if i % 3 else "x") for i in range(480)]
+    papers = spark.createDataFrame(rows, "doc_id long, title string, abstract string, published string, primary_category string, query_category string, categories string")
+    s = config.from_tree({"categories": ["x", "y"], "start_date": "2018-01-01", "end_date": "2021-12-31", "jaccard": {"k_values": [2, 4], "top_n_keywords": 3, "umbrella_terms": ["gamma"]}, "paradigms": {"P": {"terms": ["omega"]}}, "burst": {"target_terms": ["omega"], "sigma_threshold": 0.5, "min_duration_months": 2}, "pelt": {"sensitivity_penalties": [0.01, 50.0]}, "synthetic_control": {"pre_period": ["2018-01", "2019-12"], "post_period": ["2020-01", "2021-12"]}, "cvpr": {"treatment_category": "x", "years": [2018, 2019]}, "eras": {"cv_eras": [["all", "2018-01-01", "2021-12-31"]]}, "sample_per_group": 3})
+    jobs = study.analyses(papers, s, ["the"], min_year=10, min_category=5)
+    results = {}
+    status = final.run_all(jobs, lambda name, df: results.__setitem__(name, df.collect()))
+    assert set(status.values()) == {"ok"}, status
+    assert {r["k"] for r in results["overlap_sensitivity"]} == {2, 4} and {r["era"] for r in results["volatility"]} == {"all"}
+    assert {r["paradigm"] for r in results["paradigm_halflife"]} == {"P"} and {r["year"] for r in results["month_pair"]} <= {2018, 2019}
+    assert len(results["control_summary"]) == 1 and len(results["sample"]) <= 3 * 2 * 48

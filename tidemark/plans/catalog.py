@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -897,5 +896,5 @@ def o3_most_common(spark, sf):
 def s_stream_daily_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = streaming.read_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = streaming.shared_folder(spark)
     return streaming.run_once(streaming.windowed_counts(stream, "ts", "event_type"), root).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from datetime import datetime
 from collections.abc import Sequence
 
 from pyspark.ml.util import MLWritable
@@ -46,3 +47,13 @@ def save_model(model: MLWritable, path: str) -> None:
 def log_summary(name: str, df: DataFrame, rows: int = 20) -> None:
     for r in df.limit(rows).collect():
         LOG.info("%s %s", name, r.asDict())
+
+
+def stamp(now: datetime | None = None) -> str:
+    """The time of a log line, to the second."""
+    return (now or datetime.now()).isoformat(" ", "seconds")
+
+
+def under(root: str, path: str) -> str:
+    """``path`` below ``root`` unless it is absolute or names a file system."""
+    return path if path.startswith("/") or "://" in path else f"{root.rstrip('/')}/{path}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,12 @@ def run_once(result: DataFrame, root: str) -> DataFrame:
     path = f"{root}/stream-{name}"
     latest_table(result, path, f"{root}/stream-{name}-checkpoint").awaitTermination()
     return result.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one on a single machine where it is unset; an error on a cluster."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix="tidemark-stream-")
