@@ -1,7 +1,14 @@
 """From raw documents to token ids: quality rules, line dedup, near-duplicate removal, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``docs``.
+stage's docs. All but the last return the columns of ``docs``. ``run`` deletes what a stage wrote on its way as soon as
+its result is written, and each result once the next one is.
+
+What each stage makes of special rows, beside what its operator's docstring says: null and empty texts end in the first
+stage (fewer than ten words); a text that loses all its lines in the second stays as an empty one, is no near-duplicate
+of any other, and is never taken by the mix; rows that repeat are separate documents until the third stage, which keeps
+one of them; an empty table passes through all stages as one; columns beside those of documents are kept up to the
+fourth stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import forget, materialise, passing, table
 from tidemark.llm.op1_jaccard_join import without_near_duplicates
 from tidemark.llm.op3_quality_rules import good_documents
 from tidemark.llm.op4_sentencepiece import encode_documents
@@ -57,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with passing(spark) as keep:
+            keep.append(f"stage-{name}")
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
