@@ -146,6 +146,63 @@ def test_op1_keeps_one_of_each_class(spark, docs, empty):
     assert op1.classes(empty).count() == 0
 
 
+def test_op1_null_ids_and_repeats(spark):
+    text = " ".join("k%d" % i for i in range(60))
+    rows = [(None, text, "s")] * 40 + [(None, text + " more", "s")] * 3 + [(5, text + " yet more", None)] * 2 + [(None, None, None)] * 4 + [(9, " ".join("q%d" % i for i in range(9000)), "s")]
+    got = op1.classes(make(spark, rows)).collect()
+    assert len(got) == len(rows)
+    near = [r for r in got if r["n_links"]]
+    assert len(near) == 45 and {r["class"] for r in near} == {5} and {r["n_links"] for r in near} == {44}
+    assert op1.without_near_duplicates(make(spark, rows)).count() == 1 + 4 + 1
+
+
+def exact_links(rows):
+    """{id: number of links} by comparing sets that share one of their rarest shingles: two sets at 0.8 must."""
+    groups = {}
+    for i, t in rows:
+        w = words(t)
+        if w:
+            groups.setdefault(frozenset(hash(tuple(w[j : j + 5])) for j in range(max(1, len(w) - 4))), []).append(i)
+    sets = sorted(groups, key=len)
+    often = Counter(x for s in sets for x in s)
+    index, links = {}, {k: len(groups[s]) - 1 for k, s in enumerate(sets)}
+    for k, s in enumerate(sets):
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-8 * len(s) // 10) + 1]
+        for j in {j for x in rare for j in index.get(x, ())}:
+            both = len(s & sets[j])
+            if 10 * both >= 8 * (len(s) + len(sets[j]) - both):
+                links[k] += len(groups[sets[j]])
+                links[j] += len(groups[s])
+        for x in rare:
+            index.setdefault(x, []).append(k)
+    return {i: links[k] for k, s in enumerate(sets) for i in groups[s]}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_op1_recall_of_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = exact_links([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = {r["doc"]: r["n_links"] for r in op1.classes(docs).collect()}
+    assert sum(want.values()) > 1000 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
+def test_op1_shedding_keeps_links(spark):
+    """Groups of several hundred near-copies go through pivots; every link between different texts stays."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}t{i}" for i in range(100)]
+        for i in range(420):
+            near = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                near[rng.randrange(100)] = "z%d" % rng.randrange(10**6)
+            rows.append((g * 1000 + i, " ".join(near)))
+    want = exact_links(rows)
+    got = {r["doc"]: r["n_links"] for r in op1.classes(make(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values()) and all(got[i] <= n for i, n in want.items())
+
+
 def brute_substrings(rows, k=50):
     first = {}
     for i, t, _ in rows:
@@ -408,6 +465,75 @@ def test_op5_learns_and_holds_out(spark, empty):
     assert {r["score"] for r in none} == {0.5}
 
 
+def plain_tokens(text):
+    """Tokens by a pattern: (kind, word) for words, then their shape; digits; other bytes."""
+    out, before = [], None
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x20\x09-\x0D]", text.encode()):
+        w = m.group()
+        if re.match(rb"[0-9]", w):
+            out.append(1)
+        elif re.match(rb"[A-Za-z\x80-\xff]", w):
+            capitals = sum(65 <= c <= 90 for c in w)
+            out += [w, 100 + (0 if capitals == 0 else 2 if capitals * 2 > len(w) else 1) + 3 * (w == before)]
+            before = w
+        else:
+            out.append(min(w[0], 96))
+    return out
+
+
+def test_op5_vectors_against_plain_sums(spark):
+    texts = [t or "" for _, t, _ in corpus(seed=5, n=25)] + ["Abc ABC abc abc 12 3a, x!", "é日 É-é"]
+    texts = [t[:900] for t in texts]
+    plain = [plain_tokens(t) for t in texts]
+    stream = lambda t: op5.token_stream(Words(*buffers(pa.array([t]))))[0].tolist()
+    bucket = {w: stream(w.decode())[0] for tokens in plain for w in tokens if isinstance(w, bytes)}
+    assert all(b >= op5.RESERVED for b in bucket.values())
+    numbers = [[bucket.get(w, w) if isinstance(w, bytes) else w for w in tokens] for tokens in plain]
+    assert [stream(t) for t in texts] == numbers
+    index = np.zeros((op5.BUCKETS, op5.DIMS))
+    for b in range(op5.BUCKETS):
+        for s in range(op5.NONZEROS):
+            index[b, op5.PLACE[b, s]] += op5.SIGN[b, s]
+    sums, counts = np.zeros((op5.BUCKETS, op5.DIMS)), Counter(x for tokens in numbers for x in tokens)
+    for tokens in numbers:
+        for i, x in enumerate(tokens):
+            for j in range(max(0, i - op5.REACH), min(len(tokens), i + op5.REACH + 1)):
+                if j != i:
+                    sums[x] += index[tokens[j]]
+    n_words = sum(n for x, n in counts.items() if x >= op5.RESERVED)
+    want = np.zeros_like(sums)
+    for x, n in counts.items():
+        v = sums[x] / max(1e-9, np.linalg.norm(sums[x]))
+        want[x] = v * (op5.DAMPING / (op5.DAMPING + n / n_words) if x >= op5.RESERVED else 1)
+    got = op5.word_vectors(make(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert np.allclose(got, want, atol=1e-5)
+    pooled = op5.pool(Words(*buffers(pa.array(texts))), got)
+    for row, tokens in zip(pooled, numbers):
+        halves = [[got[x] for x in tokens if (x >= op5.RESERVED) == h] for h in (False, True)]
+        assert np.allclose(row, np.concatenate([np.mean(h, axis=0) if h else np.zeros(op5.DIMS) for h in halves]), atol=1e-5)
+
+
+def test_op5_network_and_temperature():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (600, 6))
+    y = (rng.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    model = op5.Network(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    logits = np.array([np.tanh(r @ model.p[0] + model.p[1]) @ model.p[2] + model.p[3][0] for r in z])
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-logits / model.temperature)))
+    held = np.random.Generator(np.random.PCG64(5)).permutation(600)[:120]
+    loss = lambda t: -np.mean(np.log(np.where(y[held] > 0, 1 / (1 + np.exp(-logits[held] / t)), 1 / (1 + np.exp(logits[held] / t)))))
+    assert all(loss(model.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 8, 61))
+    assert abs(model.scores(x).mean() - y.mean()) < 0.1
+
+
+def test_op5_repeated_rows_and_labels(spark):
+    rows = [(i % 9, "stone river walks" if i % 2 else "BAD!! x1", "s") for i in range(40)] + [(None, "stone", None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)] * 2 + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    got = op5.quality_scores(make(spark, rows), labels).collect()
+    assert len(got) == 41 and len({(r["doc_id"], r["score"]) for r in got if r["doc_id"] == 1}) <= 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def brute_top(vectors, k):
     out = {}
     fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]

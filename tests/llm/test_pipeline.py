@@ -48,3 +48,27 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_run_leaves_nothing_but_its_last_input(spark, sf_dir):
+    from tidemark.llm.common import clear_scratch, scratch_root
+
+    clear_scratch(spark)
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    left = os.listdir(f"{scratch_root(spark)}/tidemark".removeprefix("file://"))
+    assert rows > 0 and len(left) == 1 and left[0].startswith("stage-source_mix-")
+    assert spark.read.parquet(f"{sf_dir}/documents.parquet").count() > 0
+
+
+def test_special_tables(spark, sf_dir, tmp_path):
+    """Null columns, repeated rows, clashing names, an empty table: no stage fails, and all columns stay."""
+    long = " ".join(f"w{k}" for k in range(300)) + ".\nAnother line of quite ordinary words, ended well.\n"
+    rows = [(1, long, "a"), (1, long, "a"), (None, long + "x y z.", None), (2, None, "a"), (3, "", None), (4, long * 200, "b")]
+    odd = make(spark, rows).withColumns({c: F.lit("clash") for c in ("rid", "row", "copy", "shard", "words", "kept_text", "quality", "h1", "n")})
+    for k, table in enumerate((odd, odd.limit(0))):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            assert name == "sentencepiece" or docs.columns == odd.columns
+        assert (docs.count() > 0) == (k == 0)

@@ -59,7 +59,9 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None, compa
         _WRITTEN[-1].append(path)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(T.StructType(sorted(df.schema, key=lambda f: f.name == partition_by))).parquet(path)
+    out = spark.read.schema(T.StructType(sorted(df.schema, key=lambda f: f.name == partition_by))).parquet(path)
+    out._tidemark_path = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -68,9 +70,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    for root in {f.split("/tidemark/")[0] + "/tidemark/" + f.split("/tidemark/")[1].split("/")[0] for f in df.inputFiles() if "/tidemark/" in f}:
-        delete(df.sparkSession, root)
+    """Delete the files of a table that ``materialise`` returned and no later plan reads; of any other table, nothing."""
+    if path := getattr(df, "_tidemark_path", None):
+        delete(df.sparkSession, path)
 
 
 @contextlib.contextmanager
