@@ -19,9 +19,6 @@ from tidemark.sources import readers
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Rows in one Arrow batch handed to Python: keeps a batch of very long texts within a worker's memory.
-ARROW_ROWS = 256
-
 #: Keys with more than one in HOT of all rows are joined apart.
 HOT = 1024
 
@@ -120,7 +117,3 @@ def position(*parts: Column | str) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def arrow_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, materialise, table
+from tidemark.llm.common import materialise, table
 from tidemark.llm.graph import components
 from tidemark.llm.wordtable import Words, chunks, mix64
 
@@ -46,6 +46,7 @@ PIVOTS = 12
 LEAVES = 0.7  # estimate at which a set leaves for its pivot
 NOISE, SPREAD_NOISE = 0.22, 0.1  # room for the estimates' errors, largest at one half
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+RUN_ROWS = 256  # rows that a kernel takes up at a time, beside those of the keys they share
 LAST = 2**63 - 1
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -179,9 +180,7 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def runs_of(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """Rows sorted by the key column, in tables that never cut a key."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(lo, RUN_ROWS) for b in batches for lo in range(0, b.num_rows, RUN_ROWS)):
         keys = np.asarray(batch.column(key))
         cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
         if held and (cut or np.asarray(held[-1].column(key))[-1] != keys[0]):
@@ -370,7 +369,6 @@ def in_blocks(rest: DataFrame, small: int, likely: float) -> DataFrame:
 
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc, r1, r2, class, rep, n_links, first (the one document of its class to keep)."""
-    arrow_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("r2"), "text")
     marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets", compact=True)
     full = marks.where("size > 0")

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, join_apart, materialise, table
+from tidemark.llm.common import join_apart, materialise, table
 from tidemark.llm.wordtable import WORD_POWERS_2, Words, chunks, joined, mix64
 
 WINDOW, ANCHOR = 50, 10
-SEGMENT, LOAD = 1 << 20, 16
+SEGMENT, LOAD, PART = 1 << 20, 16, 1 << 22
 LAST = 2**63 - 1
 U = np.uint64
 
@@ -91,18 +91,29 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def packed(found: list[np.ndarray], cells: int, segment: int) -> Iterator[pa.RecordBatch]:
+    """A sketch of some anchors: for each segment its cells, each with whether it was met again."""
+    cell, n = np.unique(cells_of(np.concatenate(found), cells), return_counts=True)
+    part = (cell // U(segment)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], len(cell)]):
+        inside = (cell[lo:hi] % U(segment)).astype(np.uint32) * np.uint32(2) + (n[lo:hi] > 1).astype(np.uint32)
+        blob = zlib.compress(np.diff(inside, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+        yield pa.record_batch([pa.array([int(part[lo])], pa.int64()), pa.array([blob], pa.binary())], ["segment", "cells"])
+
+
 def sketch_partition(cells: int, segment: int) -> Callable:
+    """The sketch of a partition, in parts of about ``PART`` anchors each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [flat(batch.column(0))[0].view(U) for batch in batches]
-        if not found:
-            return
-        cell, n = np.unique(cells_of(np.concatenate(found), cells), return_counts=True)
-        part = (cell // U(segment)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(part, prepend=-1))
-        for lo, hi in zip(edges, [*edges[1:], len(cell)]):
-            inside = (cell[lo:hi] % U(segment)).astype(np.uint32) * np.uint32(2) + (n[lo:hi] > 1).astype(np.uint32)
-            blob = zlib.compress(np.diff(inside, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
-            yield pa.record_batch([pa.array([int(part[lo])], pa.int64()), pa.array([blob], pa.binary())], ["segment", "cells"])
+        found: list[np.ndarray] = []
+        for batch in batches:
+            found.append(flat(batch.column(0))[0].view(U))
+            if sum(map(len, found)) > PART:
+                yield from packed(found, cells, segment)
+                found = []
+        if sum(map(len, found)):
+            yield from packed(found, cells, segment)
 
     return run
 
@@ -203,7 +214,6 @@ def remove(window: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
-    arrow_batches(docs.sparkSession)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", "text")
     marks = materialise(docs.select("row", "doc", "text").mapInArrow(describe(window, anchor), "row long, doc long, f1 binary, f2 binary, anchors array<long>"), "marks")
     firsts = materialise(marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "firsts", compact=True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, table
+from tidemark.llm.common import table
 from tidemark.llm.wordtable import BYTE_POWERS, BYTE_VALUE, U, Words, buffers, chunks, mix64, prefix
 
 MIN_CONTENT = 0.5
@@ -244,7 +244,6 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    arrow_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     # One text for each chosen doc_id and label, the first in hash order of those that repeat: never more rows than were chosen.

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sentencepiece_model as spm
-from tidemark.llm.common import arrow_batches, table
+from tidemark.llm.common import table
+from tidemark.llm.wordtable import buffers, slices
 
 MODEL_PATH = os.environ.get("TIDEMARK_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 THREADS = 2
@@ -83,7 +84,7 @@ def encoded(data, threads: int, outputs: list[str]) -> Callable:
 
         codec = Codec(data.value, threads)
         judge = sentencepiece.SentencePieceProcessor(model_proto=data.value)
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(buffers(b.column(b.schema.get_field_index("text")))[1])):
             at = batch.schema.get_field_index("text")
             texts = [t or "" for t in batch.column(at).to_pylist()]
             lists = codec.encode(texts)
@@ -104,7 +105,6 @@ def encoded(data, threads: int, outputs: list[str]) -> Callable:
 def encode_documents(docs: DataFrame, outputs: list[str] | None = None, model_path: str = MODEL_PATH, threads: int = THREADS) -> DataFrame:
     """doc_id and the asked outputs (all, if none are named). ids_sha256 is of the ids as little-endian 32-bit integers."""
     outputs = list(OUTPUTS) if outputs is None else outputs
-    arrow_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     shape = ", ".join(["doc_id long", *[f"{o} {OUTPUTS[o]}" for o in outputs]])

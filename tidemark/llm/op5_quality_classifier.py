@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, table
+from tidemark.llm.common import table
 from tidemark.llm.wordtable import BYTE_POWERS, BYTE_VALUE, U, Words, chunks, mix64, prefix
 
 BUCKETS, RESERVED, DIMS, NONZEROS, REACH = 16384, 128, 64, 4, 2
@@ -214,7 +214,6 @@ def scored(vectors, model, cut: float) -> Callable:
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     model = fit(docs, labels, vectors)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(scored(vectors, model, cut), "doc_id long, held_out boolean, score double, predicted int")

@@ -113,16 +113,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of whole rows of about ``limit`` bytes of text, each with its words."""
-    at = batch.schema.get_field_index(column)
-    data, bounds = buffers(batch.column(at))
+def slices(bounds: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about ``limit`` bytes of text: what a kernel holds at a time, whatever Spark's batches are (64 MB by default)."""
     lo = 0
-    while lo < batch.num_rows:
+    while lo < len(bounds) - 1:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of a batch, each with its words."""
+    data, bounds = buffers(batch.column(batch.schema.get_field_index(column)))
+    for lo, hi in slices(bounds):
         part = bounds[lo : hi + 1]
         yield batch.slice(lo, hi - lo), Words(data[part[0] : part[-1]], part - part[0])
-        lo = hi
 
 
 def joined(words: Words, keep: np.ndarray) -> list[bytes]:
