@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import graph
 from tidemark.llm import op1_jaccard_join as op1
 from tidemark.llm import op2_substring_dedup as op2
 from tidemark.llm import op3_quality_rules as op3
@@ -146,6 +147,23 @@ def test_op1_keeps_one_of_each_class(spark, docs, empty):
     assert op1.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, rng.randrange(101, 400)) for _ in range(200)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(60)] + [(7, 7)]
+    rng.shuffle(edges)
+    root = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    got = {r["a"]: r["b"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: r for v, r in root.items() if v != r}
+
+
 def test_op1_null_ids_and_repeats(spark):
     text = " ".join("k%d" % i for i in range(60))
     rows = [(None, text, "s")] * 40 + [(None, text + " more", "s")] * 3 + [(5, text + " yet more", None)] * 2 + [(None, None, None)] * 4 + [(9, " ".join("q%d" % i for i in range(9000)), "s")]
@@ -580,6 +598,17 @@ def test_op6_large_components(spark, large):
     assert got == brute_top(vectors, 5)
 
 
+def test_op6_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i % 70, [float(np.float32(x)) for x in rng.normal(0, 0.5, 4 if i % 3 else 6)]) for i in range(1, 150) if i % 70 not in (0, 50)]
+    vectors += [(0, [0.5, -0.0, 1.0, 0.25]), (50, [1.0, 0.0, 0.0, -1.0, 0.5, 0.125]), (3, [1e3, 0.0, 0.0, 0.0]), (4, [3e6, 1.0, 0.0, 0.0]), (6, [0.0, 0.0, 1e12, 0.0]), (None, [1.0] * 4), (7, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {}
+    for r in op6.top_k(df, lambda i: i % 50 == 0, block_rows=30, query_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top(vectors, 5)
+
+
 def test_op6_scores_beyond_64_bits(spark):
     shape = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], shape)

@@ -11,7 +11,8 @@ true score by a known most; rows within that of the boundary are resolved with t
 Every query meets every block (a stated query set against all rows, in blocks); each pair of blocks returns k rows a
 query, and the best k of those remain. Rows whose vector is null, or holds a null or a component that is not finite,
 take no part; a vector of another length than the query's shares only its own length's blocks; a query's own row (same
-id) is no candidate; repeated rows count as often as they occur; empty vectors take no part. An empty table gives an
+id) is no candidate; repeated rows count as often as they occur as candidates, and of rows that share a query's id the
+least vector of each length asks; empty vectors take no part. An empty table gives an
 empty result. Jobs run while the result is being built (the index is written first). Integers have 64 bits; a scaled component beyond them, or a score beyond them among the k best of a block, is an error, never a wrong row.
 """
 
