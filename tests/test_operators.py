@@ -261,13 +261,13 @@ def test_models(spark, tmp_path):
     df = spark.createDataFrame(data, "doc_id long, embedding array<float>")
     model = models.fit_topics(df, 3, 3)
     sinks.save_model(model, str(tmp_path / "m"))
-    got = models.assign_topics(models.load_topics(str(tmp_path / "m")), df, 0.1)
+    got = models.assign_topics(models.load_topics(str(tmp_path / "m")), df, 1.5)
     assert got.groupBy((F.col("doc_id") % 3).alias("g")).agg(F.countDistinct(F.when(F.col("topic_id") != -1, F.col("topic_id"))).alias("k")).where("k <> 1").count() == 0
     assert 0 < got.where("topic_id = -1").count() <= 15
     means = models.mean_vectors(df.withColumn("tier", F.lit("t")).withColumn("topic_id", (F.col("doc_id") % 9).cast("int")), ["tier", "topic_id"])
     macro = models.macro_clusters(means, 3)
     assert macro.groupBy((F.col("topic_id") % 3).alias("g")).agg(F.countDistinct("macro_id").alias("k")).where("k <> 1").count() == 0
-    assert models.macro_clusters(means, 3, exact_up_to=2).count() == 9
+    assert models.macro_clusters(means, 3, "bisecting").count() == 9
     vec = models.encode(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda s: np.array([[len(x), 1.0] for x in s]))
     assert sorted(r["embedding"] for r in vec.collect()) == [[0.0, 1.0], [2.0, 1.0]]
 
