@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, materialise
+from tidemark.llm.common import HOT, forget, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge (a, b) with the smallest vertex known of b in b's place.
+
+    Edges run from the larger vertex to the smaller, so that is b's own least target, or b. Hubs, which more than one in
+    ``HOT`` of all edges end at, are fewer than ``HOT`` and go by broadcast: their edges stay where they are.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    hubs = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total)
+    hubs = hubs.join(low, "b", "left").select("b", F.coalesce("m", "b").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "b", "left")
+    rest = marked.where("hub is null").select("a", "b").join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+    return marked.where("hub is not null").select("a", F.col("hub").alias("b")).unionByName(rest)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         return now
     mark = _mark(now)
     while True:
-        nxt = materialise(_small_star(_large_star(now)), "cc", compact=True)
+        nxt = materialise(_small_star(_large_star(now, mark[0])), "cc", compact=True)
         forget(now)
         now, before, mark = nxt, mark, _mark(nxt)
         if mark == before:
