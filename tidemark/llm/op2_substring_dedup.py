@@ -152,7 +152,7 @@ def estimated_repeated(marks: DataFrame) -> tuple[DataFrame, int]:
     cells = max(SEGMENT, 1 << (LOAD * anchors - 1).bit_length())
     segment = min(SEGMENT << 4, max(SEGMENT, cells >> 12))
     parts = marks.select("anchors").mapInArrow(sketch_partition(cells, segment), "segment long, cells binary")
-    often = materialise(parts.groupBy("segment").applyInPandas(merge_segment(segment), "cell long"), "sketch", compact=True)
+    often = materialise(parts.groupBy("segment").applyInPandas(merge_segment(segment), "cell long"), "sketch")
     asked = marks.select("row", "anchors").mapInArrow(lookups(cells), "row long, c0 long, c1 long")
     hit = asked.join(often.where(F.col("cell") < cells).select(F.col("cell").alias("c0")), "c0", "left_semi")
     hit = hit.join(often.where(F.col("cell") >= cells).select(F.col("cell").alias("c1")), "c1", "left_semi")
@@ -216,15 +216,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", "text")
     marks = materialise(docs.select("row", "doc", "text").mapInArrow(describe(window, anchor), "row long, doc long, f1 binary, f2 binary, anchors array<long>"), "marks")
-    firsts = materialise(marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "firsts", compact=True)
+    firsts = materialise(marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "firsts")
     copies = join_apart(marks.select("row", "doc", "f1", "f2"), firsts, ["f1", "f2"], "n").where(F.col("doc") > F.col("rep")).select("row").distinct()
-    copies = materialise(copies.withColumn("_copy", F.lit(True)), "copies", compact=True)
+    copies = materialise(copies.withColumn("_copy", F.lit(True)), "copies")
     passing, cells = estimated_repeated(marks)  # copies count too: that overestimates, and spares a join before it
-    passing = materialise(passing.join(copies, "row", "left_anti"), "passing", compact=True)
+    passing = materialise(passing.join(copies, "row", "left_anti"), "passing")
     texts = docs.join(passing, "row").select("row", "doc", "cells", "text")
     found = materialise(texts.mapInArrow(candidates(cells, window, anchor), "row long, doc long, h1 long, h2 int"), "windows")
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h1", "h2", "least", "n")
-    repeated = materialise(repeated, "repeated", compact=True)
+    repeated = materialise(repeated, "repeated")
     gone = join_apart(found, repeated, ["h1", "h2"], "n").where(F.col("doc") > F.col("least")).groupBy("row").agg(F.collect_set("h1").alias("_gone"))
     verdict = gone.join(copies, "row", "full_outer")
     ready = docs.join(verdict, "row", "left").select("doc_id", "text", "_gone", "_copy")
