@@ -370,7 +370,7 @@ def in_blocks(rest: DataFrame, small: int, likely: float) -> DataFrame:
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc, r1, r2, class, rep, n_links, first (the one document of its class to keep)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("r2"), "text")
-    marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets", compact=True)
+    marks = materialise(docs.mapInArrow(describe(k, runs_for(recall, threshold), BRANCHES), "doc long, r1 long, r2 long, f1 long, f2 long, size long, paths array<long>, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
     full = marks.where("size > 0")
     groups = full.groupBy("f1", "f2").agg(F.min(F.struct("doc", "rid")).alias("least"), F.count(F.lit(1)).alias("weight"))
     groups = materialise(groups.select("f1", "f2", F.col("least.doc").alias("rep"), F.col("least.rid").alias("rid"), "weight"), "groups", compact=True)
@@ -384,7 +384,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, rec
     placed = materialise(block_pairs(members.join(sizes, "part"), "part", "blocks").select("group", "side", "rid", "f1", "weight", "r1", "r2", (F.col("blocks") > 1).alias("cut")), "placed", compact=True)
     # Of rows equal in id and text (null ids are one id), one text goes on, however many there are.
     met = docs.join(members.select("r1", "r2").hint("merge"), ["r1", "r2"], "left_semi").select("r1", "r2", "text")
-    texts = materialise(met, "met", compact=True).groupBy("r1", "r2").agg(F.first("text").alias("text"))
+    texts = materialise(met, "met").groupBy("r1", "r2").agg(F.first("text").alias("text"))
     checked = placed.hint("merge").join(texts, ["r1", "r2"]).select("group", "side", "rid", "f1", "weight", "text", "cut")
     links = materialise(checked.repartition("group").sortWithinPartitions("group").mapInArrow(verify(k, threshold), "rid long, links long, root long, cut boolean"), "links", compact=True)
     whole = links.where("not cut").select("rid", "links", "root")  # compared in one block: the block's stars are final
