@@ -19,6 +19,9 @@ from tidemark.sources import readers
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows in one Arrow batch, where the session leaves Spark's default of 10,000.
+ARROW_ROWS = 256
+
 #: Keys with more than one in HOT of all rows are joined apart.
 HOT = 1024
 
@@ -117,3 +120,14 @@ def position(*parts: Column | str) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Rows in an Arrow batch handed to Python, unless the session has set its own number.
+
+    The kernels hold texts by bytes, but Spark's own buffers, two for each running task, are as large as a batch; the
+    number can only be set for the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
