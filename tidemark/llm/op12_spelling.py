@@ -3,12 +3,13 @@
 Runs of letters are counted over all texts. Bigrams of the counted words are ordered by frequency, rarest first, ties by
 code points; there are at most (26 + 64)^2 = 8,100 of them, as words have no other letters, so the order goes to the tasks
 as a whole. One edit destroys at most two of a word's bigrams, so of two words one edit apart one has, among the three
-rarest of its own, a bigram that the other has too, untouched, among its three rarest (repeats of the third one included).
-An untouched bigram lies wholly before or wholly behind the edit: its position from the start, or the one from the end,
-is the same in both words, and so is all that lies on its unedited side. The join keys of a word are therefore, for each of
-its rarest bigrams and both sides, the bigram, its position from that side, and the letters from that side up to it; the
-other side is halved, as the edit leaves one half alone, and this half joins the key, for either length that the shorter of the two
-words can have. Words that share a key are verified by edit distance inside the join, so only true links leave it.
+rarest of its own, a bigram that the other has too, untouched, among its three rarest. An untouched bigram lies wholly
+before or wholly behind the edit: its position from the start, or the one from the end, is the same in both words, and so
+is all that lies on its unedited side. Of a bigram's repeats the first one lies before the edit if any does, the last one
+behind it if any does: these two stand for all. The join keys of a word are therefore, for each of its rarest bigrams and
+both sides, the bigram, its position from that side, and the letters from that side up to it; the other side is halved, as
+the edit leaves one half alone, and this half joins the key, for either length that the shorter of the two words can have.
+Words that share a key are verified by edit distance inside the join, so only true links leave it.
 
 A word's form is its near word of largest count, ties to the smallest in code points, if its count is at least ``DOMINANCE``
 times the word's; the root follows forms to the last one. Counts grow tenfold at each step, so there are at most 19 steps,
@@ -21,6 +22,7 @@ table, or one without repeated words, gives an empty result. Only doc_id and tex
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -61,17 +63,20 @@ def bigram_order(words: DataFrame) -> dict[str, int]:
 def join_keys(word: str, order: dict[str, int]) -> set[tuple[int, int]]:
     """(length of the shorter word, key) of a word."""
     n = len(word)
-    places = [order[word[i : i + 2]] for i in range(n - 1)]
-    third = sorted(places)[RAREST - 1]
+    first, last = {}, {}
+    for i in range(n - 1):
+        place = order[word[i : i + 2]]
+        first.setdefault(place, i)
+        last[place] = i
+    rare = set(heapq.nsmallest(RAREST, (order[word[i : i + 2]] for i in range(n - 1))))
     out = set()
-    for i, place in enumerate(places):
-        if place <= third:
-            for side, letters, at in (("<", word, i), (">", word[::-1], n - 2 - i)):
-                for short in (n, n - 1):
-                    if at + 2 <= short:
-                        half = (short + at + 2) // 2
-                        out.add((short, f"{short}{side}{at}:{letters[:half]}"))
-                        out.add((short, f"{short}{side}{at}|{letters[: at + 2]} {letters[n - short + half :]}"))
+    for place in rare:
+        for side, letters, at in (("<", word, first[place]), (">", word[::-1], n - 2 - last[place])):
+            for short in (n, n - 1):
+                if at + 2 <= short:
+                    half = (short + at + 2) // 2
+                    out.add((short, f"{short}{side}{at}:{letters[:half]}"))
+                    out.add((short, f"{short}{side}{at}|{letters[: at + 2]} {letters[n - short + half :]}"))
     return {(short, xxhash.xxh3_64_intdigest(key) - (1 << 63)) for short, key in out}
 
 

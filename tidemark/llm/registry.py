@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_jaccard_join, op10_pii, op12_spelling, op13_language_id, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_quality_classifier, op6_topk, op7_mixing, op8_line_dedup, op9_sharding
+from tidemark.llm import op1_jaccard_join, op10_pii, op11_hard_negatives, op12_spelling, op13_language_id, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_quality_classifier, op6_topk, op7_mixing, op8_line_dedup, op9_sharding
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_sharding": op9_sharding.op9_sharding,
     "op10_pii": op10_pii.op10_pii,
+    "op11_hard_negatives": op11_hard_negatives.op11_hard_negatives,
     "op12_spelling": op12_spelling.op12_spelling,
     "op13_language_id": op13_language_id.op13_language_id,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_jaccard_join": op1_jaccard_join.SQL,
     "op2_substring_dedup": op2_substring_dedup.SQL,
     "op6_topk": op6_topk.SQL,
+    "op11_hard_negatives": op11_hard_negatives.SQL,
     "op8_line_dedup": op8_line_dedup.SQL,
 }
