@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Tier
 from tidemark.functions import scalars as S
-from tidemark.operators import advanced, experiments, final, growth, models, prep, topics, trends
+from tidemark.operators import advanced, density, experiments, final, growth, models, neighbours, prep, topics, trends
 from tidemark.plans import views as V
 from tidemark.sources.readers import table
 from tidemark.streaming import counts as streaming
+from tidemark.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -804,6 +805,55 @@ def t15_grid(spark, sf):
     return models.grid(e, lambda a: topics.coherence(a, F.col("abstract")), (("k5", 5, 5), ("k8", 8, 5), ("k8d8", 8, 8), ("k15", 15, 5)))
 
 
+_SPACE = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+gap AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id),
+core AS (SELECT a AS id, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM gap) WHERE n <= 10 GROUP BY 1)"""
+
+
+def _space(spark, sf):
+    return neighbours.vectors_of(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query("SELECT id, round_even(core, 6) AS core FROM core", _SPACE)
+def t9_core_distances(spark, sf):
+    near = neighbours.nearest(neighbours.blocks_of(_space(spark, sf)), 10)
+    return density.core_distances(near, 10).withColumn("core", F.bround("core", 6))
+
+
+@query(
+    """WITH reach AS (SELECT a, b, greatest(d, p.core, q.core) AS w FROM gap JOIN core p ON p.id = a JOIN core q ON q.id = b),
+grown AS (SELECT b AS id, w, a AS other, 1 AS step, first_value(b) OVER o AS next, first_value(w) OVER o AS least FROM reach WHERE a = (SELECT min(id) FROM v) WINDOW o AS (ORDER BY w, b)
+  UNION ALL SELECT id, w, other, step, first_value(id) OVER o, first_value(w) OVER o FROM (SELECT g.id, least(g.w, r.w) AS w, CASE WHEN r.w < g.w THEN r.a ELSE g.other END AS other, step + 1 AS step FROM grown g JOIN reach r ON r.a = g.next AND r.b = g.id WHERE g.id <> g.next) WINDOW o AS (ORDER BY w, id))
+SELECT round_even(w, 4) AS weight, count(*) AS n FROM (SELECT DISTINCT step, least AS w FROM grown) GROUP BY 1""",
+    _SPACE,
+)
+def t9_spanning_tree(spark, sf):
+    """The weights of the spanning tree of mutual reachability: those of any least tree."""
+    blocks = neighbours.blocks_of(_space(spark, sf))
+    near = written(neighbours.nearest(blocks, 20), "near")
+    rounds = density.spanning_tree(blocks, near, written(density.core_distances(near, 10), "core"))
+    return density.tree_edges(rounds).groupBy(F.bround("w", 4).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def t9_density_clusters(spark, sf):
+    """Each vector's cluster and strength: clusters of ten or more."""
+    return density.fit(_space(spark, sf), 10, 3).points.select("id", "label", F.bround("strength", 6).alias("strength"))
+
+
+@query(
+    """WITH f AS (SELECT * FROM gap WHERE b % 5 <> 0), k AS (SELECT a AS id, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM f) WHERE n <= 10 GROUP BY 1),
+r AS (SELECT f.a AS id, f.b AS neighbour, greatest(f.d, p.core, q.core) AS reach, row_number() OVER (PARTITION BY f.a ORDER BY greatest(f.d, p.core, q.core), f.b) AS n FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS m FROM f WHERE a % 5 = 0) f JOIN k p ON p.id = f.a JOIN k q ON q.id = f.b WHERE m <= 20)
+SELECT id, neighbour, round_even(reach, 6) AS reach FROM r WHERE n = 1""",
+    _SPACE,
+)
+def t12_predict_neighbours(spark, sf):
+    """Unseen vectors against a model of the others: where each would join the tree."""
+    points = _space(spark, sf)
+    model = density.fit(points.where("id % 5 <> 0"), 10, 10)
+    return density.predict(model, points.where("id % 5 = 0")).select("id", "neighbour", F.bround("reach", 6).alias("reach"))
+
+
 # --- primitives ---------------------------------------------------------------------------------------------------
 
 

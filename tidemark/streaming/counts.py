@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidemark.tables import shared_root
+
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
     """(category, start, count) of tumbling, or sliding, windows; rows later than the watermark are left out."""
@@ -49,8 +50,4 @@ def run_once(result: DataFrame, root: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one on a single machine where it is unset; an error on a cluster."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return root or tempfile.mkdtemp(prefix="tidemark-stream-")
+    return shared_root(spark)
