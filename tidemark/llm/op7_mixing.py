@@ -1,21 +1,26 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
 Targets: each source's share of the mix follows its weight, capped at ``max_repeats`` times the source's size with the
-excess reshared. ``whole = floor(target / size)`` copies of every document of a source are taken, and one more copy of
-some. A block is one copy of a document with words; a source's quota are the blocks it has on offer, ``whole + 1``
-(``whole`` if nothing is left) for each document. The tree halves the output shards again and again: at each node every
+excess reshared. A block is one copy of a whole document with words. ``floor(target / size)`` copies of every document of a
+source are taken, and one more of some: the first ones of a permutation that fit into what is left of the target, then, of
+those still fitting, the largest (by powers of two) first, until none fits; one more is taken where that comes nearer. So a
+source's words differ from its target by at most half of the least document that is left.
+
+The blocks that a source gives are its quota. The tree halves the output shards again and again: at each node every
 source's quota is split between the two halves by a multivariate-hypergeometric draw, so quotas stay exact and every half
-gets its share of blocks. A leaf (shard) then owns a range of each source's permuted blocks, disjoint from all others, and
-shuffles them by a seed of its own. The mix reads all shards in step, each in its shuffled order, and takes of a source's
-last copies the first ones read until its target is reached (the last of them is cut to the word); the others are left.
+gets its share of blocks. A leaf (shard) owns a range of each source's permuted blocks, disjoint from all others, and
+shuffles them by a seed of its own: the mix holds of each source in each shard exactly the tree's quota. The documents of
+the mix are dealt and sorted by shard and place.
 
 Draws are by rejection under the log-concave bound of the probabilities, in a few steps at every size. The driver sees
-one row per source (size, documents) and nothing else. Places in an order come from sums over ``CELLS`` equal slices of
-the hash space, so a source, or a shard, that holds most rows is spread over as many tasks. Jobs run while the result is
-being built: the rows are counted and written first.
+one row per source (size, documents, what is left) and nothing else. Places in an order come from sums over equal slices of
+the hash space, about one for every ``SLICE`` rows, so a source, or a shard, that holds most rows is spread over as many
+tasks. Jobs run while the result is being built: the rows are counted and written first.
 
 Null or empty text has size 0 and is never taken; null sources form one source, last in order; rows that are equal in
-every respect are told apart by a running number; an empty table gives an empty result. Very long texts are counted whole.
+every respect are told apart by a running number (they share a task, as no hash can part them); an empty table gives an
+empty result. Very long texts are counted whole. Columns beside doc_id, text, source and n_chars pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, materialise, n_words, position, small_table, table
+from tidemark.llm.common import materialise, n_words, position, small_table, table
 
 WEIGHTS = (5, 2, 1)
-BITS, CELLS = 60, 4096
+BITS, SLICE = 60, 4096
 
 
 def water_fill(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0) -> list[float]:
@@ -107,17 +112,64 @@ def split_tree(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
     return split_tree(left, halves, seed * 2 + 1) + split_tree(right, n_shards - halves, seed * 2 + 2)
 
 
-def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, ties: list[str]) -> DataFrame:
+def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, ties: list[str], n_rows: int) -> DataFrame:
     """Sum of ``amount`` over the rows of the group before this one in the order of ``at``: slice sums first, then within a slice."""
-    df = df.withColumn("_slice", F.shiftright(F.col(at), BITS - CELLS.bit_length() + 1))
+    digits = max(0, -(-n_rows // SLICE) - 1).bit_length()
+    df = df.withColumn("_slice", F.shiftright(F.col(at), BITS - digits))
     sums = df.groupBy(*group, "_slice").agg(F.sum(amount).alias("_sum"))
     before = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*group, "_slice").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(before, [*group, "_slice"]).withColumn(out, F.col(out) + F.col("_base")).drop("_slice", "_base")
 
 
+ROW = ["row_id", "doc_id", "r1", "r2", "dup", "sid", "size"]
+TIES = ["doc_id", "r1", "r2", "dup"]
+
+
+def by_source(spark: SparkSession, values: dict[int, int], name: str) -> DataFrame:
+    """A number for each source, as a small table."""
+    schema = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField(name, T.LongType())])
+    return F.broadcast(small_table(spark, sorted(values.items()), schema))
+
+
+def last_copies(rows: DataFrame, left: dict[int, int], n_rows: int, seed: int) -> tuple[list[DataFrame], dict[int, int]]:
+    """(tables of the rows that are taken once more, how many of each source), by passes over what still fits. ``left``: words for each source."""
+    spark = rows.sparkSession
+    taken: list[DataFrame] = []
+    n_taken: dict[int, int] = {}
+    pool = materialise(rows.where("size > 0").join(by_source(spark, {s: x for s, x in left.items() if x > 0}, "left"), "sid").withColumn("hash", position(f"last{seed}", F.col("doc_id"), F.col("dup"))).drop("left"), "mix-pool")
+    size_class, first = F.lit(63) - F.floor(F.log2(F.col("size").cast("double"))).cast("long"), True
+
+    def take(found: DataFrame) -> None:
+        taken.append(found.select(*ROW))
+        for r in found.groupBy("sid").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect():  # a row for each source
+            left[r["sid"]] -= r["words"]
+            n_taken[r["sid"]] = n_taken.get(r["sid"], 0) + r["n"]
+
+    fitting = pool
+    while True:
+        room = by_source(spark, {s: x for s, x in left.items() if x > 0}, "left")
+        fitting = fitting.join(room, "sid").where(F.col("size") <= F.col("left"))
+        order = F.col("hash") if first else F.shiftleft(size_class, BITS - 6) + F.shiftright("hash", 6)
+        tried = materialise(running(fitting.withColumn("at", order), ["sid"], "at", "size", "before", TIES, n_rows).select(*ROW, "hash", (F.col("before") + F.col("size") <= F.col("left")).alias("fits")), "mix-tried")
+        found, first = tried.where("fits"), False
+        fitting = tried.where("not fits").drop("fits")
+        if not found.limit(1).count():
+            break
+        take(found)
+    nearer = pool.join(by_source(spark, {s: x for s, x in left.items() if x > 0}, "left"), "sid").where((F.col("size") > F.col("left")) & (F.col("size") < 2 * F.col("left")))
+    if taken:
+        used = taken[0].select("row_id")
+        for t in taken[1:]:
+            used = used.unionByName(t.select("row_id"))
+        nearer = nearer.join(used, "row_id", "left_anti")
+    least = nearer.groupBy("sid").agg(F.min(F.struct("size", "hash", *[c for c in ROW if c not in ("sid", "size")])).alias("e"))
+    take(materialise(least.select("sid", "e.*").select(*ROW), "mix-nearer"))
+    return taken, n_taken
+
+
 def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks). rows: row_id, doc_id, r1, r2, dup, size, source_size, target. blocks: row_id, r1, r2, dup, copy, words, shard, place."""
+    """(rows, blocks). rows: row_id, doc_id, r1, r2, dup, size, source_size, target. blocks: row_id, r1, r2, dup, sid, copy, words, shard, place."""
     spark = docs.sparkSession
     source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     rows = docs.select("doc_id", source.alias("src"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("r1"), F.xxhash64(F.lit(3), "doc_id", "source", "text").alias("r2"))
@@ -125,52 +177,46 @@ def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame,
     rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
     per = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("docs")).orderBy("src.none", "src.name").collect()
     targets = water_fill([r["words"] for r in per])
-    plan, quotas = [], []
-    for i, (r, t) in enumerate(zip(per, targets)):
-        goal = int(t + 0.5)
-        whole = goal // r["words"] if r["words"] else 0
-        rest = goal - whole * r["words"]
-        copies = whole + (rest > 0)
-        plan.append((i, r["src"]["none"], r["src"]["name"], r["words"], t, whole, rest, copies))
-        quotas.append(copies * r["docs"])
+    goals = [int(t + 0.5) for t in targets]
+    whole = [g // r["words"] if r["words"] else 0 for g, r in zip(goals, per)]
+    whole_number, text, fraction = T.LongType(), T.StringType(), T.DoubleType()
+    schema = T.StructType([T.StructField(n, k) for n, k in (("sid", T.IntegerType()), ("none", T.BooleanType()), ("name", text), ("source_size", whole_number), ("target", fraction), ("whole", T.IntegerType()))])
+    sources = small_table(spark, [(i, r["src"]["none"], r["src"]["name"], r["words"], t, w) for i, (r, t, w) in enumerate(zip(per, targets, whole))], schema).select("sid", F.struct("none", "name").alias("src"), "source_size", "target", "whole")
+    known = rows.join(sources, "src").drop("src")
+    n_rows = sum(r["docs"] for r in per)
+    more, n_more = last_copies(known.select(*ROW), {i: g - w * r["words"] for i, (g, w, r) in enumerate(zip(goals, whole, per))}, n_rows, seed)
+    quotas = [w * r["docs"] + n_more.get(i, 0) for i, (w, r) in enumerate(zip(whole, per))]
     ends: list[list[int]] = [[] for _ in quotas]
     for shard in split_tree(quotas, n_shards, seed):
         for s, q in enumerate(shard):
             ends[s].append((ends[s][-1] if ends[s] else 0) + q)
-    whole_number, text, fraction = T.LongType(), T.StringType(), T.DoubleType()
-    schema = T.StructType([T.StructField(n, k) for n, k in (("sid", T.IntegerType()), ("none", T.BooleanType()), ("name", text), ("source_size", whole_number), ("target", fraction), ("whole", whole_number), ("rest", whole_number), ("copies", T.IntegerType()), ("ends", T.ArrayType(whole_number)))])
-    sources = small_table(spark, [(*p, e) for p, e in zip(plan, ends)], schema).select("sid", F.struct("none", "name").alias("src"), "source_size", "target", "whole", "rest", "copies", "ends")
-    known = rows.join(sources, "src").drop("src")
-    offered = known.where("size > 0 and copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("one", F.lit(1))
-    offered = offered.withColumn("at", position(f"block{seed}", F.col("doc_id"), F.col("dup"), F.col("copy")))
-    ties = ["doc_id", "r1", "r2", "dup", "copy"]
-    dealt = running(offered, ["sid"], "at", "one", "rank", ties)
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
-    dealt = dealt.withColumn("read", position(f"shard{seed}", F.col("shard"), F.col("doc_id"), F.col("dup"), F.col("copy")))
-    dealt = materialise(dealt.select("row_id", *ties, "sid", "size", "whole", "rest", "shard", "read", "one"), "mix-dealt")
-    last = running(dealt.where(F.col("copy") > F.col("whole")), ["sid"], "read", "size", "before", ties)
-    last = last.withColumn("words", F.least("size", F.col("rest") - F.col("before"))).where("words > 0").drop("before")
-    taken = dealt.where(F.col("copy") <= F.col("whole")).withColumn("words", F.col("size")).unionByName(last)
-    blocks = running(taken, ["shard"], "read", "one", "place", ties)
-    return known.select("row_id", "doc_id", "r1", "r2", "dup", "size", "source_size", "target"), blocks.select("row_id", "r1", "r2", "dup", "copy", "words", "shard", "place")
+    bounds = small_table(spark, list(enumerate(ends)), T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("ends", T.ArrayType(whole_number))]))
+    blocks = known.where("size > 0 and whole > 0").select(*ROW, F.explode(F.sequence(F.lit(1), "whole")).alias("copy"))
+    for found in more:
+        blocks = blocks.unionByName(found.select(*ROW, F.lit(0).alias("copy")))
+    n_blocks, ties = sum(quotas), [*TIES, "copy"]
+    blocks = blocks.withColumn("at", position(f"block{seed}", F.col("doc_id"), F.col("dup"), F.col("copy"))).withColumn("one", F.lit(1))
+    drawn = running(blocks, ["sid"], "at", "one", "rank", ties, n_blocks).join(F.broadcast(bounds), "sid")  # a row for each source
+    drawn = drawn.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    drawn = drawn.withColumn("read", position(f"shard{seed}", F.col("shard"), F.col("doc_id"), F.col("dup"), F.col("copy")))
+    placed = running(drawn.drop("at", "rank", "ends"), ["shard"], "read", "one", "place", ties, n_blocks)
+    blocks = materialise(placed.select("row_id", "r1", "r2", "dup", "sid", "copy", F.col("size").alias("words"), "shard", "place"), "mix-blocks")
+    return known.select("row_id", "doc_id", "r1", "r2", "dup", "size", "source_size", "target"), blocks
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> DataFrame:
-    """The mix as documents, one row for each block; a cut block keeps its first words with the blanks and line breaks before them."""
+    """The mix as whole documents, one row for each block, dealt and sorted by shard and place."""
     _, blocks = mix(docs, seed, n_shards)
     tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "source", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text"), "__tm_size": n_words(F.col("text"))})
     tagged = tagged.withColumn("__tm_dup", F.row_number().over(Window.partitionBy("__tm_r1", "__tm_r2").orderBy("__tm_size")))
-    drawn = blocks.select(F.col("r1").alias("__tm_r1"), F.col("r2").alias("__tm_r2"), F.col("dup").alias("__tm_dup"), F.col("words").alias("__tm_words"))
-    n = F.col("__tm_words").cast("int")
-    first = F.zip_with(F.slice(F.split("text", WORD, -1), 1, n), F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, n), lambda gap, word: F.concat(gap, word))
-    text = F.when(F.col("__tm_words") < F.col("__tm_size"), F.array_join(first, "")).otherwise(F.col("text"))
-    out = tagged.join(drawn, ["__tm_r1", "__tm_r2", "__tm_dup"]).withColumn("__tm_text", text)
-    return out.select(*[F.col("__tm_text").alias("text") if c == "text" else F.length("__tm_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    drawn = blocks.select(*[F.col(c).alias(f"__tm_{c}") for c in ("r1", "r2", "dup", "shard", "place")])
+    out = tagged.join(drawn, ["__tm_r1", "__tm_r2", "__tm_dup"]).repartitionByRange("__tm_shard", "__tm_place").sortWithinPartitions("__tm_shard", "__tm_place")
+    return out.select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After the columns asked for: the document's blocks in the mix, and the first and last shard that holds one."""
+    """After the columns asked for: the document's blocks in the mix, the first and last shard that holds one, and its place in the first."""
     rows, blocks = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_blocks"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    taken = blocks.groupBy("row_id").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_blocks"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"), F.min(F.struct("shard", "place"))["place"].alias("first_place"))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("n_blocks"), "first_shard", "last_shard")
+    return rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("n_blocks"), "first_shard", "last_shard", "first_place")
