@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -552,9 +553,28 @@ def test_op5_repeated_rows_and_labels(spark):
     assert len(got) == 41 and len({(r["doc_id"], r["score"]) for r in got if r["doc_id"] == 1}) <= 2 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_op5_collects_no_more_rows_than_it_samples(spark, monkeypatch):
+    """One hot doc_id with most rows, two labels: the driver gets a row for each sampled id and label."""
+    rows = [(1, f"stone river number {i}", "s") for i in range(20_000)] + [(i, "plain words and so on", "s") for i in range(2, 40)] + [(40, "long " * 100_000, "s")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 41)] * 3 + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(op5, "Network", lambda x, y: seen.append(len(y)) or op5.Constant(0.5))
+    docs = make(spark, rows).withColumns({c: F.lit("other") for c in ("quality", "x", "part", "segment", "score", "held_out", "h")})
+    assert op5.quality_scores(docs, labels.withColumn("text", F.lit("other"))).count() == len(rows)
+    held = {i for i in range(1, 41) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert seen == [len(set(range(1, 41)) - held) + (1 not in held)]
+
+
+def test_op5_merging_in_steps_changes_nothing(spark, monkeypatch):
+    texts = make(spark, [(i, f"word{i % 7} other{i % 3} Third, {i}", "s") for i in range(300)]).repartition(40)
+    plain = op5.word_vectors(texts)
+    monkeypatch.setattr(op5, "MERGED", 4)
+    assert (op5.word_vectors(texts) == plain).all()
+
+
 def brute_top(vectors, k):
     out = {}
-    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for i, q in fine:
         if i % 50 == 0:
             ranked = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in fine if j != i and len(v) == len(q)))[:k]
@@ -614,12 +634,29 @@ def test_op6_scores_beyond_64_bits(spark):
     two = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], shape)
     with pytest.raises(Exception, match="beyond 64 bits"):
         op6.top_k(two, lambda i: i % 50 == 0).collect()
+    alone = op6.top_k(spark.createDataFrame([(0, [1e30]), (50, [0.5]), (1, [1.0])], "vec_id long, embedding array<double>"), lambda i: i == 50, k=1).collect
     with pytest.raises(Exception, match="beyond 64 bits"):
-        op6.top_k(spark.createDataFrame([(0, [1e30])], shape), lambda i: i % 50 == 0).collect()
+        alone()
     index = op6.BitSlices(np.arange(3), np.array([[-(2**63), 5], [2**63 - 20, 7], [3, -4]]), 2)
-    assert [x.tolist() for x in index.top(9, np.array([1, 2]), 2)] == [[1, 2], [2**63 - 6, -5]]
-    with pytest.raises(OverflowError):
-        index.top(9, np.array([-1, 0]), 1)
+    assert index.top(9, np.array([1, 2]), 2) == [(2**63 - 6, 1), (-5, 2)]
+    assert index.top(9, np.array([-1, 0]), 1) == [(2**63, 0)]
+
+
+def test_op6_outliers_empty_vectors_and_repeated_queries_equal_the_sql(spark):
+    """Rows far beyond the others take part without stopping the query; every query row asks."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.4, 3)]) for i in range(120)]
+    rows += [(0, [1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0]), (0, [0.0, 1.0, 0.0]), (7, [1.0, 2.0, 0.5]), (7, [1.0, 2.0, 0.5])]
+    rows += [(200, []), (201, []), (202, []), (250, [1.0, 0.5]), (251, [0.5, 0.5]), (252, [1e12, -1.0])]
+    rows += [(301, [-1e17, 0.0, 0.0]), (302, [0.0, -1e25, 0.0]), (303, [1.0, 1.0, 1e-300])]
+    rows = [r for r in rows if not (r[0] in (0, 50, 100) and min(r[1]) < 0)] + [(50, [0.25, 0.5, 0.0]), (100, [1.0, 1.0, 0.0])]
+    got = sorted(tuple(r) for r in op6.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("apart", F.lit(1)), lambda i: i % 50 == 0, block_rows=30, query_rows=2).collect())
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    assert got == sorted(con.execute(op6.SQL).fetchall())
+    assert sum(r[0] == 0 and r[1] == 1 for r in got) == sum(i == 0 for i, _ in rows) and {r[3] for r in got if r[0] == 200} == {0}
 
 
 def test_op7_water_fill():

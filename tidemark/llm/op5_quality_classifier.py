@@ -3,25 +3,28 @@
 Tokens are runs of letters (hashed into ``BUCKETS``), digits (one token), single other characters, and after each word
 a token of its shape (case, and whether it repeats the word before). Random indexing gives every token a fixed sparse
 +-1 index vector; a token's word vector is the sum of the index vectors of its neighbours over the whole corpus. Each
-partition adds up integers in one array of fixed size, arrays are merged by bucket range, so sums are exact and
-reruns agree. The finished table (BUCKETS x DIMS floats, a fixed 4 MB) is shipped to all tasks.
+partition adds up integers in one array of fixed size; arrays are merged by bucket range, in steps that take some hundred
+at a time however many partitions there are, so sums are exact and reruns agree. The finished table (BUCKETS x DIMS floats, a fixed 4 MB) is shipped to all tasks.
 
 A document is the plain mean of its shape and character vectors beside the frequency-damped mean of its word vectors.
-The network is fitted on at most ``SAMPLE_ROWS`` labelled rows (the first in a hash order) that are not held out
-(crc32 of the id mod 4 is not 2); a fifth of them is kept from the weights and sets the temperature of the output.
+The network is fitted on at most ``SAMPLE_ROWS`` labelled documents (the first in a hash order) that are not held out
+(crc32 of the id mod 4 is not 2), one text for each id and label where ids repeat; a fifth of them is kept from the weights and sets the temperature of the output.
 
 Null and empty texts score as a document of no tokens. Without labels of both kinds every score is the share of good
-labels, or 0.5 without any. Null ids are not held out. Repeated rows score alike.
+labels, or 0.5 without any. Null ids are not held out. Repeated rows score alike. Texts are read whole whatever their
+length; an empty table gives an empty result; columns beside doc_id, text and quality are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from tidemark.llm.wordtable import BYTE_POWERS, BYTE_VALUE, U, Words, chunks, mi
 
 BUCKETS, RESERVED, DIMS, NONZEROS, REACH = 16384, 128, 64, 4, 2
 SEGMENTS = 16
+#: Above so many arrays a bucket range is merged in three steps.
+MERGED = 64
 DAMPING = 1e-3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 SAMPLE_ROWS = 8000
@@ -94,7 +99,8 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     full = np.concatenate([sums.reshape(BUCKETS, DIMS), counts[:, None]], 1)
     if counts.any():
         blobs = [zlib.compress(part.astype("<f8").tobytes(), 1) for part in np.split(full, SEGMENTS)]
-        yield pa.record_batch([pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], ["segment", "sums"])
+        part = TaskContext.get().partitionId()
+        yield pa.record_batch([pa.array(range(SEGMENTS), pa.int32()), pa.array([part] * SEGMENTS, pa.int32()), pa.array(blobs, pa.binary())], ["segment", "part", "sums"])
 
 
 def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +108,16 @@ def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for blob in part["sums"]:
             total = total + np.frombuffer(zlib.decompress(blob), "<f8")
-    yield pd.DataFrame({"segment": [key[0]], "sums": [zlib.compress(total.tobytes(), 1)]})
+    yield pd.DataFrame({"segment": [key[0]], "part": [key[1]], "sums": [zlib.compress(total.tobytes(), 1)]})
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """(BUCKETS, DIMS) unit vectors, those of words damped by frequency."""
-    merged = texts.select("text").mapInArrow(contexts, "segment int, sums binary").groupBy("segment").applyInPandas(merge, "segment int, sums binary")
+    shape = "segment int, part int, sums binary"
+    merged = texts.select("text").mapInArrow(contexts, shape)
+    most = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    for groups in (most, math.isqrt(most), 1) if most > MERGED else (1,):
+        merged = merged.withColumn("part", F.col("part") % groups).groupBy("segment", "part").applyInPandas(merge, shape)
     full = np.zeros((SEGMENTS, BUCKETS // SEGMENTS, DIMS + 1))
     for r in merged.toLocalIterator():
         full[r["segment"]] = np.frombuffer(zlib.decompress(r["sums"]), "<f8").reshape(-1, DIMS + 1)
@@ -192,9 +202,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors, sample_rows: int = SAMPLE_ROWS):
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(pooled_sample(vectors), "doc_id long, quality int, x binary").collect()
+    # One text for each chosen doc_id and label, the first in hash order of those that repeat: never more rows than were chosen.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = texts.select("doc_id", "quality", "text").mapInArrow(pooled_sample(vectors), "doc_id long, quality int, x binary").collect()
     rows = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows)
     if len({q for _, q, _ in rows}) < 2:
         return Constant(float(np.mean([q for _, q, _ in rows])) if rows else 0.5)

@@ -9,16 +9,21 @@ highest sums are then selected from the most significant slice downward. The dro
 true score by a known most; rows within that of the boundary are resolved with the exact integers. Ties go to the smaller id.
 
 Every query meets every block (a stated query set against all rows, in blocks); each pair of blocks returns k rows a
-query, and the best k of those remain. Rows whose vector is null, or holds a null or a component that is not finite,
-take no part; a vector of another length than the query's shares only its own length's blocks; a query's own row (same
-id) is no candidate; repeated rows count as often as they occur as candidates, and of rows that share a query's id the
-least vector of each length asks; empty vectors take no part. An empty table gives an
-empty result. Jobs run while the result is being built (the index is written first). Integers have 64 bits; a scaled component beyond them, or a score beyond them among the k best of a block, is an error, never a wrong row.
+query, and the best k of those remain. Rows whose vector is null, or holds a null or a component that is not finite, or
+whose id is null, take no part; a vector meets only vectors of its own length; empty vectors take part, with scores of 0. A
+query's own row (same id) is no candidate. Repeated rows count as often as they occur, as candidates and as queries: every
+query row asks for itself. An empty table gives an empty result. Columns beside vec_id and embedding are not read, whatever
+their names. Jobs run while the result is being built (the index is written first).
+
+Integers are exact at any size. Vectors with a scaled component of 2^62 or more (and empty ones) are kept apart from the
+slices and scored by Python integers, as are the slices' rows against such queries; only a returned score beyond 64 bits is
+an error, never a wrong row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import integers as I  # noqa: E741
 from tidemark.llm.common import arrow_batches, materialise, table
 
 SCALE, K, DROPPED = 256, 5, 2
@@ -140,22 +146,30 @@ class BitSlices:
                 equal &= ~total[b]
         return above | equal
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows other than ``own``, ties to the smaller id."""
+    def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows other than ``own``, ties to the smaller id."""
         mine = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
         rows = self.candidates(query, k + mine)
         rows = rows[self.ids[rows] != own]
         if sum(abs(q) * r for q, r in zip(query.tolist(), self.reach)) < 2**63:
             scores = self.values[rows] @ query
             best = np.lexsort((self.ids[rows], -scores))[:k]
-        else:
-            exact = self.values[rows].astype(object) @ query.astype(object)
-            best = np.array(sorted(range(len(rows)), key=lambda i: (-exact[i], self.ids[rows[i]]))[:k], np.int64)
-            if any(not -(2**63) <= exact[i] < 2**63 for i in best):
-                raise OverflowError(f"query {own}: a score is beyond 64 bits")
-            scores = exact[best].astype(np.int64)
-            return self.ids[rows][best], scores
-        return self.ids[rows][best], scores[best]
+            return list(zip(scores[best].tolist(), self.ids[rows][best].tolist()))
+        return first(zip((self.values[rows].astype(object) @ query.astype(object)).tolist(), self.ids[rows].tolist()), k)
+
+
+class Plain:
+    """A block as lists of integers of any size."""
+
+    def __init__(self, ids: np.ndarray, values: list[list[int]]) -> None:
+        self.ids, self.values = ids.tolist(), values
+
+    def top(self, own: int, query: list[int], k: int) -> list[tuple[int, int]]:
+        return first(((I.dot(v, query), i) for v, i in zip(self.values, self.ids) if i != own), k)
+
+
+def first(scored: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    return heapq.nsmallest(k, scored, key=lambda e: (-e[0], e[1]))
 
 
 def narrow(vectors: np.ndarray) -> bytes:
@@ -169,57 +183,72 @@ def wide(data: bytes, rows: int, dims: int) -> np.ndarray:
 
 
 def block_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """One block's rows as one record: ids and integers as bytes."""
-    return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "vectors": [narrow(np.stack(part["v"].to_numpy()))]})
+    """One block's rows as one record: ids, row numbers and integers as bytes; the components themselves where a row is wide."""
+    dims, apart, block = key
+    vectors = np.concatenate([np.asarray(x, "<f8") for x in part["x"]]).tobytes() if apart else narrow(np.stack(part["v"].to_numpy()))
+    return pd.DataFrame({"dims": [dims], "apart": [apart], "block": [block], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rids": [part["rid"].to_numpy(np.int64).tobytes()], "vectors": [vectors]})
+
+
+BLOCK = "dims int, apart boolean, block int, ids binary, rids binary, vectors binary"
+
+
+def integers(data: bytes, rows: int, dims: int, apart: bool, scale: int) -> list[list[int]]:
+    if not dims:
+        return [[] for _ in range(rows)]
+    return I.wholes(np.frombuffer(data, "<f8").reshape(rows, dims), scale) if apart else wide(data, rows, dims).tolist()
 
 
-def search(k: int, dropped: int) -> Callable:
+def search(k: int, dropped: int, scale: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if held != (r["dims"], r["block"]):
-                    ids = np.frombuffer(r["ids"], np.int64)
-                    held, index = (r["dims"], r["block"]), BitSlices(ids, wide(r["vectors"], len(ids), r["dims"]), dropped)
-                own = np.frombuffer(r["query_ids"], np.int64)
-                queries = wide(r["queries"], len(own), r["dims"])
-                out = [(q, *index.top(int(q), v, k)) for q, v in zip(own, queries)]
-                yield pa.record_batch([pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"])
+                by_slices = not r["apart"] and not r["query_apart"]
+                ids, own, rids = (np.frombuffer(r[c], np.int64) for c in ("ids", "query_ids", "query_rids"))
+                if held != (r["dims"], r["apart"], r["block"], by_slices):
+                    held = r["dims"], r["apart"], r["block"], by_slices
+                    index = BitSlices(ids, wide(r["vectors"], len(ids), r["dims"]), dropped) if by_slices else Plain(ids, integers(r["vectors"], len(ids), r["dims"], r["apart"], scale))
+                queries = wide(r["queries"], len(own), r["dims"]) if by_slices else integers(r["queries"], len(own), r["dims"], r["query_apart"], scale)
+                out = [(int(rid), int(q), i, *I.stored(s)) for rid, q, v in zip(rids, own, queries) for s, i in index.top(int(q), v, k)]
+                kinds = zip(("rid", "query_id", "vec_id", "over", "score", "digits"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))
+                yield pa.record_batch({name: pa.array([o[n] for o in out], kind) for n, (name, kind) in enumerate(kinds)})
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(id, v array<bigint>) of the rows that take part."""
+    """(id, dims, apart, v array<bigint>, or x array<double> where apart) of the rows that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**63), F.floor(x)).otherwise(F.raise_error(F.lit("embedding: a scaled component is beyond 64 bits")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    return rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: whole(x.cast("double") * scale)).alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("dims"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    rows = rows.withColumn("apart", (F.col("dims") == 0) | F.exists("x", lambda x: F.abs(x) * scale >= F.lit(2.0**62)))
+    whole = F.transform("x", lambda x: F.floor(x * scale))
+    return rows.select("id", "dims", "apart", F.when(~F.col("apart"), whole).alias("v"), F.when(F.col("apart"), F.col("x")).alias("x"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, dropped: int = DROPPED, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score. ``is_query``: a condition on ``id``; one result for each distinct query id."""
+    """query_id, rank, vec_id, score. ``is_query``: a condition on ``id``; ranks are those of a query row."""
     arrow_batches(vectors.sparkSession)
-    rows = materialise(quantised(vectors, scale).withColumn("dims", F.size("v")), "vectors")
-    blocks = {r["dims"]: max(1, -(-r["n"] // block_rows)) for r in rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = materialise(quantised(vectors, scale).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    blocks = {(r["dims"], r["apart"]): max(1, -(-r["n"] // block_rows)) for r in rows.groupBy("dims", "apart").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not blocks:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("dims"))
-    shape = "dims int, block int, ids binary, vectors binary"
-    index = materialise(rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).groupBy("dims", "block").applyInPandas(block_of, shape), "slices")
-    asked = rows.where(is_query(F.col("id"))).groupBy("dims", "id").agg(F.min("v").alias("v"))
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for (d, a), n in table.items() for x in (f"{d} {str(a).lower()}", n)]), F.concat_ws(" ", F.col("dims").cast("string"), F.col("apart").cast("string")))
+    index = rows.withColumn("block", F.pmod(F.xxhash64("rid"), of(blocks)).cast("int")).groupBy("dims", "apart", "block").applyInPandas(block_of, BLOCK)
+    index = materialise(index.drop("rids"), "slices")
     pack_count = {d: 4 * max(1, -(-n * block_rows // (50 * query_rows))) for d, n in blocks.items()}
-    n_packs = F.element_at(F.create_map(*[F.lit(x) for kv in pack_count.items() for x in kv]), F.col("dims"))
-    packs = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), n_packs).cast("int"))
-    packs = packs.groupBy("dims", "block").applyInPandas(block_of, shape).select("dims", F.col("block").alias("pack"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    packs = rows.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rid"), of(pack_count)).cast("int")).groupBy("dims", "apart", "block").applyInPandas(block_of, BLOCK)
+    packs = packs.select("dims", F.col("apart").alias("query_apart"), F.col("block").alias("pack"), F.col("ids").alias("query_ids"), F.col("rids").alias("query_rids"), F.col("vectors").alias("queries"))
     # While there are fewer blocks than cores, a block's rows go to several tasks, each with a part of the packs.
     deals = max(1, min(max(pack_count.values()), -(-4 * rows.sparkSession.sparkContext.defaultParallelism // sum(blocks.values()))))
-    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("deal", F.col("pack") % deals)
+    sides = F.array(F.lit(False), F.lit(True))
+    pairs = packs.withColumn("apart", F.explode(sides)).withColumn("n", of(blocks)).where("n is not null")
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("deal", F.col("pack") % deals).drop("n")
     dealt = index.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    pairs = pairs.join(dealt.hint("merge"), ["dims", "block", "deal"])
-    found = pairs.select("dims", "block", "ids", "vectors", "query_ids", "queries").mapInArrow(search(k, dropped), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = pairs.join(dealt.hint("merge"), ["dims", "apart", "block", "deal"])
+    found = pairs.select("dims", "apart", "block", "ids", "vectors", "query_apart", "query_ids", "query_rids", "queries").mapInArrow(search(k, dropped, scale), f"rid long, query_id long, vec_id long, {I.SCORE}")
+    best = Window.partitionBy("rid").orderBy(*I.best_first(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", I.within_64_bits().alias("score"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +256,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
