@@ -112,9 +112,9 @@ def split_tree(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
     return split_tree(left, halves, seed * 2 + 1) + split_tree(right, n_shards - halves, seed * 2 + 2)
 
 
-def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, ties: list[str], n_rows: int) -> DataFrame:
-    """Sum of ``amount`` over the rows of the group before this one in the order of ``at``: slice sums first, then within a slice."""
-    digits = max(0, -(-n_rows // SLICE) - 1).bit_length()
+def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, ties: list[str], n_rows: int, classes: int = 0) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group before this one in the order of ``at``: slice sums first, then within a slice. ``classes``: leading bits of ``at`` that are no hash."""
+    digits = max(0, -(-n_rows // SLICE) - 1).bit_length() + classes
     df = df.withColumn("_slice", F.shiftright(F.col(at), BITS - digits))
     sums = df.groupBy(*group, "_slice").agg(F.sum(amount).alias("_sum"))
     before = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
@@ -151,7 +151,7 @@ def last_copies(rows: DataFrame, left: dict[int, int], n_rows: int, seed: int) -
         room = by_source(spark, {s: x for s, x in left.items() if x > 0}, "left")
         fitting = fitting.join(room, "sid").where(F.col("size") <= F.col("left"))
         order = F.col("hash") if first else F.shiftleft(size_class, BITS - 6) + F.shiftright("hash", 6)
-        tried = materialise(running(fitting.withColumn("at", order), ["sid"], "at", "size", "before", TIES, n_rows).select(*ROW, "hash", (F.col("before") + F.col("size") <= F.col("left")).alias("fits")), "mix-tried")
+        tried = materialise(running(fitting.withColumn("at", order), ["sid"], "at", "size", "before", TIES, n_rows, 0 if first else 6).select(*ROW, "hash", (F.col("before") + F.col("size") <= F.col("left")).alias("fits")), "mix-tried")
         found, first = tried.where("fits"), False
         fitting = tried.where("not fits").drop("fits")
         if not found.limit(1).count():
