@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Tier
 from tidemark.functions import scalars as S
-from tidemark.operators import advanced, density, experiments, final, growth, models, neighbours, prep, topics, trends
+from tidemark.operators import advanced, density, experiments, final, growth, models, neighbours, prep, sampling, topics, trends
 from tidemark.plans import views as V
 from tidemark.sources.readers import table
 from tidemark.streaming import counts as streaming
@@ -414,9 +414,46 @@ def t4_diversity_sample(spark, sf):
     return prep.diversity_sample(d, ["year", "primary_category"], "cluster", 20, min_pool=50).select("doc_id", "year", "primary_category", "cluster")
 
 
-@query()
+_WORDS = rf"""words AS (SELECT doc_id, year, primary_category, list_filter(regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{', '.join(repr(w) for w in V.STOP)}], w)) AS w FROM docs),
+terms AS (SELECT doc_id, year, primary_category, term, count(*) AS tf FROM (SELECT doc_id, year, primary_category, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words) GROUP BY ALL),
+known AS (SELECT year, primary_category, term, df FROM (SELECT *, row_number() OVER (PARTITION BY year, primary_category ORDER BY total DESC, term) AS r FROM (SELECT year, primary_category, term, sum(tf) AS total, count(*) AS df FROM terms GROUP BY ALL)) WHERE r <= 2000),
+pools AS (SELECT year, primary_category, count(*) AS n FROM docs GROUP BY ALL),
+x AS MATERIALIZED (SELECT doc_id, year, primary_category, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, year, primary_category, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM terms JOIN known USING (year, primary_category, term) JOIN pools USING (year, primary_category)))"""
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """Rounds of assignment in each group, one after the other."""
+    parts = [f"m0 AS (SELECT * FROM (SELECT doc_id, year, primary_category, row_number() OVER (PARTITION BY year, primary_category ORDER BY md5('42:' || doc_id), doc_id) - 1 AS cluster FROM docs) WHERE cluster < {k})"]
+    for r in range(1, rounds + 1):
+        kept = f" UNION ALL SELECT * FROM c{r - 1} ANTI JOIN m{r - 1} USING (year, primary_category, cluster)" if r > 1 else ""
+        parts.append(f"c{r} AS MATERIALIZED (SELECT year, primary_category, cluster, term, sum(x) / any_value(m) AS x FROM x JOIN m{r - 1} USING (doc_id, year, primary_category) JOIN (SELECT year, primary_category, cluster, count(*) AS m FROM m{r - 1} GROUP BY ALL) USING (year, primary_category, cluster) GROUP BY ALL{kept})".replace("any_value(m)", "max(m)").replace("GROUP BY ALL UNION", "GROUP BY year, primary_category, cluster, term UNION"))
+        parts.append(
+            f"m{r} AS MATERIALIZED (SELECT doc_id, year, primary_category, coalesce(near.cluster, 0) AS cluster FROM docs LEFT JOIN (SELECT doc_id, arg_min(cluster, (gap, cluster)) AS cluster FROM (SELECT doc_id, d.cluster, round(max(c2) - 2 * sum(d.x * coalesce(c.x, 0)), 9) AS gap"
+            f" FROM (SELECT * FROM x JOIN (SELECT year, primary_category, cluster, sum(x * x) AS c2 FROM c{r} GROUP BY ALL) USING (year, primary_category)) d LEFT JOIN c{r} c ON c.year = d.year AND c.primary_category = d.primary_category AND c.cluster = d.cluster AND c.term = d.term GROUP BY 1, 2) GROUP BY 1) near USING (doc_id))"
+        )
+    return ",\n".join(parts)
+
+
+_CLUSTERED = f"{_WORDS},\n{_lloyd(4, 5)}"
+
+
+@query("SELECT doc_id, year, primary_category, CAST(cluster AS INTEGER) AS cluster FROM m5", V.DOCS, _CLUSTERED)
+def t5_micro_clusters(spark, sf):
+    d = V.docs(spark, sf).select("doc_id", "year", "primary_category", "abstract")
+    return sampling.micro_clusters(d, ["year", "primary_category"], F.col("abstract"), 4, V.STOP).select("doc_id", "year", "primary_category", "cluster")
+
+
+@query(
+    """WITH s AS (SELECT year, primary_category, cluster, count(*) AS size FROM m5 GROUP BY ALL), p AS (SELECT *, sum(size) OVER (PARTITION BY year, primary_category) AS pool FROM s),
+q AS (SELECT *, least(greatest(1, floor(20 * size / pool)), size) AS quota FROM p), j AS (SELECT *, md5('42:' || doc_id) AS o FROM m5 JOIN q USING (year, primary_category, cluster)),
+r AS (SELECT *, row_number() OVER (PARTITION BY year, primary_category, cluster ORDER BY o, doc_id) AS i FROM j),
+c AS (SELECT *, row_number() OVER (PARTITION BY year, primary_category ORDER BY o, doc_id) AS k FROM r WHERE pool <= 20 OR NOT (pool >= 40 AND pool >= 50) OR i <= quota)
+SELECT doc_id, year, primary_category FROM c WHERE pool <= 20 OR k <= 20""",
+    V.DOCS, _CLUSTERED,
+)
 def t3_semantic_sample(spark, sf):
-    return models.semantic_sample(V.docs(spark, sf).select("doc_id", "year", "primary_category", F.coalesce("abstract", F.lit("")).alias("text")), ["year", "primary_category"], "text", 20).select("doc_id", "year", "primary_category")
+    d = V.docs(spark, sf).select("doc_id", "year", "primary_category", "abstract")
+    return sampling.semantic_sample(d, ["year", "primary_category"], F.col("abstract"), 20, V.STOP, min_pool=50).select("doc_id", "year", "primary_category")
 
 
 # --- vocabulary and topics ----------------------------------------------------------------------------------------
