@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Tier
 from tidemark.functions import scalars as S
-from tidemark.operators import advanced, density, experiments, final, growth, models, neighbours, prep, sampling, topics, trends
+from tidemark.operators import advanced, density, experiments, final, growth, manifold, models, neighbours, prep, sampling, topics, trends
 from tidemark.plans import views as V
 from tidemark.sources.readers import table
 from tidemark.streaming import counts as streaming
@@ -891,6 +891,33 @@ def t12_predict_neighbours(spark, sf):
     return density.predict(model, points.where("id % 5 = 0")).select("id", "neighbour", F.bround("reach", 6).alias("reach"))
 
 
+@query(
+    """WITH n AS (SELECT a AS id, list(d ORDER BY d, b) AS d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM gap) WHERE i <= 10 GROUP BY 1),
+r AS (SELECT id, d, d[1] AS rho, list_avg(d) AS mean, CAST(0 AS DOUBLE) AS low, 100 * list_avg(d) AS high, 0 AS step FROM n
+  UNION ALL SELECT id, d, rho, mean, CASE WHEN s > log2(10) THEN low ELSE (low + high) / 2 END, CASE WHEN s > log2(10) THEN (low + high) / 2 ELSE high END, step + 1
+  FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(0, x - rho) / ((low + high) / 2)))) AS s FROM r) WHERE step < 50)
+SELECT id, round_even(rho, 6) AS rho, round_even(greatest((low + high) / 2, mean / 1000), 5) AS sigma FROM r WHERE step = 50""",
+    _SPACE,
+)
+def t8_bandwidths(spark, sf):
+    near = neighbours.nearest(neighbours.blocks_of(_space(spark, sf)), 10)
+    return manifold.bandwidths(near).select("id", F.bround("rho", 6).alias("rho"), F.bround("sigma", 5).alias("sigma"))
+
+
+@query()
+def t8_projection(spark, sf):
+    """Five coordinates of each vector that keep its neighbours."""
+    placed = manifold.project(_space(spark, sf), 5, 8)
+    return placed.select("id", *[F.bround(F.col("x")[i], 4).alias(f"x{i}") for i in range(5)])
+
+
+@query()
+def t10_topics(spark, sf):
+    """Topics of all vectors: projection, then density clusters; -1 is noise."""
+    found = density.fit(manifold.project(_space(spark, sf), 5, 8), 10, 5).points
+    return found.select("id", F.col("label").alias("topic_id"), F.bround("strength", 4).alias("strength"))
+
+
 # --- primitives ---------------------------------------------------------------------------------------------------
 
 
