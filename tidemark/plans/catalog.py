@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Tier
 from tidemark.functions import scalars as S
-from tidemark.operators import advanced, density, experiments, final, growth, manifold, models, neighbours, prep, sampling, topics, trends
+from tidemark.operators import advanced, density, encoder, experiments, final, growth, manifold, models, neighbours, prep, sampling, topics, trends
 from tidemark.plans import views as V
 from tidemark.sources.readers import table
 from tidemark.streaming import counts as streaming
@@ -918,6 +918,23 @@ def t10_topics(spark, sf):
     return found.select("id", F.col("label").alias("topic_id"), F.bround("strength", 4).alias("strength"))
 
 
+@query()
+def t7_encode(spark, sf):
+    """The first coordinates of each document's vector, from the corpus itself."""
+    _, vectors = encoder.fit(V.docs(spark, sf), F.col("abstract"), V.STOP, rank=16, size=2048)
+    return vectors.select("id", *[F.bround(F.col("x")[i], 3).alias(f"x{i}") for i in range(3)])
+
+
+@query()
+def t13_signature_clusters(spark, sf):
+    """Macro-topics from the topics' keyword signatures, encoded by a model of the documents."""
+    model, _ = encoder.fit(V.docs(spark, sf), F.col("abstract"), V.STOP, rank=16, size=2048)
+    signed = V.signatures(spark, sf).withColumn("topic", F.concat_ws(":", "tier", F.col("topic_id").cast("string")))
+    vectors = model.encode(signed.withColumn("key", F.xxhash64("topic")), F.col("keywords_str"), "key")
+    named = vectors.join(signed.select(F.xxhash64("topic").alias("id"), "tier", "topic_id"), "id")
+    return models.macro_clusters(named.select("tier", "topic_id", F.col("x").alias("vector")), 6)
+
+
 # --- primitives ---------------------------------------------------------------------------------------------------
 
 
