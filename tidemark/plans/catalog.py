@@ -14,6 +14,7 @@ from tidemark.operators import advanced, density, encoder, experiments, final, g
 from tidemark.plans import views as V
 from tidemark.sources.readers import table
 from tidemark.streaming import counts as streaming
+from tidemark.streaming import running
 from tidemark.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1029,3 +1030,44 @@ def s_stream_daily_counts(spark, sf):
     stream = streaming.read_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     root = streaming.shared_folder(spark)
     return streaming.run_once(streaming.windowed_counts(stream, "ts", "event_type"), root).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+#: Days that end two days or more before the last event: those that the watermark has closed when all files are read.
+_CLOSED = """closed AS (SELECT event_type AS category, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS count FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2
+  HAVING date_trunc('day', any_value(ts)) + INTERVAL 3 DAY <= (SELECT max(ts) FROM events WHERE event_type IS NOT NULL))"""
+
+
+def _closed_days(spark, sf):
+    schema = table(spark, sf, "events").schema
+    stream = streaming.read_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streaming.windowed_counts(stream, "ts", "event_type")
+
+
+@query("SELECT category, start, count, round_even(avg(count) OVER o, 6) AS mean, count(*) OVER o AS n FROM closed WINDOW o AS (PARTITION BY category ORDER BY start ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)", _CLOSED)
+def s_trailing_means(spark, sf):
+    means = running.run_appended(running.trailing_means(_closed_days(spark, sf), 7), streaming.shared_folder(spark))
+    return means.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("mean", F.bround("mean", 6))
+
+
+@query(
+    """WITH h AS (SELECT *, count(*) OVER o >= 6 AND count > avg(count) OVER o + 1.0 * stddev_pop(count) OVER o AS hot, lead(start) OVER (PARTITION BY category ORDER BY start) AS next FROM closed WINDOW o AS (PARTITION BY category ORDER BY start ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY start) - row_number() OVER (PARTITION BY category, hot ORDER BY start) AS run FROM h),
+b AS (SELECT category, min(start) AS start, arg_max(next, start) AS "end", max(start) AS last, arg_max(start, (count, -epoch(start))) AS peak, max(count) AS peak_count, count(*) AS rows FROM r WHERE hot GROUP BY category, run)
+SELECT category, start, "end", peak, peak_count, rows FROM b WHERE last < (SELECT max(start) FROM closed c WHERE c.category = b.category)""",
+    _CLOSED,
+)
+def s_bursts(spark, sf):
+    found = running.run_appended(running.bursts(_closed_days(spark, sf), 12, 1.0), streaming.shared_folder(spark))
+    return found.select("category", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end", "peak")], "peak_count", "rows")
+
+
+@query(
+    """WITH m AS (SELECT event_type AS category, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL WINDOW o AS (PARTITION BY event_type ORDER BY ts)),
+n AS (SELECT category, ts, sum(new) OVER (PARTITION BY category ORDER BY ts) AS session FROM m)
+SELECT category, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS "end", count(*) AS count FROM n GROUP BY category, session"""
+)
+def s_sessions(spark, sf):
+    schema = table(spark, sf, "events").schema
+    stream = streaming.read_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streaming.run_once(streaming.session_counts(stream, "ts", "event_type"), streaming.shared_folder(spark))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

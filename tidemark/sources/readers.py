@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,15 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType, strict: bool
     return reader.csv(path)
 
 
+def read_csv_apart(spark: SparkSession, path: str, columns: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed rows): as ``read_csv``, with what it would drop kept apart - the file, where in the order of its malformed rows, the text, what could be parsed - for a table of its own."""
+    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "columnPruning": False}
+    whole = spark.read.schema(T.StructType([*columns, T.StructField("_malformed", T.StringType())])).options(**options).csv(path)
+    bad = whole.where("_malformed is not null").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("_malformed").alias("record"), F.to_json(F.struct(*columns.names)).alias("parsed"))
+    order = Window.partitionBy("file").orderBy("_at")
+    return whole.where("_malformed is null").drop("_malformed"), bad.select("file", F.row_number().over(order).alias("number"), "record", "parsed")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))

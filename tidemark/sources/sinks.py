@@ -7,7 +7,7 @@ from datetime import datetime
 from collections.abc import Sequence
 
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger("tidemark")
@@ -44,6 +44,14 @@ def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def write_counted(df: DataFrame, path: str, name: str, **measures: Column) -> dict:
+    """Writes Parquet and returns, from the same pass, the number of rows and any further aggregates; logs them."""
+    seen = Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]).write.mode("overwrite").parquet(path)
+    LOG.info("%s %s", name, seen.get)
+    return seen.get
+
+
 def log_summary(name: str, df: DataFrame, rows: int = 20) -> None:
     for r in df.limit(rows).collect():
         LOG.info("%s %s", name, r.asDict())
