@@ -206,11 +206,17 @@ def mix(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> tuple[DataFrame,
 
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16) -> DataFrame:
     """The mix as whole documents, one row for each block, dealt and sorted by shard and place."""
-    _, blocks = mix(docs, seed, n_shards)
-    tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "source", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text"), "__tm_size": n_words(F.col("text"))})
-    tagged = tagged.withColumn("__tm_dup", F.row_number().over(Window.partitionBy("__tm_r1", "__tm_r2").orderBy("__tm_size")))
+    rows, blocks = mix(docs, seed, n_shards)
+    key = ["__tm_r1", "__tm_r2"]
+    tagged = docs.withColumns({"__tm_r1": F.xxhash64("doc_id", "source", "text"), "__tm_r2": F.xxhash64(F.lit(3), "doc_id", "source", "text")})
     drawn = blocks.select(*[F.col(c).alias(f"__tm_{c}") for c in ("r1", "r2", "dup", "shard", "place")])
-    out = tagged.join(drawn, ["__tm_r1", "__tm_r2", "__tm_dup"]).repartitionByRange("__tm_shard", "__tm_place").sortWithinPartitions("__tm_shard", "__tm_place")
+    # Rows that are equal in every respect need their running number; all others are found by their hashes, so texts are dealt once.
+    equal = materialise(rows.where("dup = 2").select(F.col("r1").alias("__tm_r1"), F.col("r2").alias("__tm_r2")), "mix-equal")
+    out = tagged.join(drawn.join(equal, key, "left_anti").drop("__tm_dup"), key)
+    if equal.limit(1).count():
+        numbered = tagged.join(equal, key, "left_semi").withColumn("__tm_dup", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+        out = out.unionByName(numbered.join(drawn, [*key, "__tm_dup"]).drop("__tm_dup"))
+    out = out.repartitionByRange("__tm_shard", "__tm_place").sortWithinPartitions("__tm_shard", "__tm_place")
     return out.select(*docs.columns)
 
 
