@@ -308,3 +308,20 @@ def test_op13_sample_is_bounded_with_a_hot_text(spark):
     drawn = op13.sample(spark.createDataFrame(rows, SCHEMA).select("lang", "text"), 50).collect()
     counts = collections.Counter(r["lang"] for r in drawn)
     assert counts["aa"] == 50 and counts["bb"] == 1 and len({r["text"] for r in drawn}) == 51
+
+
+# Substring dedup: hot cells
+
+
+def test_op2_a_passage_in_a_third_of_the_rows_is_one_lookup_a_batch():
+    from tidemark.llm import op2_substring_dedup as op2
+
+    anchors = [[5, 9] if i % 3 else [5, 100 + i] for i in range(200)] + [[], [7]]
+    batch = pa.record_batch([pa.array(range(202), pa.int64()), pa.array(range(1000, 1202), pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], ["row", "doc", "anchors"])
+    (out,) = op2.lookups(1 << 16)(iter([batch]))
+    rows = out.to_pylist()
+    assert len(rows) == len({a for x in anchors for a in x})
+    held = sorted(len(r["more"]) if r["more"] else 1 for r in rows)
+    assert held[-1] == 200 and held[-2] == 133 and held[0] == 1
+    pairs = {(m["row"], m["doc"]) for r in rows for m in (r["more"] or [r])}
+    assert pairs == {(i, 1000 + i) for i, x in enumerate(anchors) if x}

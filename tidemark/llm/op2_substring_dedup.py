@@ -135,28 +135,41 @@ def merge_segment(segment: int) -> Callable:
 
 
 def lookups(cells: int) -> Callable:
-    """A row for each anchor: its row's mark and its cells."""
+    """The cells of a batch's anchors, each pair once: with the row that holds it, or in ``more`` the rows if several do. So a passage that many documents share is a record for each batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, bounds = flat(batch.column(1))
+            anchors, bounds = flat(batch.column(2))
             cell = cells_of(anchors.view(U), cells).view(np.int64)
-            yield pa.record_batch([pa.array(np.repeat(np.asarray(batch.column(0)), np.diff(bounds))), pa.array(cell[: len(anchors)]), pa.array(cell[len(anchors) :])], ["row", "c0", "c1"])
+            c0, c1, at = cell[: len(anchors)], cell[len(anchors) :], np.repeat(np.arange(len(batch)), np.diff(bounds))
+            order = np.lexsort((at, c1, c0))
+            c0, c1, at = c0[order], c1[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (c0[1:] != c0[:-1]) | (c1[1:] != c1[:-1])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(at)))
+            row, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            several = np.repeat(size > 1, size)
+            ends = np.concatenate([[0], np.cumsum(np.where(size > 1, size, 0))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(row[at[several]]), pa.array(doc[at[several]])], ["row", "doc"])
+            more = pa.ListArray.from_arrays(pa.array(ends), pairs, mask=pa.array(size == 1)) if len(size) else pa.array([], pa.list_(pairs.type))
+            yield pa.record_batch([pa.array(row[at[first]]), pa.array(doc[at[first]]), pa.array(c0[first]), pa.array(c1[first]), more], ["row", "doc", "c0", "c1", "more"])
 
     return run
 
 
 def estimated_repeated(marks: DataFrame) -> tuple[DataFrame, int]:
-    """(row, cells: the first cells of its anchors counted twice or more in both rows of the sketch), and the cells of a row."""
+    """(row, doc, cells: the first cells of its anchors counted twice or more in both rows of the sketch), and the cells of a row."""
     anchors = marks.agg(F.sum(F.size("anchors"))).first()[0] or 0
     cells = max(SEGMENT, 1 << (LOAD * anchors - 1).bit_length())
     segment = min(SEGMENT << 4, max(SEGMENT, cells >> 12))
     parts = marks.select("anchors").mapInArrow(sketch_partition(cells, segment), "segment long, cells binary")
     often = materialise(parts.groupBy("segment").applyInPandas(merge_segment(segment), "cell long"), "sketch")
-    asked = marks.select("row", "anchors").mapInArrow(lookups(cells), "row long, c0 long, c1 long")
+    asked = marks.select("row", "doc", "anchors").mapInArrow(lookups(cells), "row long, doc long, c0 long, c1 long, more array<struct<row:long,doc:long>>")
     hit = asked.join(often.where(F.col("cell") < cells).select(F.col("cell").alias("c0")), "c0", "left_semi")
     hit = hit.join(often.where(F.col("cell") >= cells).select(F.col("cell").alias("c1")), "c1", "left_semi")
-    return hit.groupBy("row").agg(F.collect_set("c0").alias("cells")), cells
+    each = hit.select("c0", F.explode(F.coalesce("more", F.array(F.struct("row", "doc")))).alias("r"))
+    return each.groupBy("r.row", "r.doc").agg(F.collect_set("c0").alias("cells")), cells
 
 
 def candidates(cells: int, window: int, anchor: int) -> Callable:
@@ -215,20 +228,21 @@ def remove(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     arrow_batches(docs.sparkSession)
+    # A row is known by its id and a hash of its text: two documents are never taken for one.
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", "text")
     marks = materialise(docs.select("row", "doc", "text").mapInArrow(describe(window, anchor), "row long, doc long, f1 binary, f2 binary, anchors array<long>"), "marks")
     firsts = materialise(marks.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "firsts")
-    copies = join_apart(marks.select("row", "doc", "f1", "f2"), firsts, ["f1", "f2"], "n").where(F.col("doc") > F.col("rep")).select("row").distinct()
+    copies = join_apart(marks.select("row", "doc", "f1", "f2"), firsts, ["f1", "f2"], "n").where(F.col("doc") > F.col("rep")).select("row", "doc").distinct()
     copies = materialise(copies.withColumn("_copy", F.lit(True)), "copies")
     passing, cells = estimated_repeated(marks)  # copies count too: that overestimates, and spares a join before it
-    passing = materialise(passing.join(copies, "row", "left_anti"), "passing")
-    texts = docs.join(passing, "row").select("row", "doc", "cells", "text")
+    passing = materialise(passing.join(copies, ["row", "doc"], "left_anti"), "passing")
+    texts = docs.join(passing, ["row", "doc"]).select("row", "doc", "cells", "text")
     found = materialise(texts.mapInArrow(candidates(cells, window, anchor), "row long, doc long, h1 long, h2 int"), "windows")
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h1", "h2", "least", "n")
     repeated = materialise(repeated, "repeated")
-    gone = join_apart(found, repeated, ["h1", "h2"], "n").where(F.col("doc") > F.col("least")).groupBy("row").agg(F.collect_set("h1").alias("_gone"))
-    verdict = gone.join(copies, "row", "full_outer")
-    ready = docs.join(verdict, "row", "left").select("doc_id", "text", "_gone", "_copy")
+    gone = join_apart(found, repeated, ["h1", "h2"], "n").where(F.col("doc") > F.col("least")).groupBy("row", "doc").agg(F.collect_set("h1").alias("_gone"))
+    verdict = gone.join(copies, ["row", "doc"], "full_outer")
+    ready = docs.join(verdict, ["row", "doc"], "left").select("doc_id", "text", "_gone", "_copy")
     return ready.mapInArrow(remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
