@@ -1,7 +1,9 @@
 """The trend operators on hand-made frames: every rule that a real table may miss."""
 
 import datetime as dt
+import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -235,6 +237,55 @@ def test_synthetic_control_recovers_the_mix(spark):
     assert out.where("abs(gap) > 1e-6").count() == 0
 
 
+def plain_simplex(gram, target):
+    """Every set of donors in closed form, the best feasible one."""
+    best, value = None, math.inf
+    for size in range(1, len(target) + 1):
+        for s in map(list, itertools.combinations(range(len(target)), size)):
+            system = np.ones((size + 1, size + 1))
+            system[:size, :size], system[size, size] = gram[np.ix_(s, s)], 0
+            w = np.zeros(len(target))
+            w[s] = np.linalg.lstsq(system, np.append(target[s], 1.0), rcond=None)[0][:size]
+            if (w >= -1e-10).all() and abs(w.sum() - 1) < 1e-8 and (v := w @ gram @ w - 2 * target @ w) < value - 1e-12:
+                best, value = w, v
+    return best
+
+
+def test_simplex_weights_equal_the_best_of_all_sets():
+    rng = np.random.default_rng(1)
+    for n in range(1, 7):
+        for _ in range(8):
+            x, y = rng.normal(0, 1, (n, 30)), rng.normal(0, 1, 30)
+            assert K.simplex_weights(x @ x.T, x @ y) == pytest.approx(plain_simplex(x @ x.T, x @ y), abs=1e-7)
+
+
+def test_simplex_weights_of_many_donors_meet_the_conditions():
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(50, 20, (40, 60)))
+    x[7] = x[3]  # equal donors
+    y = 0.6 * x[3] + 0.4 * x[20] + rng.normal(0, 2, 60)
+    start = time.perf_counter()
+    w = K.simplex_weights(x @ x.T, x @ y)
+    assert time.perf_counter() - start < 1
+    slope = 2 * (x @ x.T @ w - x @ y)
+    assert w.min() >= 0 and w.sum() == pytest.approx(1)
+    assert slope.min() >= slope[w > 1e-9].max() - 1e-6 * np.abs(slope).max()  # all used donors share the least slope
+
+
+def test_logistic_curves_are_recovered(spark):
+    rng = np.random.default_rng(3)
+    truth = {"a": (1000, 40, 0.15), "b": (500, 20, 0.3), "c": (20000, 70, 0.08)}
+    rows = []
+    for key, (capacity, middle, rate) in truth.items():
+        y = capacity / (1 + np.exp(-rate * (np.arange(90) - middle)))
+        rows += [(key, f"{2010 + m // 12}-{m % 12 + 1:02d}", float(v)) for m, v in enumerate(np.diff(y, prepend=0) + rng.normal(0, 1e-3, 90))]
+    rows += [("short", "2010-01", 3.0), ("short", "2010-02", 4.0), ("flat", "2010-01", 5.0)] + [("flat", f"2010-{m:02d}", 0.0) for m in range(2, 12)] + [(None, "2010-01", 1.0)]
+    got = {r["category"]: r for r in advanced.growth_curves(spark.createDataFrame(rows, "category string, month string, count double")).collect()}
+    for key, (capacity, middle, rate) in truth.items():
+        assert (got[key]["capacity"], got[key]["midpoint"], got[key]["rate"]) == pytest.approx((capacity, middle, rate), rel=0.02) and got[key]["fit"] > 0.999
+    assert {k: r["stage"] for k, r in got.items()} == {"a": "mature", "b": "mature", "c": "mature" if 1 / (1 + math.exp(-0.08 * 19)) >= 0.8 else "growing", "short": "unclear", "flat": "unclear"}
+
+
 def test_apc_splits_age_and_period(spark):
     data = [(f"T{t}", k, 10 * (5 - t)) for t in (1, 2, 3) for k in range(t, 6)]
     df = spark.createDataFrame(data, "tier string, topic_id int, paper_count long")

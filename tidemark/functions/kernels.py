@@ -115,19 +115,69 @@ def cusum_peaks(y: np.ndarray, margin: int = 12, depth: int = 3) -> list[int]:
 
 
 def simplex_weights(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Minimises w'Gw - 2 g'w over the simplex exactly, by its active sets (few donors)."""
+    """Minimises w'Gw - 2 g'w over the simplex, by active sets: weights enter by their gradient and leave at zero, until none would enter."""
     k = len(target)
-    best, value = np.full(k, 1 / k), math.inf
-    for size in range(1, k + 1):
-        for on in itertools.combinations(range(k), size):
-            s = list(on)
-            system = np.zeros((size + 1, size + 1))
-            system[:size, :size], system[:size, size], system[size, :size] = gram[np.ix_(s, s)], 1, 1
-            w = np.zeros(k)
-            w[s] = np.linalg.lstsq(system, np.append(target[s], 1.0), rcond=None)[0][:size]
-            if (w >= -1e-10).all() and abs(w.sum() - 1) < 1e-8 and (v := w @ gram @ w - 2 * target @ w) < value - 1e-12:
-                best, value = np.clip(w, 0, None), v
-    return best
+    if not k:
+        return np.zeros(0)
+    scale = max(float(np.abs(gram).max(initial=0)), float(np.abs(target).max(initial=0)), 1e-300)
+    gram, target = np.asarray(gram, float) / scale, np.asarray(target, float) / scale
+    w = np.zeros(k)
+    w[int((np.diag(gram) - 2 * target).argmin())] = 1
+    on = w > 0
+    for _ in range(50 * k):
+        while True:
+            s = np.flatnonzero(on)
+            system = np.zeros((len(s) + 1, len(s) + 1))
+            system[:-1, :-1], system[:-1, -1], system[-1, :-1] = gram[np.ix_(s, s)], 1, 1
+            best = np.linalg.lstsq(system, np.append(target[s], 1.0), rcond=1e-14)[0][:-1]
+            if (best > -1e-12).all():
+                w[s] = np.clip(best, 0, None)
+                break
+            falling = best < w[s] - 1e-15
+            ratio = np.where(falling & (best < 0), w[s] / np.maximum(w[s] - best, 1e-300), np.inf)
+            step = min(1.0, float(ratio.min()))
+            w[s] = w[s] + step * (best - w[s])
+            out = s[int(ratio.argmin())]
+            w[out], on[out] = 0, False
+        slope = gram @ w - target
+        gain = slope - slope[on].min()
+        enter = int(np.where(on, np.inf, gain).argmin())
+        if on.all() or gain[enter] > -1e-12:
+            break
+        on[enter] = True
+    return w / w.sum()
+
+
+def logistic_curve(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """(capacity, midpoint, rate, share of the variance) of capacity / (1 + exp(-rate (t - midpoint))) nearest to y, by damped Gauss-Newton from several starts."""
+    t, y = np.asarray(t, float), np.asarray(y, float)
+    if len(t) < 4 or np.ptp(y) == 0:
+        return (math.nan,) * 4
+    span, top = max(np.ptp(t), 1e-9), float(np.abs(y).max())
+    curve = lambda p: p[0] / (1 + np.exp(-np.clip(p[2] * (t - p[1]), -500, 500)))
+    best, least = None, math.inf
+    for share, rate in itertools.product((0.25, 0.5, 0.75, 1.0), (4 / span, 12 / span)):
+        p, damping = np.array([1.05 * top, t.min() + share * span, rate]), 1e-2
+        error = float(((y - curve(p)) ** 2).sum())
+        for _ in range(300):
+            f = curve(p)
+            u = f / p[0]
+            slope = np.stack([u, -f * (1 - u) * p[2], f * (1 - u) * (t - p[1])], 1)
+            square = slope.T @ slope
+            step = np.linalg.lstsq(square + damping * np.diag(np.diag(square) + 1e-12), slope.T @ (y - f), rcond=None)[0]
+            new = float(((y - curve(p + step)) ** 2).sum()) if p[0] + step[0] > 0 else math.inf
+            if new <= error:
+                done = error - new <= 1e-14 * (error + 1e-30)
+                p, error, damping = p + step, new, max(damping / 5, 1e-12)
+                if done:
+                    break
+            else:
+                damping *= 5
+                if damping > 1e12:
+                    break
+        if error < least * (1 - 1e-9):
+            best, least = p, error
+    return float(best[0]), float(best[1]), float(best[2]), 1 - least / float(((y - y.mean()) ** 2).sum())
 
 
 def granger(x: np.ndarray, y: np.ndarray, lags: int = 4) -> tuple[float, float]:

@@ -843,6 +843,13 @@ def t15_grid(spark, sf):
     return models.grid(e, lambda a: topics.coherence(a, F.col("abstract")), (("k5", 5, 5), ("k8", 8, 5), ("k8d8", 8, 8), ("k15", 15, 5)))
 
 
+@query()
+def v5_growth_curves(spark, sf):
+    """Logistic curves through the categories' running totals."""
+    curves = advanced.growth_curves(V.months(spark, sf))
+    return curves.select("category", F.bround("capacity", 1).alias("capacity"), F.bround("midpoint", 2).alias("midpoint"), F.bround("rate", 4).alias("rate"), F.bround("fit", 4).alias("fit"), "stage")
+
+
 _SPACE = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
 gap AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id),
 core AS (SELECT a AS id, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM gap) WHERE n <= 10 GROUP BY 1)"""
