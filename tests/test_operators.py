@@ -323,6 +323,24 @@ def test_models(spark, tmp_path):
     assert sorted(r["embedding"] for r in vec.collect()) == [[0.0, 1.0], [2.0, 1.0]]
 
 
+def test_missing_model_is_fitted_again_and_saved(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(30)], "doc_id long, embedding array<float>")
+    path, calls = str(tmp_path / "m"), []
+    refit = lambda: calls.append(1) or models.fit_topics(df, 3, 2)
+    with pytest.raises(Exception):
+        models.load_topics(path)
+    models.load_topics(path, refit)
+    models.load_topics(path, refit)
+    assert len(calls) == 1
+
+
+def test_stop_words_from_a_file(spark, tmp_path):
+    from tidemark.functions import words
+
+    (tmp_path / "w.txt").write_text("The a  an\n# none\nof the # again\n")
+    assert words.from_file(spark, str(tmp_path / "w.txt")) == ["the", "a", "an", "of"]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a, \"b\"\nc", "2020-01", "PELT")], readers.CHANGE_POINTS)
     sinks.write_csv(df, str(tmp_path / "out"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions import scalars as S
 from tidemark.operators import advanced, final, growth, prep, trends
+from tidemark.tables import small
 
 
 def analyses(papers: DataFrame, settings: Settings, stop_words: Sequence[str], id_column: str = "doc_id", min_year: int = 100, min_category: int = 50) -> dict[str, Callable[[], DataFrame]]:
@@ -25,8 +26,15 @@ def analyses(papers: DataFrame, settings: Settings, stop_words: Sequence[str], i
     names = [f"n{i}" for i in range(len(s.categories))]
     limits = {"min_year": min_year, "min_category": min_category}
 
+    longest = max(100, s.top_n_keywords, *s.k_values)
+
+    @cache
+    def ranked() -> DataFrame:
+        """Written once: the sets of all lengths are cut from it, so that the texts are taken apart once."""
+        return small(advanced.ranked_sets(dated, text, s.categories, stop_words, longest, **limits), "ranked-terms")
+
     def sets(keep: int) -> DataFrame:
-        return advanced.term_sets(dated, text, s.categories, stop_words, vocabulary=max(100, keep), keep=keep, **limits)
+        return advanced.sets_of(ranked(), max(100, keep), keep)
 
     def changes(penalty: float) -> DataFrame:
         return trends.change_points(spine, penalty, s.pelt_jump, s.pelt_min_size)
