@@ -103,8 +103,10 @@ def links(words: DataFrame) -> DataFrame:
     keys = materialise(words.select("word", "n").mapInArrow(keyed(order), "key long, short int, word string, n long"), "spelling-keys")
     a, b = keys.alias("a"), keys.alias("b")
     length = lambda c: F.char_length(c)
+    # Both sides ask for the same columns, so that they read one exchange.
     near = (
         (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.short") == F.col("b.short"))
         & (F.col("a.word") < F.col("b.word"))
         & (F.least(length("a.word"), length("b.word")) == F.col("a.short"))
         & (F.abs(length("a.word") - length("b.word")) <= 1)
