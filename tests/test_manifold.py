@@ -87,3 +87,16 @@ def test_layout_reruns_agree_whatever_the_partitions(spark):
 
 def test_few_points(spark):
     assert M.project(frame(spark, np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0]])), 2, 5, rounds=1, epochs=3).count() == 3
+
+
+def test_grid_over_neighbours_marks_the_best(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.2, (40, 4)) for c in (0, 4, 8)])
+    score = lambda found: found.agg(F.lit(0.5).alias("npmi"), F.countDistinct("topic_id").alias("n_topics"), F.lit(3).cast("long").alias("n_pairs"))
+    got = models.neighbour_grid(frame(spark, x), score, [("a", 6, 0.0), ("b", 12, 0.1)], 2, 10, 5, rounds=2).collect()
+    assert [(r["label"], r["n_neighbors"], r["min_dist"], r["best"]) for r in got] == [("a", 6, 0.0, True), ("b", 12, 0.1, False)]
+    assert all(r["n_topics"] >= 3 and 0 <= r["noise_rate"] < 0.5 and r["time_sec"] > 0 for r in got)
