@@ -325,3 +325,20 @@ def test_op2_a_passage_in_a_third_of_the_rows_is_one_lookup_a_batch():
     assert held[-1] == 200 and held[-2] == 133 and held[0] == 1
     pairs = {(m["row"], m["doc"]) for r in rows for m in (r["more"] or [r])}
     assert pairs == {(i, 1000 + i) for i, x in enumerate(anchors) if x}
+
+
+def test_op1_rows_of_large_nodes_are_joined_once_and_grow_with_the_group(spark, monkeypatch):
+    from tidemark.llm import op1_jaccard_join as op1
+
+    rng, written = random.Random(3), []
+    keep = op1.materialise
+    monkeypatch.setattr(op1, "materialise", lambda df, name, **k: written.append((name, df._jdf.queryExecution().optimizedPlan().toString(), out := keep(df, name, **k))) or out)
+    shed = []
+    for m in (150, 300):  # a group of one node, none of it near another
+        written.clear()
+        reps = spark.createDataFrame([(i, [1, 2], bytes(rng.randrange(256) for _ in range(op1.TOKENS))) for i in range(m)], "rid long, paths array<long>, sketch binary")
+        op1.candidate_stars(reps, levels=2, small=16).count()
+        joins = [line for name, plan, _ in written if re.fullmatch(r"held\d*|shed0", name) for line in plan.splitlines() if re.search(r"Join Inner,.*\(node#\d+L? = node#\d+L?\)", line)]
+        assert sum("xxhash64" not in j for j in joins) == 1  # the pivots' join; the draw's join puts out the drawn rows alone
+        shed.append(next(t.count() for name, _, t in written if name == "shed0"))
+    assert shed[0] <= shed[1] <= 2.2 * shed[0]

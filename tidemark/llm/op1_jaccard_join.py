@@ -326,17 +326,18 @@ def candidate_stars(reps: DataFrame, below: int = BRANCHES_BELOW, levels: int =
         mark = [F.bit_xor(F.xxhash64("rid")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(5), "rid")).alias("m2")]
         nodes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least"), *mark).where("n > 1")
         once = materialise(nodes.groupBy("n", "m1", "m2").agg(F.min("node").alias("node"), F.min("least").alias("least")), f"nodes{level}", compact=True)  # nodes of the same sets
-        held = children.join(once.select("node", "n", "least"), "node")
-        held = held if level else held.join(reps.select("rid", "sketch"), "rid")
-        held = materialise(held.select("rid", "node", "n", "least", "sketch"), f"held{level}", compact=True)
-        little = held.where(F.col("n") <= small).select("node", F.lit(2).alias("side"), "rid", "sketch")
+        few, many = once.where(F.col("n") <= small), once.where(F.col("n") > small)
+        if not level:  # only rows in nodes of two sets or more get a sketch; below, rows carry theirs
+            shared = children.join(once, "node", "left_semi").join(reps.select("rid", "sketch"), "rid")
+            children = materialise(shared.select("rid", "node", "sketch"), "held", compact=True)
+        little = children.join(few, "node", "left_semi").select("node", F.lit(2).alias("side"), "rid", "sketch")
         found.append(little.repartition("node").sortWithinPartitions("node").mapInArrow(compare_small(likely), "a long, b long"))
-        big = held.where(F.col("n") > small)
-        if big.isEmpty():
+        if many.isEmpty():
             break
+        # Semi-joins filter rows and the draw is part of its join: a row of a large node meets its pivots once, and is in no other join's output.
         drawn = (F.col("rid") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(9), "node", "rid"), F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS)).cast("long")) == 0)
-        pivots = big.where(drawn).groupBy("node").agg(F.collect_list(F.struct("rid", "sketch")).alias("pivots"))
-        split = big.select("rid", "node", "sketch").join(pivots, "node").select("rid", "node", "sketch", "pivots")
+        pivots = children.join(many.select("node", "n", "least"), "node").where(drawn).groupBy("node").agg(F.collect_list(F.struct("rid", "sketch")).alias("pivots"))
+        split = children.join(pivots, "node").select("rid", "node", "sketch", "pivots")
         split = materialise(split.mapInArrow(shed(related, spread), "a long, b long, node long, sketch binary"), f"shed{level}", compact=True)
         found.append(split.where("sketch is null").select("a", "b"))
         rest = split.where("sketch is not null").select(F.col("a").alias("rid"), "node", "sketch")
